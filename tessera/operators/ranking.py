@@ -32,14 +32,20 @@ def _order_exprs(order_cols) -> list[Column]:
 
 
 def global_rank(df: DataFrame, order_cols, partition_cols=(), bucket_expr: Column | None = None,
-                rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, rank_col: str = "rank") -> DataFrame:
+                rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, rank_col: str = "rank",
+                bucket_cols: list[Column] | None = None) -> DataFrame:
     """``row_number() over (partition by partition_cols order by order_cols)``.
 
     ``bucket_expr`` must be numeric and non-decreasing in the ordering; by
     default the first order column (which must then be numeric, ascending).
+    ``bucket_cols`` instead gives exact bucket columns (no statistics pass)
+    whose lexicographic ascending order is non-decreasing in the ordering,
+    e.g. ``[-count, substring(token, 1, 2)]`` for ``count desc, token``.
     """
     partition_cols = list(partition_cols)
     order = _order_exprs(order_cols)
+    if bucket_cols is not None:
+        return _rank_with_buckets(df, order, partition_cols, bucket_cols, rank_col)
     src = bucket_expr if bucket_expr is not None else order[0]
     tagged = df.withColumn("_bsrc", src.cast("double"))
     st = tagged.agg(F.min("_bsrc").alias("lo"), F.max("_bsrc").alias("hi"),
@@ -103,3 +109,20 @@ def default_id(df: DataFrame, id_col: str, order_cols, bucket_expr=None,
     ranked = global_rank(df, order_cols, [], bucket_expr, rows_per_bucket, "_ord")
     return ranked.withColumn(id_col, F.coalesce(F.col(id_col).cast("string"),
                                                 (F.col("_ord") - 1).cast("string"))).drop("_ord")
+
+
+def _rank_with_buckets(df, order, partition_cols, bucket_cols, rank_col):
+    bnames = [f"_bk{i}" for i in range(len(bucket_cols))]
+    tagged = df.select("*", *[b.alias(n) for b, n in zip(bucket_cols, bnames)])
+    keys = partition_cols + bnames
+    counts = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    w_off = Window.partitionBy(*partition_cols).orderBy(*bnames) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias(f"_k_{c}") for c in keys],
+                            F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    cond = [tagged[c].eqNullSafe(offsets[f"_k_{c}"]) for c in keys]
+    joined = tagged.join(offsets, reduce(lambda a, b: a & b, cond), "inner") \
+        .drop(*[f"_k_{c}" for c in keys])
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return joined.withColumn(rank_col, (F.col("_off") + F.row_number().over(w)).cast("bigint")) \
+        .drop("_off", *bnames)
