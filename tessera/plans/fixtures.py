@@ -75,7 +75,7 @@ def gui_steps(spark: SparkSession, sf: str, history_keep: int = 3,
     prefix list, quadratic in the user's rows) would put it in one.
     """
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
-    ranked = global_rank(e, ["ts", "event_id"], ["user_id"], F.unix_micros(F.col("ts")),
+    ranked = global_rank(e, ["ts", "event_id"], ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")),
                          rows_per_bucket, "_rn")
     prev = ranked.select(F.col("user_id").alias("_pu"), F.col("event_type").alias("_pt"),
                          F.explode(F.sequence(F.lit(1), F.lit(history_keep))).alias("_d"),
