@@ -126,3 +126,50 @@ def _rank_with_buckets(df, order, partition_cols, bucket_cols, rank_col):
     w = Window.partitionBy(*keys).orderBy(*order)
     return joined.withColumn(rank_col, (F.col("_off") + F.row_number().over(w)).cast("bigint")) \
         .drop("_off", *bnames)
+
+
+_PREFIX_AGGS = {"min": F.min, "max": F.max, "sum": F.sum}
+
+
+def prefix_aggregate(df: DataFrame, value_col: str, order_cols, partition_cols=(), agg: str = "min",
+                     out: str = "prefix", exclusive: bool = True, bucket_expr: Column | None = None,
+                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+    """Running ``agg`` of ``value_col`` over (partition by partition_cols
+    order by order_cols), over the preceding rows (``exclusive``) or up to
+    the current row, without a per-key window over a hot key: the per-bucket
+    aggregate is carried across buckets on the small bucket table, and each
+    bucket finishes with its own window.  Order columns must be unique
+    within a partition (ties would make the running value ambiguous)."""
+    partition_cols = list(partition_cols)
+    order = _order_exprs(order_cols)
+    fn = _PREFIX_AGGS[agg]
+    src = bucket_expr if bucket_expr is not None else order[0]
+    tagged = df.withColumn("_bsrc", src.cast("double"))
+    st = tagged.agg(F.min("_bsrc").alias("lo"), F.max("_bsrc").alias("hi"),
+                    F.count(F.lit(1)).alias("n")).first()
+    n, lo, hi = st["n"], st["lo"], st["hi"]
+    if not n or lo is None:
+        width, lo = 1.0, 0.0
+    else:
+        nb = max(1, math.ceil(n / max(1, rows_per_bucket)))
+        width = max((hi - lo) / nb, 1e-300) * (1 + 1e-12)
+    tagged = tagged.withColumn("_b", F.when(F.col("_bsrc").isNull(), F.lit(-1)).otherwise(
+        F.floor((F.col("_bsrc") - F.lit(lo)) / F.lit(width))).cast("bigint")).drop("_bsrc")
+    per_bucket = tagged.groupBy(*partition_cols, "_b").agg(fn(value_col).alias("_bagg"))
+    w_carry = Window.partitionBy(*partition_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_bucket.select(*[F.col(c).alias(f"_k_{c}") for c in partition_cols],
+                              F.col("_b").alias("_kb"), fn("_bagg").over(w_carry).alias("_carry"))
+    cond = [tagged["_b"] == carry["_kb"]] + \
+           [tagged[c].eqNullSafe(carry[f"_k_{c}"]) for c in partition_cols]
+    joined = tagged.join(carry, reduce(lambda a, b: a & b, cond), "inner") \
+        .drop("_kb", *[f"_k_{c}" for c in partition_cols])
+    hi_frame = -1 if exclusive else 0
+    w = Window.partitionBy(*partition_cols, "_b").orderBy(*order) \
+        .rowsBetween(Window.unboundedPreceding, hi_frame)
+    inner = fn(value_col).over(w)
+    if agg == "sum":
+        combined = F.coalesce(F.col("_carry"), F.lit(0)) + F.coalesce(inner, F.lit(0))
+    else:
+        pick = F.least if agg == "min" else F.greatest
+        combined = pick(F.col("_carry"), inner)   # least/greatest skip nulls
+    return joined.withColumn(out, combined).drop("_b", "_carry")
