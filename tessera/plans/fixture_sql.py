@@ -48,7 +48,7 @@ from (select event_type as stage, row_number() over (partition by event_type ord
     "evals": """
 select doc_id, case when doc_id % 2 = 0 then 'step_500' else 'step_1000' end as run,
   cast(floor(doc_id/2) as bigint) as prompt_id, lang as suite, substr(text,1,300) as response,
-  n_chars % 64 as tokens, (doc_id % 5) * 0.5 as elapsed_s
+  n_chars % 64 as tokens, cast((doc_id % 5) * 0.5 as double) as elapsed_s
 from documents""",
     "tensor_catalog": """
 select concat('model.', case when l_orderkey % 2 = 0 then 'visual.blocks.' else 'layers.' end,
