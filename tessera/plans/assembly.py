@@ -28,7 +28,11 @@ def sql_hash(seed, key: str) -> str:
 
 def sql_values(rows, cols) -> str:
     def lit(v):
-        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        if isinstance(v, float):
+            return f"cast({v!r} as double)"
+        return str(v)
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return f"select * from (values {body}) t({', '.join(cols)})"
 

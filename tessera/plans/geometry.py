@@ -44,8 +44,8 @@ def _cache_size_sql():
     for s in CACHE_SIZES:
         w, h = _resize_sql("w", "h", s)
         parts.append(f"""select {s} as target_size, count(*) as n_images,
-  sum(((({h}) // 16 // 2) * (({w}) // 16 // 2))) as total_tokens,
-  sum(((({h}) // 16 // 2) * (({w}) // 16 // 2))) * {K.VISION_DIM} * {K.FP16_BYTES} as total_bytes
+  cast(sum(((({h}) // 16 // 2) * (({w}) // 16 // 2))) as bigint) as total_tokens,
+  cast(sum(((({h}) // 16 // 2) * (({w}) // 16 // 2))) * {K.VISION_DIM} * {K.FP16_BYTES} as bigint) as total_bytes
 from img_dims""")
     return with_fixtures(" union all ".join(parts), "img_dims")
 
