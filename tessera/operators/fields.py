@@ -22,10 +22,11 @@ def resolve_alias_map(m, names: list[str], default=None) -> Column:
     """First of ``names`` whose key is *present* in map ``m`` (P1).  A
     present null stays null (unlike ``coalesce``)."""
     m = TX.col_(m)
-    out = F.lit(default)
-    for n in reversed(names):
-        out = F.when(F.map_contains_key(m, F.lit(n)), F.element_at(m, F.lit(n))).otherwise(out)
-    return out
+    out = None
+    for n in names:   # one flat CASE WHEN in preference order
+        has = F.map_contains_key(m, F.lit(n))
+        out = F.when(has, F.element_at(m, F.lit(n))) if out is None else out.when(has, F.element_at(m, F.lit(n)))
+    return out.otherwise(F.lit(default))
 
 
 def canonical_target(kind, x=None, y=None, xy=None, text=None) -> Column:

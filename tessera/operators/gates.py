@@ -58,9 +58,10 @@ def quarantine(df: DataFrame, reasons: list[tuple[str, Column]],
     """Row-level quarantine (F6): the first failing check names the reject
     reason; rows without one are good.  Both outputs come from one tagged
     plan (persist it upstream if both are consumed)."""
-    r = F.lit(None).cast("string")
-    for name, bad in reversed(reasons):
-        r = F.when(F.coalesce(bad, F.lit(True)), F.lit(name)).otherwise(r)
+    r = None
+    for name, bad in reasons:   # one flat CASE WHEN: first failing check wins
+        cond = F.coalesce(bad, F.lit(True))
+        r = F.when(cond, F.lit(name)) if r is None else r.when(cond, F.lit(name))
     tagged = df.withColumn(reason_col, r)
     return tagged.where(F.col(reason_col).isNull()).drop(reason_col), \
         tagged.where(F.col(reason_col).isNotNull())

@@ -9,6 +9,7 @@ from tessera.functions import actions as AC
 from tessera.functions import prompts as PR
 from tessera.functions.text import ASCII_DIGITS, UNICODE_DIGITS, py_strip
 from tessera.operators import fields, gates
+from tessera.operators.actions import parse_action_df
 from tessera.plans import fixtures as FX
 from tessera.plans.fixture_sql import with_fixtures
 from tessera.plans.registry import query
@@ -71,7 +72,7 @@ from (select sample_id, {cols} from gui_targets) q""", "gui_targets")
 
 @query("parse_action", _parse_sql())
 def parse_action_q(spark, sf):
-    t = FX.gui_targets(spark, sf).select("sample_id", AC.parse_action("target_text").alias("a"))
+    t = parse_action_df(FX.gui_targets(spark, sf).select("sample_id", "target_text"), "target_text", "a")
     return t.select("sample_id", *_flat(F.col("a")), AC.validate_action("a").alias("valid"))
 
 
@@ -92,8 +93,8 @@ def _lines_sql():
 def parse_actions_q(spark, sf):
     s = FX.gui_steps(spark, sf)
     lines = s.select("sample_id", F.posexplode(F.split(py_strip("action"), "\n", -1)).alias("i", "line"))
-    p = lines.select("sample_id", (F.col("i") + 1).cast("bigint").alias("line_no"),
-                     AC.parse_action("line").alias("a")).where(F.col("a").isNotNull())
+    p = parse_action_df(lines.select("sample_id", (F.col("i") + 1).cast("bigint").alias("line_no"), "line"),
+                        "line", "a").where(F.col("a").isNotNull())
     return p.select("sample_id", "line_no", *_flat(F.col("a")))
 
 
@@ -184,7 +185,7 @@ select sample_id, reason as reject_reason from (
 where reason is not null""", "gui_targets"))
 def grounding_quarantine(spark, sf):
     """rows a loader would skip, with the reason, instead of dropping them."""
-    g = FX.gui_targets(spark, sf).withColumn("a", AC.parse_action("target_text"))
+    g = parse_action_df(FX.gui_targets(spark, sf), "target_text", "a")
     reasons = [("missing instruction", F.col("instruction").isNull() | (F.col("instruction") == "")),
                ("missing target", F.col("target_text").isNull() | (F.col("target_text") == "")),
                ("no action", F.col("a").isNull()),
