@@ -11,9 +11,16 @@ from tessera.plans.assembly import sql_values
 from tessera.plans.fixture_sql import with_fixtures
 from tessera.plans.registry import query
 
-SIZE = F.col("dim0").cast("bigint") * F.col("dim1").cast("bigint")
-COMPONENT = F.get(F.split(F.col("name"), r"\."), 1)
-IS_ROUTER = F.col("name").contains(".gate.")
+def size_col():
+    return F.col("dim0").cast("bigint") * F.col("dim1").cast("bigint")
+
+
+def component_col():
+    return F.get(F.split(F.col("name"), r"\."), 1)
+
+
+def is_router():
+    return F.col("name").contains(".gate.")
 VIS = "select regexp_replace(name, '^model\\.', '') as clean_name, dim0, dim1, dim0 * dim1 as size, trainable from tensor_catalog where starts_with(name, 'model.visual.')"
 
 
@@ -39,7 +46,7 @@ group by rollup(component)"""))
 def size_rollup(spark, sf):
     """A3: parameters and bytes per component and in total."""
     c = FX.tensor_catalog(spark, sf)
-    return CA.size_rollup(c, COMPONENT, F.array("dim0", "dim1"))
+    return CA.size_rollup(c, component_col(), F.array("dim0", "dim1"))
 
 
 @query("hierarchy_exact", _cat("""
@@ -48,7 +55,7 @@ select array_to_string(list_slice(string_split(clean_name, '.'), 1, 3), '.') as
 from vis group by 1""", vis=True))
 def hierarchy_exact(spark, sf):
     """A4 exact: group by the first three segments."""
-    return CA.hierarchy_rollup(vision(spark, sf), "clean_name", SIZE, 3, "exact")
+    return CA.hierarchy_rollup(vision(spark, sf), "clean_name", size_col(), 3, "exact")
 
 
 @query("hierarchy_prefix", _cat("""
@@ -58,7 +65,7 @@ join vis v on starts_with(v.clean_name, p.prefix) group by p.prefix""", vis=True
 def hierarchy_prefix(spark, sf):
     """A4 prefix (J8 + J4): ``startswith`` matching as in the source, so a
     block's prefix also counts the blocks whose number extends it."""
-    return CA.hierarchy_rollup(vision(spark, sf), "clean_name", SIZE, 3, "prefix")
+    return CA.hierarchy_rollup(vision(spark, sf), "clean_name", size_col(), 3, "prefix")
 
 
 @query("trainable_stats", _cat("""
@@ -69,7 +76,7 @@ from (select cast(sum(dim0 * dim1) as bigint) as total_params,
       from tensor_catalog) t"""))
 def trainable_stats(spark, sf):
     """A5: trainable share of the parameters."""
-    return CA.trainable_stats(FX.tensor_catalog(spark, sf), SIZE)
+    return CA.trainable_stats(FX.tensor_catalog(spark, sf), size_col())
 
 
 @query("router_warnings", _cat("""
@@ -77,7 +84,7 @@ select name, 'Router weight ' || name || ' is trainable! Should be frozen.' as w
 from tensor_catalog where contains(name, '.gate.') and trainable"""))
 def router_warnings(spark, sf):
     """A5 warning rows."""
-    return CA.router_warnings(FX.tensor_catalog(spark, sf), "name", IS_ROUTER)
+    return CA.router_warnings(FX.tensor_catalog(spark, sf), "name", is_router())
 
 
 @query("routers_frozen", _cat("""
@@ -86,7 +93,7 @@ select split_part(name, '.', 2) as component,
 from tensor_catalog group by 1"""))
 def routers_frozen(spark, sf):
     """A6 per component."""
-    return CA.all_frozen(FX.tensor_catalog(spark, sf), IS_ROUTER, COMPONENT)
+    return CA.all_frozen(FX.tensor_catalog(spark, sf), is_router(), component_col())
 
 
 REQUIRED = ["patch_embed", "merger", "blocks.0", "blocks.26"]
@@ -119,10 +126,10 @@ def expectation_checks(spark, sf):
     """metrics of the catalog against threshold rules."""
     c = FX.tensor_catalog(spark, sf)
     vis = F.col("name").startswith("model.visual.")
-    a = c.agg(F.sum(F.when(vis, SIZE)).cast("double").alias("vision_params"),
+    a = c.agg(F.sum(F.when(vis, size_col())).cast("double").alias("vision_params"),
               F.count(F.lit(1)).cast("double").alias("n_tensors"),
               F.max("dim0").cast("double").alias("hidden"),
-              F.sum(F.when(F.col("trainable"), SIZE)).cast("double").alias("trainable_params"))
+              F.sum(F.when(F.col("trainable"), size_col())).cast("double").alias("trainable_params"))
     metrics = a.selectExpr("stack(4, 'vision_params', vision_params, 'n_tensors', n_tensors, "
                            "'hidden', hidden, 'trainable_params', trainable_params) as (metric, value)")
     rules = F.broadcast(spark.createDataFrame(RULES, "metric string, op string, threshold double"))
@@ -148,4 +155,4 @@ select split_part(name, '.', 2) as component, max(name) as latest_name, count(*)
 from tensor_catalog group by 1"""))
 def latest_by_name(spark, sf):
     """Lexically latest name per component."""
-    return CA.latest_by_name(FX.tensor_catalog(spark, sf), COMPONENT, "name")
+    return CA.latest_by_name(FX.tensor_catalog(spark, sf), component_col(), "name")

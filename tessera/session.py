@@ -40,17 +40,15 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) do we create a
-    private scratch folder and register it.
+    It is a launch-time setting: read it from the session.  Only when it is
+    unset (local runs and tests) is a private scratch folder created and
+    registered with the context, once per session.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:
-        pass
-    return d
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
+    # the context may have appended a unique subfolder; use what it reports
+    return sc.getCheckpointDir() or d
