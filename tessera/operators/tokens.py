@@ -54,19 +54,29 @@ def word_tokens(text) -> Column:
     return F.regexp_extract_all(t, F.lit(TOKEN_RE), 0)
 
 
-def build_vocab(df: DataFrame, text_col: str = "text") -> DataFrame:
+def build_vocab(df: DataFrame, text_col: str = "text", materialize: bool = False) -> DataFrame:
     """Token -> id by descending frequency, ties by token, ids after the
     reserved block (T2).  Ids that collide with the image start/end ids are
     skipped.  Counting is a partial + final aggregation; ranking is the
     two-phase rank bucketed by (count, 2-character prefix), never one task.
+
+    The vocabulary is an artifact that every tokenisation reads: with
+    ``materialize`` (for callers that look ids up more than once) it is
+    written once (reliable ``checkpoint`` into ``spark.checkpoint.dir``), so
+    the corpus is scanned once and the lineage is cut.
     """
+    from tessera.session import checkpoint_dir
     counts = df.select(F.explode(word_tokens(text_col)).alias("t")).groupBy("t") \
         .agg(F.count(F.lit(1)).alias("c"))
     ranked = global_rank(counts, [F.col("c").desc(), F.col("t")], [],
                          bucket_cols=[-F.col("c"), F.substring("t", 1, 2)], rank_col="_r")
     base = F.col("_r") + F.lit(K.RESERVED_IDS - 1)
     tid = F.when(base >= F.lit(K.IMAGE_START_ID), base + 2).otherwise(base)
-    return ranked.select("t", tid.cast("bigint").alias("id"), "c")
+    vocab = ranked.select("t", tid.cast("bigint").alias("id"), "c")
+    if materialize:
+        checkpoint_dir(df.sparkSession)
+        return vocab.checkpoint()
+    return vocab
 
 
 def _lookup(tokens: DataFrame, vocab: DataFrame, hot_size: int) -> DataFrame:

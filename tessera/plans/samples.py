@@ -194,7 +194,7 @@ def tokenized_samples_df(spark, sf, max_length: int = 512):
     -> right-truncate (T7) -> counts (T8) -> drop misaligned rows (F5)."""
     from tessera.functions import arrays as AR
     from tessera.operators.tokens import build_vocab, tokenize
-    vocab = build_vocab(scan_corpus(spark, f"{sf}/documents.parquet"))
+    vocab = build_vocab(scan_corpus(spark, f"{sf}/documents.parquet"), materialize=True)
     t = gates.require_assistant(_turns_with_extras(spark, sf, ""))
     s = t.select("sample_id", "num_patches", PR.render_prompt("human", F.col("num_patches")).alias("prompt"),
                  PR.answer_text("assistant").alias("answer"))
@@ -272,7 +272,7 @@ def decode_tail(spark, sf):
     off the prompt and decodes without special tokens."""
     from tessera.functions import arrays as AR
     from tessera.operators.tokens import build_vocab, decode_ids, tokenize
-    vocab = build_vocab(scan_corpus(spark, f"{sf}/documents.parquet"))
+    vocab = build_vocab(scan_corpus(spark, f"{sf}/documents.parquet"), materialize=True)
     t = gates.require_assistant(_turns_with_extras(spark, sf, ""))
     s = t.select("sample_id", PR.render_prompt("human", F.col("num_patches")).alias("prompt"),
                  PR.answer_text("assistant").alias("answer"))
