@@ -13,7 +13,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
 
-_MODULES = ["samples", "gui", "geometry", "assembly", "cache", "logs", "evaluation", "catalog"]
+_MODULES = ["samples", "gui", "geometry", "assembly", "cache", "logs", "evaluation", "catalog", "streams"]
 
 
 def query(name: str, sql: str | None = None):
