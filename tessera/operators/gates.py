@@ -47,9 +47,10 @@ def check_alignment(df: DataFrame, count_col: str, expected_col: str, mode: str
     if mode == "drop":
         return df.where(ok)
     if mode == "fail":
-        return df.withColumn("_chk", F.when(ok, F.lit(True)).otherwise(
+        # a predicate, not a dropped column: column pruning would remove it
+        return df.where(F.when(ok, F.lit(True)).otherwise(
             F.raise_error(F.concat(F.lit("image token count mismatch: "), col_(count_col).cast("string"),
-                                   F.lit(" != "), col_(expected_col).cast("string"))))).drop("_chk")
+                                   F.lit(" != "), col_(expected_col).cast("string")))))
     raise ValueError(mode)
 
 

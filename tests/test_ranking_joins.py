@@ -67,3 +67,33 @@ def test_reconcile(spark):
     a = spark.createDataFrame([("b",), ("c",)], "name string")
     got = {r["name"]: r["status"] for r in reconcile(e, a).collect()}
     assert got == {"a": "missing", "b": "ok", "c": "unexpected"}
+
+
+def test_alignment_fail_mode(spark):
+    import pytest
+    from tessera.operators.gates import check_alignment
+    df = spark.createDataFrame([(3, 3), (2, 3)], "n long, want long")
+    assert check_alignment(df, "n", "want", "drop").count() == 1
+    with pytest.raises(Exception, match="image token count mismatch"):
+        check_alignment(df, "n", "want", "fail").collect()
+
+
+def test_scan_configs_reports_failures(spark, scratch):
+    import os
+    from tessera.sources.corpus import scan_configs
+    ok = spark.createDataFrame([(1, "a")], "id long, x string")
+    p = os.path.join(scratch, "cfg_b")
+    spark.createDataFrame([(2, 3.0)], "id long, y double").write.parquet(p)
+    union, status = scan_configs(spark, {"a": ok, "b": p, "gone": os.path.join(scratch, "nope")})
+    st = {r["config"]: r["ok"] for r in status.collect()}
+    assert st == {"a": True, "b": True, "gone": False}
+    rows = sorted((r["config"], r["id"], r["x"], r["y"]) for r in union.collect())
+    assert rows == [("a", 1, "a", None), ("b", 2, None, 3.0)]
+
+
+def test_resolve_assets_kinds(spark):
+    from tessera.sources.corpus import resolve_assets
+    df = spark.createDataFrame([("img_1.png",), ("data:image/png;base64,xx",), ("https://h/x.jpg",),
+                                (None,), ("not an image",)], "ref string")
+    got = [r["asset_url"] for r in resolve_assets(df, "ref", "http://base/").collect()]
+    assert got == ["http://base/img_1.png", "data:image/png;base64,xx", "https://h/x.jpg"]

@@ -47,3 +47,14 @@ def test_word_tokens_keep_specials_atomic(spark):
     r = spark.createDataFrame([("<|start_of_turn|>user\nhi, there!",)], "s string") \
         .select(word_tokens("s").alias("t")).first()["t"]
     assert r == ["<|start_of_turn|>", "user", "hi", ",", "there", "!"]
+
+
+def test_plugin_tokenizer(spark):
+    """A user tokenizer runs batch-wise through Arrow."""
+    from tessera.operators.tokens import tokenize_with
+
+    def encode(texts):
+        return [[len(w) for w in t.split()] for t in texts]
+    df = spark.createDataFrame([("ab c",), ("",), (None,)], "s string")
+    got = [r["ids"] for r in tokenize_with(df, "s", encode, "ids").collect()]
+    assert got == [[2, 1], [], []]
