@@ -36,16 +36,16 @@ def _num(t: Column, pattern: str, group: int) -> Column:
     return py_float(F.regexp_extract(t, pattern, group))
 
 
-def parse_action(c) -> Column:
-    """First match in the fixed order click, type, scroll, drag, long_press,
-    done (unanchored); null when nothing matches (X1)."""
-    t = py_strip(col_(c))
-    kind = (F.when(t.rlike(CLICK_RE), "click")
+def _kind(t: Column) -> Column:
+    return (F.when(t.rlike(CLICK_RE), "click")
             .when(t.rlike(TYPE_RE), "type")
             .when(t.rlike(SCROLL_RE), "scroll")
             .when(t.rlike(DRAG_RE), "drag")
             .when(t.rlike(LONG_PRESS_RE), "long_press")
             .when(t.rlike(DONE_RE), "done"))
+
+
+def _fields(t: Column, kind: Column) -> Column:
     dnull = F.lit(None).cast("double")
     snull = F.lit(None).cast("string")
     x = (F.when(kind == "click", _num(t, CLICK_RE, 1))
@@ -65,6 +65,21 @@ def parse_action(c) -> Column:
     return F.when(kind.isNotNull(), s)
 
 
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable
+    (a one-element ``transform``): the text and the kind are referenced by
+    every field and would otherwise be recomputed for each reference."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def parse_action(c) -> Column:
+    """First match in the fixed order click, type, scroll, drag, long_press,
+    done (unanchored); null when nothing matches (X1).  Column form, used
+    per line inside X2; on a whole DataFrame prefer
+    ``operators.actions.parse_action_df`` (whole-stage codegen)."""
+    return _bind(py_strip(col_(c)), lambda t: _bind(_kind(t), lambda k: _fields(t, k)))
+
+
 def parse_actions(c) -> Column:
     """All actions of a text, at most one per line, misses dropped."""
     lines = F.split(py_strip(col_(c)), "\n", -1)

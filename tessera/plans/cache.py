@@ -13,6 +13,7 @@ from tessera.operators import features as FE
 from tessera.operators.joins import align_features, join_features
 from tessera.operators.ranking import assign_shards, default_id
 from tessera.plans.fixture_sql import with_fixtures
+from tessera.plans.artifacts import shared
 from tessera.plans.registry import query
 from tessera.plans.samples import TOKENIZED_SQL, tokenized_samples_df
 from tessera.session import checkpoint_dir
@@ -27,6 +28,11 @@ def _cache_root(spark) -> str:
     return os.path.join(checkpoint_dir(spark), f"feature-cache-{uuid.uuid4().hex}")
 
 
+def cache_folder(spark, sf) -> str:
+    """The feature cache of ``sf``, written once per session."""
+    return shared(spark, sf, "feature-cache", lambda: build_cache(spark, sf))
+
+
 def build_cache(spark, sf):
     """Write the embeddings as a feature cache of 64-row shards, with one
     shard lost in transit (its rows never reach the sink), and return the
@@ -53,7 +59,7 @@ from sharded where shard_id <> {LOST_SHARD}""", extra={"sharded": SHARDED_SQL}))
 def feature_cache(spark, sf):
     """S4 write -> S3 scan (lost shard skipped) -> J1 join of the narrow
     metadata with the wide features on (shard_id, pos)."""
-    root = build_cache(spark, sf)
+    root = cache_folder(spark, sf)
     meta, feats, _ = FC.scan_feature_cache(spark, root)
     j = join_features(meta.select("shard_id", "pos", "id", "label"), feats)
     return j.select(F.col("shard_id").cast("bigint").alias("shard_id"), F.col("pos").cast("bigint").alias("pos"),
@@ -67,7 +73,7 @@ select 'embeddings' as dataset, 'default' as config, count(*) as total_samples,
 from sharded""", extra={"sharded": SHARDED_SQL}))
 def cache_manifest(spark, sf):
     """S5 + A2: the manifest as written, read back."""
-    root = build_cache(spark, sf)
+    root = cache_folder(spark, sf)
     m = FC.read_manifest(spark, root)
     return m.select("dataset", "config", F.col("total_samples").cast("bigint").alias("total_samples"),
                     F.col("num_shards").cast("bigint").alias("num_shards"),
@@ -79,7 +85,7 @@ def cache_manifest(spark, sf):
 @query("missing_shards", f"select {LOST_SHARD}::bigint as shard_id from embeddings having count(*) > {LOST_SHARD * SHARD_SIZE}")
 def missing_shards(spark, sf):
     """S3 report: shards in the manifest but not on disk."""
-    root = build_cache(spark, sf)
+    root = cache_folder(spark, sf)
     _, _, missing = FC.scan_feature_cache(spark, root)
     return missing.select(F.col("shard_id").cast("bigint").alias("shard_id"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators import trainlog as TL
 from tessera.plans import fixtures as FX
 from tessera.plans.fixture_sql import with_fixtures
+from tessera.plans.artifacts import shared
 from tessera.plans.registry import query
 from tessera.session import checkpoint_dir
 from tessera.sources import steplog as SL
@@ -42,8 +43,13 @@ def write_step_logs(spark, sf) -> str:
     return root
 
 
+def step_log_folder(spark, sf) -> str:
+    """The step logs of ``sf``, written once per session."""
+    return shared(spark, sf, "step-logs", lambda: write_step_logs(spark, sf))
+
+
 def parsed_logs(spark, sf):
-    return SL.scan_step_log(spark, write_step_logs(spark, sf))
+    return SL.scan_step_log(spark, step_log_folder(spark, sf))
 
 
 def _n(pattern: str, kind: str = "double") -> str:

@@ -9,6 +9,7 @@ from tessera.functions.text import STRIP_RE
 from tessera.operators import fields, gates
 from tessera.plans import fixtures as FX
 from tessera.plans.fixture_sql import with_fixtures
+from tessera.plans.artifacts import shared
 from tessera.plans.registry import query
 from tessera.operators.tokens import TOKEN_RE
 from tessera.sources.corpus import scan_corpus
@@ -187,6 +188,14 @@ def build_vocab_q(spark, sf):
     return build_vocab(scan_corpus(spark, f"{sf}/documents.parquet")).select("t", "id")
 
 
+def corpus_vocab(spark, sf):
+    """The documents' vocabulary, materialized once per session: every
+    tokenisation and decode of ``sf`` reads the same artifact."""
+    from tessera.operators.tokens import build_vocab
+    return shared(spark, sf, "vocab",
+                  lambda: build_vocab(scan_corpus(spark, f"{sf}/documents.parquet"), materialize=True))
+
+
 def tokenized_samples_df(spark, sf, max_length: int = 512):
     """E2 read side: last turns (cache-writer defaults) -> F2 -> prompt with
     ``num_patches`` placeholders -> tokenise prompt and answer separately
@@ -194,7 +203,7 @@ def tokenized_samples_df(spark, sf, max_length: int = 512):
     -> right-truncate (T7) -> counts (T8) -> drop misaligned rows (F5)."""
     from tessera.functions import arrays as AR
     from tessera.operators.tokens import build_vocab, tokenize
-    vocab = build_vocab(scan_corpus(spark, f"{sf}/documents.parquet"), materialize=True)
+    vocab = corpus_vocab(spark, sf)
     t = gates.require_assistant(_turns_with_extras(spark, sf, ""))
     s = t.select("sample_id", "num_patches", PR.render_prompt("human", F.col("num_patches")).alias("prompt"),
                  PR.answer_text("assistant").alias("answer"))
@@ -272,7 +281,7 @@ def decode_tail(spark, sf):
     off the prompt and decodes without special tokens."""
     from tessera.functions import arrays as AR
     from tessera.operators.tokens import build_vocab, decode_ids, tokenize
-    vocab = build_vocab(scan_corpus(spark, f"{sf}/documents.parquet"), materialize=True)
+    vocab = corpus_vocab(spark, sf)
     t = gates.require_assistant(_turns_with_extras(spark, sf, ""))
     s = t.select("sample_id", PR.render_prompt("human", F.col("num_patches")).alias("prompt"),
                  PR.answer_text("assistant").alias("answer"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.plans import fixtures as FX
 from tessera.plans.cache import SHARDED_SQL  # noqa: F401  (documented twin)
 from tessera.plans.fixture_sql import with_fixtures
-from tessera.plans.logs import PARSED_SQL, SAVE_EVERY, write_step_logs
+from tessera.plans.logs import PARSED_SQL, SAVE_EVERY, step_log_folder
 from tessera.plans.registry import query
 from tessera.plans.samples import IMG4, _turn_sql
 from tessera.session import checkpoint_dir
@@ -46,7 +46,7 @@ def _logq(body: str) -> str:
 def stream_latest(spark, sf):
     """ST1: newest step per stage, complete mode; each micro-batch rewrites
     the (one row per stage) result table."""
-    root = write_step_logs(spark, sf)
+    root = step_log_folder(spark, sf)
     out = _scratch(spark, "stream-latest")
     log = SL.read_step_log_stream(spark, root, max_files_per_trigger=16)
 
@@ -63,12 +63,12 @@ def stream_trigger(spark, sf):
     """ST2: each stage fires once when it reaches the step; the action
     appends the firing stages to a folder (one write per micro-batch,
     keyed by batch id so a replay overwrites)."""
-    root = write_step_logs(spark, sf)
+    root = step_log_folder(spark, sf)
     out = _scratch(spark, "stream-trigger")
 
     def action(df, bid):
         df.select("stage").write.mode("overwrite").parquet(os.path.join(out, "fired", f"batch={bid}"))
-    q = SL.stream_trigger(SL.read_step_log_stream(spark, root, max_files_per_trigger=2), TRIGGER_STEP, action,
+    q = SL.stream_trigger(SL.read_step_log_stream(spark, root, max_files_per_trigger=16), TRIGGER_STEP, action,
                           os.path.join(out, "ckpt"), {"availableNow": True})
     q.awaitTermination()
     return spark.read.parquet(os.path.join(out, "fired")).select("stage")
@@ -83,7 +83,7 @@ def stream_accum(spark, sf):
     src = _scratch(spark, "microsteps")
     micro = FX.microsteps(spark, sf)
     micro.repartition(8).write.parquet(src)
-    stream = spark.readStream.schema(micro.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    stream = spark.readStream.schema(micro.schema).option("maxFilesPerTrigger", 4).parquet(src)
     out = _append_to_files(SL.stream_accum(stream, ACCUM), spark, "stream-accum")
     return out.select("stage", "step", F.round("loss", 9).alias("loss"), "n")
 
@@ -97,8 +97,9 @@ select stage, step, loss,
 from parsed where step % {SAVE_EVERY} = 0 and loss is not null"""))
 def stream_best(spark, sf):
     """ST4: running best at save points over the log stream."""
-    root = write_step_logs(spark, sf)
-    return _append_to_files(SL.stream_best(SL.read_step_log_stream(spark, root), SAVE_EVERY), spark, "stream-best")
+    root = step_log_folder(spark, sf)
+    return _append_to_files(SL.stream_best(SL.read_step_log_stream(spark, root, max_files_per_trigger=16), SAVE_EVERY),
+                           spark, "stream-best")
 
 
 @query("stream_samples", with_fixtures(f"""
