@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import actions as AC
 from tessera.functions.text import py_float, py_strip
+from tessera.operators.partitioning import spread
 
 _FIELDS = AC.ACTION_FIELDS
 
 
 def parse_action_df(df: DataFrame, col: str, out: str = "action", flat: bool = False) -> DataFrame:
     """Adds the parsed action (X1) as struct ``out`` (or flat columns)."""
-    t = df.withColumn("_pa_t", py_strip(F.col(col)))
+    t = spread(df).withColumn("_pa_t", py_strip(F.col(col)))
     tt = F.col("_pa_t")
     kind = (F.when(tt.rlike(AC.CLICK_RE), "click").when(tt.rlike(AC.TYPE_RE), "type")
             .when(tt.rlike(AC.SCROLL_RE), "scroll").when(tt.rlike(AC.DRAG_RE), "drag")

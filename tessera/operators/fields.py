@@ -100,3 +100,18 @@ def qa_pairs(df: DataFrame, key: str = "sample_id", order: str = "turn", speaker
         F.transform(F.sort_array(F.collect_list(F.struct("_t", "user", "assistant"))),
                     lambda s: F.struct(s["user"].alias("user"), s["assistant"].alias("assistant"))
                     ).alias("texts"))
+
+
+def first_pair(df: DataFrame, key: str = "sample_id", order: str = "turn", speaker: str = "speaker",
+               value: str = "value", human: str = "human", gpt: str = "gpt") -> DataFrame:
+    """P6 without building the QA list: the first human turn per sample
+    (a partial + final ``min_by``), then the assistant turn right after it
+    by an equi-join on (sample, turn + 1), whose key is unique per row.
+    No group is collected, so a huge conversation is never one array."""
+    sp = F.col(speaker)
+    first = df.where(sp == human).groupBy(key).agg(
+        F.min_by(F.struct(F.col(order).alias("_t"), F.col(value).alias("_q")), F.col(order)).alias("_f"))
+    first = first.select(F.col(key).alias("_k"), F.col("_f._t").alias("_t"), F.col("_f._q").alias("question"))
+    ans = df.where(sp == gpt).select(F.col(key).alias("_ka"), F.col(order).alias("_ta"), F.col(value).alias("answer"))
+    j = first.join(ans, (first["_k"] == ans["_ka"]) & (ans["_ta"] == first["_t"] + 1), "left")
+    return j.select(F.col("_k").alias(key), "question", "answer")

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tessera import constants as K
 from tessera.functions.text import PY_WS
+from tessera.operators.partitioning import spread
 from tessera.operators.ranking import global_rank
 
 # FIXED VALUES: the word-tokenizer pattern (special tokens first, then
@@ -66,7 +67,8 @@ def build_vocab(df: DataFrame, text_col: str = "text", materialize: bool = False
     the corpus is scanned once and the lineage is cut.
     """
     from tessera.session import checkpoint_dir
-    counts = df.select(F.explode(word_tokens(text_col)).alias("t")).groupBy("t") \
+    text = spread(df.select(text_col))   # regex work over all cores
+    counts = text.select(F.explode(word_tokens(text_col)).alias("t")).groupBy("t") \
         .agg(F.count(F.lit(1)).alias("c"))
     ranked = global_rank(counts, [F.col("c").desc(), F.col("t")], [],
                          bucket_cols=[-F.col("c"), F.substring("t", 1, 2)], rank_col="_r")
@@ -96,26 +98,36 @@ def _lookup(tokens: DataFrame, vocab: DataFrame, hot_size: int) -> DataFrame:
 
 
 def tokenize(df: DataFrame, key: str, parts: list[str], vocab: DataFrame,
-             out: str = "input_ids", n_first: str = "n_prompt", hot_size: int = HOT_SIZE) -> DataFrame:
+             out: str = "input_ids", n_first: str = "n_prompt", hot_size: int = HOT_SIZE,
+             max_length: int | None = None) -> DataFrame:
     """Tokenise each of ``parts`` separately and concatenate (T1): prompt and
     answer are never tokenised as one string.  Adds ``out`` (ARRAY<INT>) and
     ``n_first`` (tokens of the first part).  ``key`` must be unique.
 
     Tokens are exploded with (part, position), ids are looked up, and the
     arrays are rebuilt by one aggregation on ``key`` whose groups are one
-    sample each (bounded by the text length).
+    sample each.  With ``max_length`` the result is right-truncated (T7)
+    and only positions below it are collected from each part, so a sample's
+    group holds at most ``len(parts) * max_length`` tokens however long its
+    text is; ``n_first`` still counts every token of the first part.
     """
+    src = spread(df.select(key, *parts))
     exploded = None
     for i, p in enumerate(parts):
-        e = df.select(F.col(key).alias("_key"), F.lit(i).alias("_part"),
+        e = src.select(F.col(key).alias("_key"), F.lit(i).alias("_part"),
                       F.posexplode(word_tokens(p)).alias("_pos", "tok"))
         exploded = e if exploded is None else exploded.unionByName(e)
     ids = _lookup(exploded, vocab, hot_size)
+    kept = F.struct("_part", "_pos", "id")
+    if max_length is not None:
+        kept = F.when(F.col("_pos") < max_length, kept)    # collect_list skips nulls
     agg = ids.groupBy("_key").agg(
-        F.sort_array(F.collect_list(F.struct("_part", "_pos", "id"))).alias("_s"),
+        F.sort_array(F.collect_list(kept)).alias("_s"),
         F.count(F.when(F.col("_part") == 0, F.lit(1))).alias("_n0"))
-    agg = agg.select("_key", F.transform("_s", lambda s: s["id"]).alias(out),
-                     F.col("_n0").cast("int").alias(n_first))
+    arr = F.transform("_s", lambda s: s["id"])
+    if max_length is not None:
+        arr = F.slice(arr, 1, max_length)
+    agg = agg.select("_key", arr.alias(out), F.col("_n0").cast("int").alias(n_first))
     res = df.join(agg, df[key] == agg["_key"], "left").drop("_key")
     return res.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>"))) \
         .withColumn(n_first, F.coalesce(F.col(n_first), F.lit(0)))

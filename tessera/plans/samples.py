@@ -117,6 +117,20 @@ select sample_id, question, answer from (
   where u.speaker = 'human') p
 where rn = 1 and question is not null and question <> '' and answer is not null and answer <> ''""", "vl_conv"))
 def first_qa_q(spark, sf):
+    return gates.require_qa(fields.first_pair(FX.vl_conv(spark, sf)))
+
+
+@query("first_qa_array", with_fixtures("""
+select sample_id, question, answer from (
+  select u.sample_id, u.value as question, a.value as answer,
+         row_number() over (partition by u.sample_id order by u.turn) as rn
+  from vl_conv u left join vl_conv a
+    on a.sample_id = u.sample_id and a.turn = u.turn + 1 and a.speaker = 'gpt'
+  where u.speaker = 'human') p
+where rn = 1 and question is not null and question <> '' and answer is not null and answer <> ''""", "vl_conv"))
+def first_qa_array(spark, sf):
+    """P6 on the multi-QA shape (``texts ARRAY<STRUCT<user, assistant>>``),
+    as the loaders receive it: ``get(texts, 0)``."""
     pairs = fields.qa_pairs(FX.vl_conv(spark, sf))
     q, a = fields.first_qa("texts")
     return gates.require_qa(pairs.select("sample_id", q.alias("question"), a.alias("answer")))
@@ -207,12 +221,13 @@ def tokenized_samples_df(spark, sf, max_length: int = 512):
     t = gates.require_assistant(_turns_with_extras(spark, sf, ""))
     s = t.select("sample_id", "num_patches", PR.render_prompt("human", F.col("num_patches")).alias("prompt"),
                  PR.answer_text("assistant").alias("answer"))
-    tok = tokenize(s, "sample_id", ["prompt", "answer"], vocab)
-    full = tok.select("sample_id", "num_patches", "n_prompt",
-                      AR.truncate("input_ids", max_length).alias("input_ids"),
-                      AR.truncate(AR.attention_mask("input_ids"), max_length).alias("attention_mask"),
-                      AR.truncate(AR.image_mask("input_ids"), max_length).alias("image_mask"),
-                      AR.truncate(AR.mask_labels("input_ids", "n_prompt"), max_length).alias("labels"))
+    # T7 happens inside tokenize: the masks below are element-wise, so
+    # truncating the ids first gives the same arrays as truncating all four
+    tok = tokenize(s, "sample_id", ["prompt", "answer"], vocab, max_length=max_length)
+    full = tok.select("sample_id", "num_patches", "n_prompt", "input_ids",
+                      AR.attention_mask("input_ids").alias("attention_mask"),
+                      AR.image_mask("input_ids").alias("image_mask"),
+                      AR.mask_labels("input_ids", "n_prompt").alias("labels"))
     full = full.withColumn("n_image", AR.count_true("image_mask").cast("bigint"))
     return gates.check_alignment(full, "n_image", "num_patches", "drop")
 

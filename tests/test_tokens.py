@@ -58,3 +58,14 @@ def test_plugin_tokenizer(spark):
     df = spark.createDataFrame([("ab c",), ("",), (None,)], "s string")
     got = [r["ids"] for r in tokenize_with(df, "s", encode, "ids").collect()]
     assert got == [[2, 1], [], []]
+
+
+def test_tokenize_truncates_while_collecting(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    vocab = build_vocab(docs)
+    s = spark.createDataFrame([(1, "a b c", "d e f")], "k long, p string, a string")
+    full = tokenize(s, "k", ["p", "a"], vocab).first()
+    cut = tokenize(s, "k", ["p", "a"], vocab, max_length=4).first()
+    assert cut["input_ids"] == full["input_ids"][:4] and cut["n_prompt"] == full["n_prompt"] == 3
+    cut2 = tokenize(s, "k", ["p", "a"], vocab, max_length=2).first()
+    assert cut2["input_ids"] == full["input_ids"][:2] and cut2["n_prompt"] == 3
