@@ -72,10 +72,12 @@ def gui_steps(spark: SparkSession, sf: str, history_keep: int = 3,
     Only the last ``history_keep`` previous items are ever read (P10), so they
     are fetched by an equi-join on (user, rank - d) for d = 1..keep: it
     spreads a hot user over all tasks, where a per-user window (or a full
-    prefix list, quadratic in the user's rows) would put it in one.
+    prefix list, quadratic in the user's rows) would put it in one.  Time is
+    bucketed by its zone-free microsecond offset (``ts`` has no zone), so
+    the buckets stay monotone whatever the session time zone.
     """
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
-    ranked = global_rank(e, ["ts", "event_id"], ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")),
+    ranked = global_rank(e, ["ts", "event_id"], ["user_id"], F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"),
                          rows_per_bucket, "_rn")
     prev = ranked.select(F.col("user_id").alias("_pu"), F.col("event_type").alias("_pt"),
                          F.explode(F.sequence(F.lit(1), F.lit(history_keep))).alias("_d"),
