@@ -156,3 +156,49 @@ def tokenize_with(df: DataFrame, text_col: str, encode: Callable[[list[str]], li
     def _enc(s: pd.Series) -> pd.Series:
         return pd.Series(encode(s.fillna("").tolist()))
     return df.withColumn(out, _enc(F.col(text_col)))
+
+
+def constant_ids(spark, vocab: DataFrame, texts: list[str]) -> list[list[int]]:
+    """Ids of constant strings (template pieces, a system prompt): the same
+    Java regex tokenises them in one one-row job, and only their distinct
+    tokens (a bounded handful) are looked up, in one more."""
+    arr = F.array(*[F.lit(t) for t in texts])
+    toks = spark.range(1).select(F.transform(arr, lambda x: word_tokens(x)).alias("t")).first()["t"]
+    plain = sorted({t for ts in toks for t in ts if t not in SPECIAL_IDS})
+    found = {r["t"]: int(r["id"]) for r in vocab.where(F.col("t").isin(plain)).select("t", "id").collect()} \
+        if plain else {}
+    return [[SPECIAL_IDS[t] if t in SPECIAL_IDS else found.get(t, UNK_ID) for t in ts] for ts in toks]
+
+
+class PromptTemplate:
+    """Id pieces of the image chat prompt, so ids are assembled by array
+    concatenation instead of tokenising the rendered string: the image
+    block (hundreds of placeholders per image) is ``array_repeat``, and only
+    the user text goes through tokenisation.  Token boundaries at every
+    junction are fixed (specials are atomic and a newline or a special
+    separates template from text), so the result equals tokenising the
+    rendered prompt."""
+
+    def __init__(self, spark, vocab: DataFrame, system: str | None = None):
+        nl = "\n"
+        head = K.BOS
+        if system:
+            head += K.START_OF_TURN + "system" + nl + system + K.END_OF_TURN
+        head += K.START_OF_TURN + "user" + nl + K.START_OF_IMAGE
+        self.head, self.mid, self.tail, self.answer_end = constant_ids(
+            spark, vocab, [head, K.END_OF_IMAGE + nl, K.END_OF_TURN + K.START_OF_TURN + "assistant" + nl,
+                           K.END_OF_TURN])
+
+    @staticmethod
+    def _arr(ids: list[int]) -> Column:
+        return F.array(*[F.lit(int(i)) for i in ids]).cast("array<int>")
+
+    def prompt_ids(self, user_ids, n_img) -> Column:
+        u = F.col(user_ids) if isinstance(user_ids, str) else user_ids
+        n = F.col(n_img) if isinstance(n_img, str) else n_img
+        return F.concat(self._arr(self.head), F.array_repeat(F.lit(K.IMAGE_TOKEN_ID), n.cast("int")),
+                        self._arr(self.mid), u, self._arr(self.tail))
+
+    def answer_ids(self, text_ids) -> Column:
+        t = F.col(text_ids) if isinstance(text_ids, str) else text_ids
+        return F.concat(t, self._arr(self.answer_end))

@@ -192,3 +192,113 @@ def grounding_quarantine(spark, sf):
                ("unparseable coordinate", AC.coordinate_error("a").isNotNull())]
     _, rejects = gates.quarantine(g, reasons)
     return rejects.select("sample_id", "reject_reason")
+
+
+@query("alias_columns", with_fixtures(f"""
+select sample_id, instruction, {sql_strip('target_text')} as target from gui_targets
+where instruction is not null and instruction <> '' and target_text is not null and target_text <> ''""",
+    "gui_targets"))
+def alias_columns(spark, sf):
+    """P1 on column names: a corpus that calls its fields ``query`` and
+    ``answer`` resolves to (instruction, target) by key absence, chosen
+    once from the schema."""
+    g = FX.gui_targets(spark, sf).withColumnRenamed("instruction", "query") \
+        .withColumnRenamed("target_text", "answer")
+    instr = fields.resolve_alias_columns(g, ["instruction", "query"], "")
+    target = fields.resolve_alias_columns(g, ["target", "answer", "action"], "")
+    r = g.select("sample_id", instr.alias("instruction"), target.alias("target_raw"))
+    kept = gates.require_target(r, "instruction", "target_raw")
+    return kept.select("sample_id", "instruction", py_strip("target_raw").alias("target"))
+
+
+# --- grounding samples, live path (E1): G1-G3, P1, P2, P7+P12, T1, T4, T5, T7, F4, F5 --
+
+GROUNDING_MAX_LEN = 1024
+
+
+def grounding_samples_df(spark, sf):
+    from tessera.functions import arrays as AR
+    from tessera.functions import geometry as GE
+    from tessera.operators.tokens import PromptTemplate, tokenize
+    from tessera.plans.samples import corpus_vocab
+    vocab = corpus_vocab(spark, sf)
+    g = FX.gui_targets(spark, sf).withColumn("target", _target_map())
+    g = gates.require_target(g, "instruction", "target_text")                     # F4 before strip
+    x = fields.resolve_alias_map("target", ["x", "x_norm"], 0.0)
+    y = fields.resolve_alias_map("target", ["y", "y_norm"], 0.0)
+    t = fields.canonical_target("kind", x=x, y=y, xy=F.array("x", "y"), text="target_text")
+    # image size of the sample (the img_dims view of the same events row)
+    w = F.lit(320) + F.col("sample_id") % 900
+    h = F.lit(240) + F.col("sample_id") % 700
+    nw, nh = GE.resize_plan(w, h)
+    s = g.select("sample_id", "instruction", t.alias("answer"), GE.num_image_tokens(nw, nh).alias("n_img"))
+    # instruction and answer tokenised separately, in one pass
+    tok = tokenize(s, "sample_id", ["instruction", "answer"], vocab, "_ids", "_nu")
+    user_ids = F.slice("_ids", F.lit(1), F.col("_nu"))
+    ans_ids = F.slice("_ids", F.col("_nu") + 1, F.greatest(F.size("_ids") - F.col("_nu"), F.lit(0)))
+    tpl = PromptTemplate(spark, vocab, K.GROUNDING_SYSTEM_PROMPT)
+    p = tok.select("sample_id", "n_img", tpl.prompt_ids(user_ids, "n_img").alias("prompt_ids"),
+                   tpl.answer_ids(ans_ids).alias("answer_ids"))
+    # F5, processor rule: the prompt's placeholders must equal the patch count
+    p = p.withColumn("_n_ph", AR.count_true(AR.image_mask("prompt_ids")))
+    p = gates.check_alignment(p, "_n_ph", "n_img", "fail")
+    full = p.select("sample_id", "n_img", F.size("prompt_ids").alias("n_prompt"),
+                    F.concat("prompt_ids", "answer_ids").alias("ids"))
+    # T4 live scope (answer forced false), T5 labels, then T7 (never re-checked)
+    full = full.select("sample_id", "n_img", "n_prompt",
+                       AR.truncate("ids", GROUNDING_MAX_LEN).alias("input_ids"),
+                       AR.truncate(AR.image_mask("ids", "n_prompt"), GROUNDING_MAX_LEN).alias("image_mask"),
+                       AR.truncate(AR.mask_labels("ids", "n_prompt"), GROUNDING_MAX_LEN).alias("labels"))
+    return full
+
+
+def _grounding_sql():
+    from tessera.plans.samples import _special_case, _tokens_sql, vocab_sql
+    w = "(320 + sample_id % 900)"
+    h = "(240 + sample_id % 700)"
+    from tessera.plans.geometry import _resize_sql
+    rw, rh = _resize_sql(w, h, 672)
+    canon = (f"case kind when 'dict' then 'click(x=' || printf('%.4f', x) || ', y=' || "
+             f"printf('%.4f', case when sample_id % 4 = 1 then 0.0 else y end) || ')' "
+             f"when 'list' then 'click(x=' || printf('%.4f', x) || ', y=' || printf('%.4f', y) || ')' "
+             f"else {sql_strip('target_text')} end")
+    s = f"""select sample_id, n_img,
+  '[@BOS@]<|start_of_turn|>system' || chr(10) || {sql_lit(K.GROUNDING_SYSTEM_PROMPT)} || '<|end_of_turn|>'
+    || '<|start_of_turn|>user' || chr(10) || '<|start_of_image|>' || repeat('<|image_soft_token|>', n_img)
+    || '<|end_of_image|>' || chr(10) || instruction || '<|end_of_turn|><|start_of_turn|>assistant' || chr(10) as prompt,
+  ({canon}) || '<|end_of_turn|>' as answer
+from (select *, (({rh}) // 16 // 2) * (({rw}) // 16 // 2) as n_img from gui_targets
+      where instruction is not null and instruction <> '' and target_text is not null and target_text <> '') q"""
+    body = f"""
+select sample_id, n_img, n_prompt, len(t_ids) as n_tokens,
+       len(list_filter(t_mask, lambda b: b)) as n_image,
+       len(list_filter(t_labels, lambda x: x <> -100)) as n_supervised,
+       array_to_string(t_ids, ',') as ids
+from (select a.k as sample_id, s.n_img, a.n_prompt,
+             list_slice(a.ids, 1, {GROUNDING_MAX_LEN}) as t_ids,
+             list_slice(list_transform(a.ids, lambda x, i: x = 8 and i <= a.n_prompt), 1, {GROUNDING_MAX_LEN}) as t_mask,
+             list_slice(list_transform(a.ids, lambda x, i: case when i <= a.n_prompt then -100 else x end), 1, {GROUNDING_MAX_LEN}) as t_labels
+      from agg a join s on a.k = s.sample_id) z"""
+    return with_fixtures(body, "gui_targets", extra={
+        "vocab": vocab_sql(), "s": s,
+        "tk": _tokens_sql("s", "sample_id", ["prompt", "answer"]),
+        "ti": f"select k, part, pos, coalesce({_special_case('tok')}, vocab.id, 0) as id from tk left join vocab on tk.tok = vocab.t",
+        "agg": "select k, list(id order by part, pos) as ids, count(*) filter (where part = 0) as n_prompt from ti group by k",
+    })
+
+
+@query("grounding_samples", _grounding_sql())
+def grounding_samples(spark, sf):
+    """Grounding training samples on the live path: resize plan and image
+    token count (G1-G3), grounding system prompt (P12) in the chat prompt
+    (P7), canonical target (P1, P2) as the answer (P13), ids assembled from
+    the template and the tokenised text (T1), placeholder check in fail mode
+    (F5), prompt-only image mask (T4), labels (T5), truncation to 1024 (T7)."""
+    from tessera.functions import arrays as AR
+    d = grounding_samples_df(spark, sf)
+    return d.select("sample_id", F.col("n_img").cast("bigint").alias("n_img"),
+                    F.col("n_prompt").cast("bigint").alias("n_prompt"),
+                    F.size("input_ids").cast("bigint").alias("n_tokens"),
+                    AR.count_true("image_mask").cast("bigint").alias("n_image"),
+                    AR.count_supervised("labels").cast("bigint").alias("n_supervised"),
+                    AR.ids_to_text("input_ids").alias("ids"))

@@ -69,3 +69,21 @@ def test_tokenize_truncates_while_collecting(spark):
     assert cut["input_ids"] == full["input_ids"][:4] and cut["n_prompt"] == full["n_prompt"] == 3
     cut2 = tokenize(s, "k", ["p", "a"], vocab, max_length=2).first()
     assert cut2["input_ids"] == full["input_ids"][:2] and cut2["n_prompt"] == 3
+
+
+def test_prompt_template_equals_tokenized_string(spark):
+    """Assembled ids == tokenising the rendered prompt, including text that
+    ends in template-like fragments."""
+    from tessera import constants as K
+    from tessera.functions.prompts import render_prompt
+    from tessera.operators.tokens import PromptTemplate
+    docs = spark.createDataFrame([(1, "user assistant system the cat a b")], "doc_id long, text string")
+    vocab = build_vocab(docs)
+    s = spark.createDataFrame([(1, "the cat", 3), (2, "a <|end", 1), (3, "", 0), (4, "x <", 2)],
+                              "k long, u string, n int")
+    tpl = PromptTemplate(spark, vocab, K.GROUNDING_SYSTEM_PROMPT)
+    u = tokenize(s, "k", ["u"], vocab, "uids", "nu")
+    got = {r["k"]: r["ids"] for r in u.select("k", tpl.prompt_ids("uids", "n").alias("ids")).collect()}
+    r = s.withColumn("p", render_prompt("u", F.col("n"), F.lit(K.GROUNDING_SYSTEM_PROMPT)))
+    want = {x["k"]: x["input_ids"] for x in tokenize(r, "k", ["p"], vocab).collect()}
+    assert got == want
