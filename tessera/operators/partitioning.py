@@ -1,10 +1,13 @@
 """Spreading CPU-heavy row work over the cluster.
 
-A scan has one task per file split; a source stored as few large row
-groups yields fewer tasks than cores.  Regex tokenisation and parsing are
-CPU-bound per row, so such a frame is round-robin repartitioned to the
-default parallelism first.  When the source already has at least that many
-partitions (any large table) this is a no-op and adds no shuffle.
+A scan has one task per file split, and a file stored as one large row
+group is a single split.  Regex tokenisation and parsing are CPU-bound per
+row, so a frame read from fewer files than the default parallelism is
+round-robin repartitioned first.  The test uses ``inputFiles()`` (planning
+only: no job runs, also when the frame contains shuffles); a large table
+has far more files than cores and passes through unchanged.  Call it on
+the scan side (a frame that has not been shuffled yet): after a shuffle the
+rows are already spread over the shuffle partitions.
 """
 
 from __future__ import annotations
@@ -14,5 +17,4 @@ from pyspark.sql import DataFrame
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()          # planning only, no job
-    return df.repartition(target) if n < target else df
+    return df.repartition(target) if len(df.inputFiles()) < target else df

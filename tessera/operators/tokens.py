@@ -111,7 +111,7 @@ def tokenize(df: DataFrame, key: str, parts: list[str], vocab: DataFrame,
     group holds at most ``len(parts) * max_length`` tokens however long its
     text is; ``n_first`` still counts every token of the first part.
     """
-    src = spread(df.select(key, *parts))
+    src = df.select(key, *parts)
     exploded = None
     for i, p in enumerate(parts):
         e = src.select(F.col(key).alias("_key"), F.lit(i).alias("_part"),

@@ -10,6 +10,7 @@ from tessera.functions import prompts as PR
 from tessera.functions.text import ASCII_DIGITS, UNICODE_DIGITS, py_strip
 from tessera.operators import fields, gates
 from tessera.operators.actions import parse_action_df
+from tessera.operators.partitioning import spread
 from tessera.plans import fixtures as FX
 from tessera.plans.fixture_sql import with_fixtures
 from tessera.plans.registry import query
@@ -72,7 +73,7 @@ from (select sample_id, {cols} from gui_targets) q""", "gui_targets")
 
 @query("parse_action", _parse_sql())
 def parse_action_q(spark, sf):
-    t = parse_action_df(FX.gui_targets(spark, sf).select("sample_id", "target_text"), "target_text", "a")
+    t = parse_action_df(spread(FX.gui_targets(spark, sf).select("sample_id", "target_text")), "target_text", "a")
     return t.select("sample_id", *_flat(F.col("a")), AC.validate_action("a").alias("valid"))
 
 
@@ -185,7 +186,7 @@ select sample_id, reason as reject_reason from (
 where reason is not null""", "gui_targets"))
 def grounding_quarantine(spark, sf):
     """rows a loader would skip, with the reason, instead of dropping them."""
-    g = parse_action_df(FX.gui_targets(spark, sf), "target_text", "a")
+    g = parse_action_df(spread(FX.gui_targets(spark, sf)), "target_text", "a")
     reasons = [("missing instruction", F.col("instruction").isNull() | (F.col("instruction") == "")),
                ("missing target", F.col("target_text").isNull() | (F.col("target_text") == "")),
                ("no action", F.col("a").isNull()),
