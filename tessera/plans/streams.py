@@ -119,17 +119,21 @@ def stream_samples(spark, sf):
     return _append_to_files(SC.build_samples(stream), spark, "stream-samples")
 
 
-@query("stream_cache")
+@query("stream_cache", """
+select shard_id, count(*) as n_rows from (
+  select (row_number() over (order by vec_id) - 1) // 64 as shard_id from embeddings) q group by shard_id""")
 def stream_cache(spark, sf):
-    """ST6: one-pass cache write per micro-batch (rows-only check: shard ids
-    depend on how files fall into micro-batches)."""
+    """ST6: one-pass cache write as embedding files arrive; full 64-row
+    shards with the remainder carried between micro-batches, final partial
+    shard flushed at the end.  Shard sizes equal the batch form's."""
     src = _scratch(spark, "emb-files")
     emb = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     emb.repartition(4).write.parquet(src)
-    stream = spark.readStream.schema(emb.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = spark.readStream.schema(emb.schema).option("maxFilesPerTrigger", 2).parquet(src)
     out = _scratch(spark, "stream-cache")
     q = SC.stream_cache(stream, out, "vec_id", 64, os.path.join(out, "_ckpt"))
     q.awaitTermination()
-    back = spark.read.parquet(out)
-    return back.groupBy("batch_id", "shard_id").agg(F.count(F.lit(1)).alias("n_rows"),
-                                                    F.min("vec_id").alias("first_id"))
+    SC.flush_cache(spark, out, "vec_id", 64)
+    back = spark.read.parquet(os.path.join(out, "shards"))
+    return back.groupBy(F.col("shard_id").cast("bigint").alias("shard_id")) \
+        .agg(F.count(F.lit(1)).alias("n_rows"))

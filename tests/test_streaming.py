@@ -77,11 +77,15 @@ def test_build_samples_stream_equals_batch(spark, scratch):
 def test_stream_cache_shards(spark, scratch):
     emb = spark.read.parquet(f"{SF001}/embeddings.parquet").select("vec_id", "embedding")
     src = os.path.join(scratch, "emb")
-    emb.repartition(2).write.parquet(src)
+    emb.repartition(3).write.parquet(src)
     stream = spark.readStream.schema(emb.schema).option("maxFilesPerTrigger", 1).parquet(src)
     out = os.path.join(scratch, "cache")
-    q = SC.stream_cache(stream, out, "vec_id", 100, os.path.join(scratch, "c"))
+    q = SC.stream_cache(stream, out, "vec_id", 64, os.path.join(scratch, "c"))
     q.awaitTermination()
-    back = spark.read.parquet(out)
-    assert back.count() == emb.count()
-    assert back.groupBy("batch_id", "shard_id").count().where("count > 100").count() == 0
+    SC.flush_cache(spark, out, "vec_id", 64)
+    back = spark.read.parquet(os.path.join(out, "shards"))
+    n = emb.count()
+    assert back.count() == n and back.select("vec_id").distinct().count() == n
+    sizes = sorted((r["shard_id"], r["count"]) for r in back.groupBy("shard_id").count().collect())
+    assert [s for s, _ in sizes] == list(range(len(sizes)))          # ids 0..k-1, each once
+    assert all(c == 64 for _, c in sizes[:-1]) and 0 < sizes[-1][1] <= 64
