@@ -61,3 +61,10 @@ def test_rate_guard(spark):
     r = spark.createDataFrame([(10, 0.0), (10, 2.0)], "n long, s double") \
         .select(GE.rate("n", "s").alias("r")).collect()
     assert [x["r"] for x in r] == [0.0, 5.0]
+
+
+def test_preview_counts_code_points_like_python(spark):
+    from tessera.functions.prompts import preview
+    vals = ["😀" * 150 + "abc" * 40, "नमस्ते, आप कैसे हैं?" * 20, "இது என்ன?" * 30, "short"]
+    rows = spark.createDataFrame([(v,) for v in vals], "s string").select(preview("s").alias("p")).collect()
+    assert [r["p"] for r in rows] == [v[:200] for v in vals]

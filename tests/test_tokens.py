@@ -87,3 +87,21 @@ def test_prompt_template_equals_tokenized_string(spark):
     r = s.withColumn("p", render_prompt("u", F.col("n"), F.lit(K.GROUNDING_SYSTEM_PROMPT)))
     want = {x["k"]: x["input_ids"] for x in tokenize(r, "k", ["p"], vocab).collect()}
     assert got == want
+
+
+def test_placeholder_in_user_text_cache_drops_live_fails(spark):
+    """A user text that itself contains a placeholder: the cache path counts
+    placeholders over the whole sequence and drops the row; the processor
+    rule counts the prompt and fails."""
+    import pytest
+    from tessera.functions.prompts import answer_text, render_prompt
+    from tessera.operators.gates import check_alignment
+    docs = spark.createDataFrame([(1, "hello world")], "doc_id long, text string")
+    vocab = build_vocab(docs)
+    s = spark.createDataFrame([(1, "hello", "world", 2), (2, "see <|image_soft_token|>", "ok", 2)],
+                              "k long, u string, a string, n int")
+    s = s.select("k", "n", render_prompt("u", F.col("n")).alias("p"), answer_text("a").alias("ans"))
+    t = tokenize(s, "k", ["p", "ans"], vocab).withColumn("n_img", AR.count_true(AR.image_mask("input_ids")))
+    assert [r["k"] for r in check_alignment(t, "n_img", "n", "drop").collect()] == [1]
+    with pytest.raises(Exception, match="image token count mismatch"):
+        check_alignment(t, "n_img", "n", "fail").collect()
