@@ -11,7 +11,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.plans import fixtures as FX
-from tessera.plans.cache import SHARDED_SQL  # noqa: F401  (documented twin)
 from tessera.plans.fixture_sql import with_fixtures
 from tessera.plans.logs import PARSED_SQL, SAVE_EVERY, step_log_folder
 from tessera.plans.registry import query
