@@ -36,16 +36,16 @@ def cache_folder(spark, sf) -> str:
 def build_cache(spark, sf):
     """Write the embeddings as a feature cache of 64-row shards, with one
     shard lost in transit (its rows never reach the sink), and return the
-    cache root.  The manifest counts every planned shard."""
+    cache root.  Shards are assigned on the ids alone (narrow rank), the
+    manifest counts every planned shard."""
     emb = scan_corpus(spark, f"{sf}/embeddings.parquet").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("feature"), "label",
         F.lit(1).alias("num_patches"))
-    sharded = assign_shards(emb, ["id"], SHARD_SIZE)
+    shard_map = assign_shards(emb.select("id"), ["id"], SHARD_SIZE)
+    sharded = emb.join(shard_map, "id").where(F.col("shard_id") != LOST_SHARD)
     root = _cache_root(spark)
-    FC.write_feature_cache(sharded.where(F.col("shard_id") != LOST_SHARD), root, ["id"],
-                           shard_size=SHARD_SIZE, already_sharded=True)
-    manifest = FC.build_manifest(sharded.drop("feature"), "embeddings", "default", shard_size=SHARD_SIZE)
-    FC.write_manifest(manifest, root)
+    FC.write_feature_cache(sharded, root, ["id"], shard_size=SHARD_SIZE, already_sharded=True)
+    FC.write_manifest(FC.build_manifest(shard_map, "embeddings", "default", shard_size=SHARD_SIZE), root)
     return root
 
 

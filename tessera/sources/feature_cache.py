@@ -24,20 +24,32 @@ from tessera.operators.ranking import DEFAULT_ROWS_PER_BUCKET, assign_shards
 
 
 def write_feature_cache(df: DataFrame, root: str, order_cols, feature_col: str = "feature",
-                        shard_size: int = K.DEFAULT_SHARD_SIZE, already_sharded: bool = False,
+                        shard_size: int = K.DEFAULT_SHARD_SIZE, id_col: str = "id",
+                        already_sharded: bool = False,
                         rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Fixed ``shard_size`` valid rows per shard (the last one partial),
-    shard id and position from the two-phase global rank (W3).  Each shard
-    is written by one task (``repartition(shard_id)``), so a shard is one
-    file and a retried task rewrites the same shard.  Returns the sharded
-    frame (metadata columns only) for the manifest."""
-    s = df if already_sharded else assign_shards(df, order_cols, shard_size,
-                                                 rows_per_bucket=rows_per_bucket)
-    s = s.repartition("shard_id")
-    s.select("shard_id", "pos", feature_col).write.mode("overwrite") \
+    shard id and position from the two-phase global rank (W3).
+
+    The rank runs on the narrow columns only: an image's features are
+    hundreds of 4096-wide rows, so they never pass through the rank's
+    shuffles.  The wide column meets its (shard_id, pos) in one join on the
+    unique ``id_col`` and is repartitioned by shard, so each shard is
+    written by one task (one file; a retried task rewrites the same shard).
+    Returns the narrow sharded metadata (for the manifest)."""
+    narrow_cols = [c for c in df.columns if c != feature_col]
+    if already_sharded:
+        meta = df.select(*narrow_cols)
+        wide = df.select("shard_id", "pos", feature_col)
+    else:
+        meta = assign_shards(df.select(*narrow_cols), order_cols, shard_size,
+                             rows_per_bucket=rows_per_bucket)
+        shard_map = meta.select(F.col(id_col).alias("_sid"), "shard_id", "pos")
+        wide = df.select(F.col(id_col).alias("_wid"), feature_col) \
+            .join(shard_map, F.col("_wid") == F.col("_sid")).select("shard_id", "pos", feature_col)
+    wide.repartition("shard_id").write.mode("overwrite") \
         .partitionBy("shard_id").parquet(os.path.join(root, "features"))
-    meta = s.drop(feature_col)
-    meta.write.mode("overwrite").partitionBy("shard_id").parquet(os.path.join(root, "meta"))
+    meta.repartition("shard_id").write.mode("overwrite").partitionBy("shard_id") \
+        .parquet(os.path.join(root, "meta"))
     return meta
 
 
