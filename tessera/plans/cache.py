@@ -153,6 +153,8 @@ def linear_encoder(patches: int = 4, seed: int = 11):
 
 @query("extract_features")
 def extract_features_q(spark, sf):
-    """Filters first (label != 3), then the encoder over Arrow batches."""
+    """Filters first (label != 3), then the encoder over Arrow batches,
+    one row per patch (the cache's row shape)."""
     e = scan_corpus(spark, f"{sf}/embeddings.parquet").where(F.col("label") != 3).select("vec_id", "embedding")
-    return FE.extract_features(e, linear_encoder()).select("vec_id", "num_patches", "feature")
+    return FE.extract_features(e, linear_encoder(), per_patch=True) \
+        .select("vec_id", "patch_idx", "num_patches", "feature")

@@ -59,3 +59,16 @@ def test_feature_cache_roundtrip(spark, scratch):
     assert sizes[-1] == 64 and sum(sizes) == emb.count()
     man = FC.read_manifest(spark, root).first()
     assert man["num_shards"] == len(sizes) and man["total_samples"] == emb.count()
+
+
+def test_extract_features_per_patch(spark):
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet").where("label != 3").select("vec_id", "embedding")
+    flat = {r["vec_id"]: r["feature"] for r in extract_features(e, linear_encoder()).collect()}
+    rows = extract_features(e, linear_encoder(), per_patch=True).collect()
+    assert len(rows) == 4 * len(flat)
+    by = {}
+    for r in rows:
+        assert r["num_patches"] == 4 and len(r["feature"]) == 16
+        by.setdefault(r["vec_id"], {})[r["patch_idx"]] = r["feature"]
+    for vid, f in flat.items():
+        assert [x for k in range(4) for x in by[vid][k]] == list(f)
