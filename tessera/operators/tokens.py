@@ -8,7 +8,12 @@ output is checkable in SQL.  A real subword tokenizer plugs in through
 Id lookup is a join, split by frequency: the ``hot_size`` most frequent
 tokens (a bounded, broadcast table) are resolved map-side, which removes
 the skewed keys ("the", ",") from the shuffle; the long tail goes through a
-shuffle join.  Both are exact; nothing is capped.
+shuffle join.  Both are exact; nothing is capped.  The two branches each
+re-run the (map-side, parallel) regex over their input rather than sharing
+it: sharing would need extra per-sample shuffles and a re-join, and at
+scale the shuffled bytes cost more than the regex CPU.  The hot branch's
+rows, about 90% of token occurrences on Zipf-like text, never reach the
+tail shuffle.
 """
 
 from __future__ import annotations
