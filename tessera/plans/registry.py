@@ -36,9 +36,21 @@ def load_all() -> None:
                 raise
 
 
+def _shipped(fn: Builder) -> Builder:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tessera.session import ship_package
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, Builder]:
+    """Registered builders; each first makes the package importable on the
+    executors (Arrow and stream-state functions run there)."""
     load_all()
-    return dict(QUERIES)
+    return {k: _shipped(v) for k, v in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

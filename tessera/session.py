@@ -52,3 +52,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(d)
     # the context may have appended a unique subfolder; use what it reports
     return sc.getCheckpointDir() or d
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable in the Python workers.
+
+    Arrow functions and stateful stream functions defined at module level
+    are pickled by reference, so executors must be able to import the
+    package.  It is zipped once per application into the checkpoint folder
+    and registered with ``addPyFile`` (the runtime form of ``--py-files``).
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    dest = os.path.join(checkpoint_dir(spark), f"tessera-pyfiles-{app}")
+    if dest.startswith("file:"):
+        dest = dest[len("file:"):]
+    os.makedirs(dest, exist_ok=True)
+    archive = shutil.make_archive(os.path.join(dest, "tessera"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="tessera")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)

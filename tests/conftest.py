@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tessera.session import get_session  # noqa: E402
+from tessera.session import get_session, ship_package  # noqa: E402
 
 SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
@@ -16,6 +16,7 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     s = get_session(master="local[*]", shuffle_partitions=8,
                     extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tessera-test-ckpt-")})
+    ship_package(s)
     yield s
     s.stop()
 
