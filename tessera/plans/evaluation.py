@@ -116,19 +116,21 @@ def compare_runs_q(spark, sf):
 
 
 REQ_SQL = """select doc_id, case doc_id % 6
-    when 0 then 'q' when 1 then '   ' when 2 then 'text | ' || substr(text, 1, 40)
-    when 3 then 'img_' || cast(doc_id as varchar) || '.png | ' || substr(text, 1, 40)
-    when 4 then '  EXIT  ' else ' TEXT|' || substr(text, 1, 20) || ' | a | b' end as request
+    when 0 then 'q' when 1 then '   ' when 2 then 'text | ' || text
+    when 3 then 'img_' || cast(doc_id as varchar) || '.png | ' || text
+    when 4 then '  EXIT  ' else ' TEXT|' || text || ' | a | b' end as request
 from documents"""
 
 
 def requests_df(spark, sf):
+    """A request table over the whole documents: quit words, blank input,
+    text-mode and image-mode requests, and prompts with later pipes."""
     d = scan_corpus(spark, f"{sf}/documents.parquet")
     m = F.col("doc_id") % 6
-    head = lambda n: F.substring("text", 1, n)
-    req = (F.when(m == 0, "q").when(m == 1, "   ").when(m == 2, F.concat(F.lit("text | "), head(40)))
-           .when(m == 3, F.concat(F.lit("img_"), F.col("doc_id").cast("string"), F.lit(".png | "), head(40)))
-           .when(m == 4, "  EXIT  ").otherwise(F.concat(F.lit(" TEXT|"), head(20), F.lit(" | a | b"))))
+    t = F.col("text")
+    req = (F.when(m == 0, "q").when(m == 1, "   ").when(m == 2, F.concat(F.lit("text | "), t))
+           .when(m == 3, F.concat(F.lit("img_"), F.col("doc_id").cast("string"), F.lit(".png | "), t))
+           .when(m == 4, "  EXIT  ").otherwise(F.concat(F.lit(" TEXT|"), t, F.lit(" | a | b"))))
     return d.select("doc_id", req.alias("request"))
 
 

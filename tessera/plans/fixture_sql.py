@@ -47,7 +47,7 @@ from (select event_type as stage, row_number() over (partition by event_type ord
         cast(round(value*100) as bigint) as c from events) q""",
     "evals": """
 select doc_id, case when doc_id % 2 = 0 then 'step_500' else 'step_1000' end as run,
-  cast(floor(doc_id/2) as bigint) as prompt_id, lang as suite, substr(text,1,300) as response,
+  cast(floor(doc_id/2) as bigint) as prompt_id, lang as suite, text as response,
   n_chars % 64 as tokens, cast((doc_id % 5) * 0.5 as double) as elapsed_s
 from documents""",
     "tensor_catalog": """
