@@ -4,8 +4,10 @@
 one task, and ``partition by key`` does the same for a key that holds a third
 of the rows.  ``global_rank`` computes the identical number in two phases:
 
-1. rows get a bucket that is monotone in the ordering (a range slice of a
-   numeric order column, chosen from a one-row min/max/count aggregate);
+1. rows get a bucket that is monotone in the ordering: a slice of a numeric
+   order column between data-driven boundaries (count and approximate
+   percentiles from one aggregate pass), so a dense key range gets
+   proportionally many buckets;
 2. rows per (key, bucket) are counted (map-side partial aggregation, one
    small row per bucket), a running sum over that *small* table gives each
    bucket's offset, and the offset is joined back (AQE broadcasts it when its
@@ -31,6 +33,37 @@ def _order_exprs(order_cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_cols]
 
 
+QUANTILE_STEPS = 100
+
+
+def _bucketize(tagged: DataFrame, rows_per_bucket: int) -> Column:
+    """Bucket of ``_bsrc``, non-decreasing in it, about ``rows_per_bucket``
+    rows each.  One pass computes the count and approximate percentiles at
+    1% steps; every percentile interval gets the same number of
+    equal-width sub-buckets, so a dense range of the key (a third of the
+    rows in a narrow slice) gets a third of the buckets.  Rows sharing one
+    exact value cannot be split by any bucket on that value."""
+    probs = [i / QUANTILE_STEPS for i in range(QUANTILE_STEPS + 1)]
+    st = tagged.agg(F.count("_bsrc").alias("n"),
+                    F.percentile_approx("_bsrc", probs, 10000).alias("q")).first()
+    n, qs = st["n"], st["q"]
+    src = F.col("_bsrc")
+    nb = max(1, math.ceil((n or 0) / max(1, rows_per_bucket)))
+    if not n or nb == 1 or qs is None:
+        return F.when(src.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
+    sub = max(1, math.ceil(nb / QUANTILE_STEPS))
+    interval = None
+    for i in range(1, QUANTILE_STEPS):   # one flat CASE WHEN over the percentiles
+        cond = src < F.lit(float(qs[i]))
+        interval = F.when(cond, F.lit(i - 1)) if interval is None else interval.when(cond, F.lit(i - 1))
+    interval = interval.otherwise(F.lit(QUANTILE_STEPS - 1))
+    lo = F.element_at(F.array(*[F.lit(float(q)) for q in qs[:-1]]), interval + 1)
+    hi = F.element_at(F.array(*[F.lit(float(q)) for q in qs[1:]]), interval + 1)
+    width = F.greatest((hi - lo) / F.lit(float(sub)), F.lit(1e-300))
+    within = F.least(F.greatest(F.floor((src - lo) / width), F.lit(0)), F.lit(sub - 1))
+    return F.when(src.isNull(), F.lit(-1)).otherwise(interval * F.lit(sub) + within).cast("bigint")
+
+
 def global_rank(df: DataFrame, order_cols, partition_cols=(), bucket_expr: Column | None = None,
                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, rank_col: str = "rank",
                 bucket_cols: list[Column] | None = None) -> DataFrame:
@@ -48,19 +81,7 @@ def global_rank(df: DataFrame, order_cols, partition_cols=(), bucket_expr: Colum
         return _rank_with_buckets(df, order, partition_cols, bucket_cols, rank_col)
     src = bucket_expr if bucket_expr is not None else order[0]
     tagged = df.withColumn("_bsrc", src.cast("double"))
-    st = tagged.agg(F.min("_bsrc").alias("lo"), F.max("_bsrc").alias("hi"),
-                    F.count(F.lit(1)).alias("n")).first()
-    n, lo, hi = st["n"], st["lo"], st["hi"]
-    if not n or lo is None:
-        width, lo = 1.0, 0.0
-    else:
-        n_buckets = max(1, math.ceil(n / max(1, rows_per_bucket)))
-        width = max((hi - lo) / n_buckets, 1e-300) * (1 + 1e-12)
-        if width == 0:
-            width = 1.0
-    bucket = F.when(F.col("_bsrc").isNull(), F.lit(-1)).otherwise(
-        F.floor((F.col("_bsrc") - F.lit(lo)) / F.lit(width))).cast("bigint")
-    tagged = tagged.withColumn("_b", bucket).drop("_bsrc")
+    tagged = tagged.withColumn("_b", _bucketize(tagged, rows_per_bucket)).drop("_bsrc")
     counts = tagged.groupBy(*partition_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*partition_cols).orderBy("_b") \
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -145,16 +166,7 @@ def prefix_aggregate(df: DataFrame, value_col: str, order_cols, partition_cols=(
     fn = _PREFIX_AGGS[agg]
     src = bucket_expr if bucket_expr is not None else order[0]
     tagged = df.withColumn("_bsrc", src.cast("double"))
-    st = tagged.agg(F.min("_bsrc").alias("lo"), F.max("_bsrc").alias("hi"),
-                    F.count(F.lit(1)).alias("n")).first()
-    n, lo, hi = st["n"], st["lo"], st["hi"]
-    if not n or lo is None:
-        width, lo = 1.0, 0.0
-    else:
-        nb = max(1, math.ceil(n / max(1, rows_per_bucket)))
-        width = max((hi - lo) / nb, 1e-300) * (1 + 1e-12)
-    tagged = tagged.withColumn("_b", F.when(F.col("_bsrc").isNull(), F.lit(-1)).otherwise(
-        F.floor((F.col("_bsrc") - F.lit(lo)) / F.lit(width))).cast("bigint")).drop("_bsrc")
+    tagged = tagged.withColumn("_b", _bucketize(tagged, rows_per_bucket)).drop("_bsrc")
     per_bucket = tagged.groupBy(*partition_cols, "_b").agg(fn(value_col).alias("_bagg"))
     w_carry = Window.partitionBy(*partition_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(*[F.col(c).alias(f"_k_{c}") for c in partition_cols],
