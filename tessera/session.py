@@ -62,8 +62,9 @@ def ship_package(spark: SparkSession) -> None:
 
     Arrow functions and stateful stream functions defined at module level
     are pickled by reference, so executors must be able to import the
-    package.  It is zipped once per application into the checkpoint folder
-    and registered with ``addPyFile`` (the runtime form of ``--py-files``).
+    package.  It is zipped once per application and registered with
+    ``addPyFile`` (the runtime form of ``--py-files``): Spark's file server
+    ships the archive to every executor.
     """
     import shutil
 
@@ -72,10 +73,16 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    dest = os.path.join(checkpoint_dir(spark), f"tessera-pyfiles-{app}")
-    if dest.startswith("file:"):
-        dest = dest[len("file:"):]
-    os.makedirs(dest, exist_ok=True)
+    ckpt = checkpoint_dir(spark)
+    if ckpt.startswith("file:"):
+        ckpt = ckpt[len("file:"):]
+    if "://" in ckpt:
+        # a cluster store (hdfs://, s3a://): the archive only has to exist on
+        # the driver, whose file server ships it; executors never read it
+        dest = tempfile.mkdtemp(prefix=f"tessera-pyfiles-{app}-")
+    else:
+        dest = os.path.join(ckpt, f"tessera-pyfiles-{app}")
+        os.makedirs(dest, exist_ok=True)
     archive = shutil.make_archive(os.path.join(dest, "tessera"), "zip",
                                   root_dir=os.path.dirname(pkg_dir), base_dir="tessera")
     sc.addPyFile(archive)
