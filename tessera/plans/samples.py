@@ -308,3 +308,23 @@ def decode_tail(spark, sf):
     new = fixed.withColumn("new_ids", AR.new_tokens("output_ids", F.size("prompt_ids")))
     dec = decode_ids(new, "sample_id", "new_ids", vocab, "response")
     return dec.select("sample_id", F.size("new_ids").cast("bigint").alias("n_new"), "response")
+
+
+# --- T2 unknown check: vocabulary coverage of the answers ---------------------
+
+@query("vocab_coverage", with_fixtures("""
+select k as conv_id, count(*) as n_tokens, count(*) filter (where id = 0) as n_unknown
+from ti group by k""", extra={
+    "vocab": vocab_sql(),
+    "s": f"select conv_id, answer from ({CHAT_SAMPLES_SQL}) c",
+    "tk": _tokens_sql("s", "conv_id", ["answer"]),
+    "ti": f"select k, part, pos, coalesce({_special_case('tok')}, vocab.id, 0) as id from tk left join vocab on tk.tok = vocab.t",
+}))
+def vocab_coverage(spark, sf):
+    """T2 unknown check: tokens of each chat answer that the documents'
+    vocabulary does not know (id 0), next to the answer's length."""
+    from tessera.operators.tokens import UNK_ID, tokenize
+    s = chat_samples_df(spark, sf).select("conv_id", "answer")
+    t = tokenize(s, "conv_id", ["answer"], corpus_vocab(spark, sf))
+    return t.select("conv_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                    F.size(F.filter("input_ids", lambda x: x == F.lit(UNK_ID))).cast("bigint").alias("n_unknown"))
