@@ -71,6 +71,9 @@ def global_rank(df: DataFrame, order_cols, partition_cols=(), bucket_expr: Colum
 
     ``bucket_expr`` must be numeric and non-decreasing in the ordering; by
     default the first order column (which must then be numeric, ascending).
+    The order columns should be unique within a partition: with ties,
+    ``row_number`` may differ between a task and its retry, and a rank used
+    as a join key or shard id must be the same on every attempt.
     ``bucket_cols`` instead gives exact bucket columns (no statistics pass)
     whose lexicographic ascending order is non-decreasing in the ordering,
     e.g. ``[-count, substring(token, 1, 2)]`` for ``count desc, token``.
