@@ -7,6 +7,7 @@ not.  These helpers centralise the exact rules so every operator uses them.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,7 +63,10 @@ def py_float(c) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _fixed4(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None or v != v else f"{v:.4f}")
+    v = s.to_numpy(dtype="float64", na_value=np.nan)
+    out = np.char.mod("%.4f", v).astype(object)     # Python's exact %-formatting
+    out[np.isnan(v)] = None
+    return pd.Series(out, index=s.index)
 
 
 def py_fixed4(c) -> Column:
