@@ -300,8 +300,10 @@ def decode_tail(spark, sf):
     t = gates.require_assistant(_turns_with_extras(spark, sf, ""))
     s = t.select("sample_id", PR.render_prompt("human", F.col("num_patches")).alias("prompt"),
                  PR.answer_text("assistant").alias("answer"))
-    p = tokenize(s, "sample_id", ["prompt"], vocab, "prompt_ids", "n_prompt")
-    a = tokenize(p, "sample_id", ["answer"], vocab, "answer_ids", "n_answer")
+    t = tokenize(s, "sample_id", ["prompt", "answer"], vocab, "_ids", "n_prompt")   # one pass, both parts
+    a = t.withColumn("prompt_ids", F.slice("_ids", F.lit(1), F.col("n_prompt"))) \
+        .withColumn("answer_ids", F.slice("_ids", F.col("n_prompt") + 1,
+                                          F.greatest(F.size("_ids") - F.col("n_prompt"), F.lit(0))))
     gen = a.withColumn("output_ids", F.when(F.col("sample_id") % 2 == 0,
                                             F.concat("prompt_ids", "answer_ids")).otherwise(F.col("answer_ids")))
     fixed = gen.withColumn("output_ids", AR.normalize_output("prompt_ids", "output_ids"))
