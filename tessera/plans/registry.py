@@ -13,7 +13,8 @@ Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
 
-_MODULES = ["samples", "gui", "geometry", "assembly", "cache", "logs", "evaluation", "catalog", "streams"]
+_MODULES = ["samples", "gui", "geometry", "assembly", "cache", "logs", "evaluation", "catalog", "streams",
+            "training"]
 
 
 def query(name: str, sql: str | None = None):
