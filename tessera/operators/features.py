@@ -61,7 +61,7 @@ Encoder = Callable[[pd.DataFrame], list[np.ndarray]]
 
 def extract_features(df: DataFrame, make_encoder: Callable[[], Encoder], out: str = "feature",
                      patches_col: str = "num_patches", flatten: bool = True,
-                     per_patch: bool = False) -> DataFrame:
+                     per_patch: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Batch feature extraction with a user-supplied encoder.
     ``make_encoder()`` runs once per task (model load); the encoder maps a
     pandas batch to one ``[num_patches, dim]`` array per row.  Values are
@@ -71,11 +71,15 @@ def extract_features(df: DataFrame, make_encoder: Callable[[], Encoder], out: st
     ``per_patch`` emits one row per patch (``patch_idx``, ``out`` of one
     patch's ``dim`` values), the cache's row shape: rows stay ``dim`` wide
     instead of ``num_patches * dim``, and the alignment join (J2) can key
-    on (id, patch)."""
+    on (id, patch).  ``keep`` names the input columns carried to the
+    output (default: all); in per-patch mode pass the id only, or every
+    patch row would repeat the encoder's input (an image's bytes)."""
     extra = [T.StructField(out, T.ArrayType(T.FloatType())), T.StructField(patches_col, T.IntegerType())]
     if per_patch:
         extra.append(T.StructField("patch_idx", T.IntegerType()))
-    schema = T.StructType(df.schema.fields + extra)
+    kept = [f for f in df.schema.fields if keep is None or f.name in keep]
+    keep_names = [f.name for f in kept]
+    schema = T.StructType(kept + extra)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = make_encoder()
@@ -84,15 +88,16 @@ def extract_features(df: DataFrame, make_encoder: Callable[[], Encoder], out: st
             half = [np.asarray(f, dtype=np.float16).astype(np.float32) for f in feats]
             counts = [int(h.shape[0]) for h in half]
             if per_patch:
-                rep = pdf.loc[pdf.index.repeat(counts)].reset_index(drop=True)
+                rep = pdf[keep_names].loc[pdf.index.repeat(counts)].reset_index(drop=True)
                 rep[out] = [row for h in half for row in h]
                 rep[patches_col] = np.repeat(counts, counts).astype("int32")
                 rep["patch_idx"] = np.concatenate([np.arange(c, dtype="int32") for c in counts]) \
                     if counts else np.array([], dtype="int32")
                 yield rep
                 continue
-            pdf[out] = [h.reshape(-1) if flatten else h for h in half]
-            pdf[patches_col] = counts
-            yield pdf
+            res = pdf[keep_names].copy()
+            res[out] = [h.reshape(-1) if flatten else h for h in half]
+            res[patches_col] = counts
+            yield res
 
     return df.mapInPandas(run, schema)

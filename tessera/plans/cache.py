@@ -156,5 +156,5 @@ def extract_features_q(spark, sf):
     """Filters first (label != 3), then the encoder over Arrow batches,
     one row per patch (the cache's row shape)."""
     e = scan_corpus(spark, f"{sf}/embeddings.parquet").where(F.col("label") != 3).select("vec_id", "embedding")
-    return FE.extract_features(e, linear_encoder(), per_patch=True) \
+    return FE.extract_features(e, linear_encoder(), per_patch=True, keep=["vec_id"]) \
         .select("vec_id", "patch_idx", "num_patches", "feature")

@@ -64,7 +64,9 @@ def test_feature_cache_roundtrip(spark, scratch):
 def test_extract_features_per_patch(spark):
     e = spark.read.parquet(f"{SF01}/embeddings.parquet").where("label != 3").select("vec_id", "embedding")
     flat = {r["vec_id"]: r["feature"] for r in extract_features(e, linear_encoder()).collect()}
-    rows = extract_features(e, linear_encoder(), per_patch=True).collect()
+    out = extract_features(e, linear_encoder(), per_patch=True, keep=["vec_id"])
+    assert out.columns == ["vec_id", "feature", "num_patches", "patch_idx"]
+    rows = out.collect()
     assert len(rows) == 4 * len(flat)
     by = {}
     for r in rows:
