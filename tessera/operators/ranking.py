@@ -36,7 +36,7 @@ def _order_exprs(order_cols) -> list[Column]:
 QUANTILE_STEPS = 100
 
 
-def _bucketize(tagged: DataFrame, rows_per_bucket: int) -> Column:
+def _bucketize(tagged: DataFrame, rows_per_bucket: int, with_quantiles: bool = False):
     """Bucket of ``_bsrc``, non-decreasing in it, about ``rows_per_bucket``
     rows each.  One pass computes the count and approximate percentiles at
     1% steps; every percentile interval gets the same number of
@@ -50,7 +50,8 @@ def _bucketize(tagged: DataFrame, rows_per_bucket: int) -> Column:
     src = F.col("_bsrc")
     nb = max(1, math.ceil((n or 0) / max(1, rows_per_bucket)))
     if not n or nb == 1 or qs is None:
-        return F.when(src.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
+        b = F.when(src.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
+        return (b, None) if with_quantiles else b
     sub = max(1, math.ceil(nb / QUANTILE_STEPS))
     interval = None
     for i in range(1, QUANTILE_STEPS):   # one flat CASE WHEN over the percentiles
@@ -61,12 +62,59 @@ def _bucketize(tagged: DataFrame, rows_per_bucket: int) -> Column:
     hi = F.element_at(F.array(*[F.lit(float(q)) for q in qs[1:]]), interval + 1)
     width = F.greatest((hi - lo) / F.lit(float(sub)), F.lit(1e-300))
     within = F.least(F.greatest(F.floor((src - lo) / width), F.lit(0)), F.lit(sub - 1))
-    return F.when(src.isNull(), F.lit(-1)).otherwise(interval * F.lit(sub) + within).cast("bigint")
+    b = F.when(src.isNull(), F.lit(-1)).otherwise(interval * F.lit(sub) + within).cast("bigint")
+    return (b, qs) if with_quantiles else b
+
+
+def _numeric_second(df: DataFrame, order_cols):
+    """The second order column when it is a plain numeric column name
+    (ascending); only then is it a safe, order-preserving tie splitter."""
+    from pyspark.sql.types import NumericType
+    if len(order_cols) < 2 or not isinstance(order_cols[1], str):
+        return None
+    name = order_cols[1]
+    if name in df.columns and isinstance(df.schema[name].dataType, NumericType):
+        return F.col(name)
+    return None
+
+
+def _tie_buckets(tagged: DataFrame, qs, rows_per_bucket: int) -> DataFrame:
+    """Second-level bucket ``_b2`` for rows whose first order value is
+    *heavy* (one value filling a whole percentile interval, i.e. at least
+    ~1% of the rows): percentiles of the second order column ``_tsrc``,
+    computed per heavy value in one pass (at most ~100 values, so a bounded
+    table that is broadcast).  Other rows get ``_b2`` above every heavy
+    bucket, which keeps (``_b``, ``_b2``) non-decreasing in the ordering: in
+    a first-level bucket the heavy value is its smallest value."""
+    heavy = sorted({float(qs[i]) for i in range(len(qs) - 1) if qs[i] == qs[i + 1]})
+    if not heavy:
+        return tagged.withColumn("_b2", F.lit(0).cast("bigint"))
+    probs = [i / QUANTILE_STEPS for i in range(QUANTILE_STEPS + 1)]
+    rows = tagged.where(F.col("_bsrc").isin(heavy)).groupBy("_bsrc").agg(
+        F.count("_tsrc").alias("n"), F.percentile_approx("_tsrc", probs, 10000).alias("q")).collect()
+    spark = tagged.sparkSession
+    subs = {r["_bsrc"]: max(1, math.ceil(r["n"] / max(1, rows_per_bucket) / QUANTILE_STEPS)) for r in rows}
+    top = QUANTILE_STEPS * max(subs.values(), default=1)
+    table = spark.createDataFrame([(float(r["_bsrc"]), [float(x) for x in r["q"]], int(subs[r["_bsrc"]]))
+                                   for r in rows if r["q"]],
+                                  "_hv double, _hq array<double>, _hsub int")
+    j = tagged.join(F.broadcast(table), F.col("_bsrc") == F.col("_hv"), "left")
+    t, q, sub = F.col("_tsrc"), F.col("_hq"), F.col("_hsub")
+    inner = F.slice(q, 2, QUANTILE_STEPS - 1)
+    interval = F.size(F.filter(inner, lambda x: x <= t))          # 0 .. steps-1
+    lo = F.element_at(q, interval + 1)
+    hi = F.element_at(q, interval + 2)
+    width = F.greatest((hi - lo) / sub.cast("double"), F.lit(1e-300))
+    within = F.least(F.greatest(F.floor((t - lo) / width), F.lit(0)), (sub - 1).cast("long"))
+    b2 = (F.when(q.isNull(), F.lit(top))            # not a heavy value: after the heavy rows
+          .when(t.isNull(), F.lit(-1))              # nulls sort first
+          .otherwise(interval * sub + within))
+    return j.withColumn("_b2", b2.cast("bigint")).drop("_hv", "_hq", "_hsub")
 
 
 def global_rank(df: DataFrame, order_cols, partition_cols=(), bucket_expr: Column | None = None,
                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, rank_col: str = "rank",
-                bucket_cols: list[Column] | None = None) -> DataFrame:
+                bucket_cols: list[Column] | None = None, tie_expr: Column | None = None) -> DataFrame:
     """``row_number() over (partition by partition_cols order by order_cols)``.
 
     ``bucket_expr`` must be numeric and non-decreasing in the ordering; by
@@ -74,6 +122,10 @@ def global_rank(df: DataFrame, order_cols, partition_cols=(), bucket_expr: Colum
     The order columns should be unique within a partition: with ties,
     ``row_number`` may differ between a task and its retry, and a rank used
     as a join key or shard id must be the same on every attempt.
+    ``tie_expr`` (numeric, ascending; default: the second order column when
+    the first one is the bucket source) splits first-level values that hold
+    a large share of the rows, such as one timestamp shared by a third of
+    the events.
     ``bucket_cols`` instead gives exact bucket columns (no statistics pass)
     whose lexicographic ascending order is non-decreasing in the ordering,
     e.g. ``[-count, substring(token, 1, 2)]`` for ``count desc, token``.
@@ -84,20 +136,28 @@ def global_rank(df: DataFrame, order_cols, partition_cols=(), bucket_expr: Colum
         return _rank_with_buckets(df, order, partition_cols, bucket_cols, rank_col)
     src = bucket_expr if bucket_expr is not None else order[0]
     tagged = df.withColumn("_bsrc", src.cast("double"))
-    tagged = tagged.withColumn("_b", _bucketize(tagged, rows_per_bucket)).drop("_bsrc")
-    counts = tagged.groupBy(*partition_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.partitionBy(*partition_cols).orderBy("_b") \
+    tie_src = tie_expr if tie_expr is not None else _numeric_second(df, order_cols)
+    b, qs = _bucketize(tagged, rows_per_bucket, with_quantiles=True)
+    tagged = tagged.withColumn("_b", b)
+    if tie_src is not None and qs is not None:
+        tagged = _tie_buckets(tagged.withColumn("_tsrc", tie_src.cast("double")), qs, rows_per_bucket) \
+            .drop("_tsrc")
+    else:
+        tagged = tagged.withColumn("_b2", F.lit(0).cast("bigint"))
+    tagged = tagged.drop("_bsrc")
+    counts = tagged.groupBy(*partition_cols, "_b", "_b2").agg(F.count(F.lit(1)).alias("_n"))
+    w_off = Window.partitionBy(*partition_cols).orderBy("_b", "_b2") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*[F.col(c).alias(f"_k_{c}") for c in partition_cols],
-                            F.col("_b").alias("_kb"),
+                            F.col("_b").alias("_kb"), F.col("_b2").alias("_kb2"),
                             F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    cond = [tagged["_b"] == offsets["_kb"]] + \
+    cond = [tagged["_b"] == offsets["_kb"], tagged["_b2"] == offsets["_kb2"]] + \
            [tagged[c].eqNullSafe(offsets[f"_k_{c}"]) for c in partition_cols]
     joined = tagged.join(offsets, reduce(lambda a, b: a & b, cond), "inner") \
-        .drop("_kb", *[f"_k_{c}" for c in partition_cols])
-    w = Window.partitionBy(*partition_cols, "_b").orderBy(*order)
+        .drop("_kb", "_kb2", *[f"_k_{c}" for c in partition_cols])
+    w = Window.partitionBy(*partition_cols, "_b", "_b2").orderBy(*order)
     return joined.withColumn(rank_col, (F.col("_off") + F.row_number().over(w)).cast("bigint")) \
-        .drop("_b", "_off")
+        .drop("_b", "_b2", "_off")
 
 
 def cap_per_key(df: DataFrame, key: str, n: int, order_cols, bucket_expr=None,
