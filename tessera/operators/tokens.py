@@ -112,23 +112,30 @@ def tokenize(df: DataFrame, key: str, parts: list[str], vocab: DataFrame,
     Tokens are exploded with (part, position), ids are looked up, and the
     arrays are rebuilt by one aggregation on ``key`` whose groups are one
     sample each.  With ``max_length`` the result is right-truncated (T7)
-    and only positions below it are collected from each part, so a sample's
-    group holds at most ``len(parts) * max_length`` tokens however long its
-    text is; ``n_first`` still counts every token of the first part.
+    and each part is cut to its first ``max_length`` tokens before the
+    explode, so a sample contributes at most ``len(parts) * max_length``
+    rows to the lookup and the shuffle however long its text is;
+    ``n_first`` still counts every token of the first part (the regex runs
+    over the whole text).
     """
-    src = df.select(key, *parts)
-    exploded = None
-    for i, p in enumerate(parts):
-        e = src.select(F.col(key).alias("_key"), F.lit(i).alias("_part"),
-                      F.posexplode(word_tokens(p)).alias("_pos", "tok"))
-        exploded = e if exploded is None else exploded.unionByName(e)
+    # each part's regex runs once; the first part's full count is kept per
+    # row, and with max_length each part is cut before anything is exploded,
+    # so tokens past the cap never reach the lookup join or the shuffle
+    toks = df.select(F.col(key).alias("_key"),
+                     *[word_tokens(p).alias(f"_t{i}") for i, p in enumerate(parts)])
+    toks = toks.withColumn("_n0", F.size("_t0"))
+    def tagged(i: int):
+        return lambda x, j: F.struct(F.lit(i).alias("_part"), j.alias("_pos"), x.alias("tok"))
+
+    items = []
+    for i in range(len(parts)):
+        arr_i = F.col(f"_t{i}") if max_length is None else F.slice(f"_t{i}", 1, max_length)
+        items.append(F.transform(arr_i, tagged(i)))
+    exploded = toks.select("_key", "_n0", F.inline(F.concat(*items)))
     ids = _lookup(exploded, vocab, hot_size)
-    kept = F.struct("_part", "_pos", "id")
-    if max_length is not None:
-        kept = F.when(F.col("_pos") < max_length, kept)    # collect_list skips nulls
     agg = ids.groupBy("_key").agg(
-        F.sort_array(F.collect_list(kept)).alias("_s"),
-        F.count(F.when(F.col("_part") == 0, F.lit(1))).alias("_n0"))
+        F.sort_array(F.collect_list(F.struct("_part", "_pos", "id"))).alias("_s"),
+        F.max("_n0").alias("_n0"))
     arr = F.transform("_s", lambda s: s["id"])
     if max_length is not None:
         arr = F.slice(arr, 1, max_length)
