@@ -115,3 +115,35 @@ def first_pair(df: DataFrame, key: str = "sample_id", order: str = "turn", speak
     ans = df.where(sp == gpt).select(F.col(key).alias("_ka"), F.col(order).alias("_ta"), F.col(value).alias("answer"))
     j = first.join(ans, (first["_k"] == ans["_ka"]) & (ans["_ta"] == first["_t"] + 1), "left")
     return j.select(F.col("_k").alias(key), "question", "answer")
+
+
+def _present(v: Column, key: str) -> Column:
+    """Key present in a JSON object (a present null counts as present)."""
+    return F.variant_get(v, f"$.{key}", "variant").isNotNull()
+
+
+def _first_present(v: Column, names: list[str], default: float = 0.0) -> Column:
+    out = None
+    for n in names:   # absence, not null, drives the fallback (P1)
+        val = F.try_variant_get(v, f"$.{n}", "double")
+        out = F.when(_present(v, n), val) if out is None else out.when(_present(v, n), val)
+    return out.otherwise(F.lit(default))
+
+
+def canonical_target_variant(v) -> Column:
+    """P1 + P2 on a target ingested as VARIANT (``parse_json``): an object
+    gives ``click(x=%.4f, y=%.4f)`` from ``x``/``x_norm`` and ``y``/``y_norm``
+    (0 when absent); an array of at least two numbers gives the same from
+    its first two; anything else is its string value stripped (other JSON
+    values: their JSON text)."""
+    v = TX.col_(v)
+    shape = F.schema_of_variant(v)
+    arr = F.try_variant_get(v, "$", "array<double>")
+    fx = TX.py_fixed4
+
+    def click(a, b):
+        return F.concat(F.lit("click(x="), fx(a), F.lit(", y="), fx(b), F.lit(")"))
+    return (F.when(shape.startswith("OBJECT"),
+                   click(_first_present(v, ["x", "x_norm"]), _first_present(v, ["y", "y_norm"])))
+            .when(shape.startswith("ARRAY") & (F.size(arr) >= 2), click(F.get(arr, 0), F.get(arr, 1)))
+            .otherwise(TX.py_strip(F.try_variant_get(v, "$", "string"))))

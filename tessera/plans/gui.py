@@ -155,7 +155,7 @@ def _target_map():
             .otherwise(F.create_map(F.lit("x"), F.col("x"), F.lit("y"), F.col("y"))))
 
 
-@query("grounding_targets", with_fixtures(f"""
+_GROUNDING_TARGETS_SQL = with_fixtures(f"""
 select sample_id, instruction,
   case kind when 'dict' then 'click(x=' || printf('%.4f', x) || ', y=' || printf('%.4f', case when sample_id % 4 = 1 then 0.0 else y end) || ')'
             when 'list' then 'click(x=' || printf('%.4f', x) || ', y=' || printf('%.4f', y) || ')'
@@ -163,7 +163,10 @@ select sample_id, instruction,
   {K.IMAGE_TOKEN_ID} * 0 + 1 as n_targets
 from gui_targets
 where instruction is not null and instruction <> '' and target_text is not null and target_text <> ''""",
-    "gui_targets"))
+    "gui_targets")
+
+
+@query("grounding_targets", _GROUNDING_TARGETS_SQL)
 def grounding_targets(spark, sf):
     g = FX.gui_targets(spark, sf).withColumn("target", _target_map())
     kept = gates.require_target(g, "instruction", "target_text")
@@ -173,6 +176,31 @@ def grounding_targets(spark, sf):
     return kept.select("sample_id", "instruction", t.alias("target"), F.lit(1).alias("n_targets"))
 
 
+def target_variant_df(spark, sf):
+    """Grounding records whose target arrives as one JSON value, as in the
+    hub rows: an object (x/y, x_norm/y_norm, or x only), a list [x, y], or
+    a string; ingested as VARIANT."""
+    g = FX.gui_targets(spark, sf)
+    sid = F.col("sample_id")
+    obj = (F.when(sid % 4 == 0, F.to_json(F.struct(F.col("x").alias("x_norm"), F.col("y").alias("y_norm"))))
+           .when(sid % 4 == 1, F.to_json(F.struct("x")))
+           .otherwise(F.to_json(F.struct("x", "y"))))
+    as_str = F.variant_get(F.parse_json(F.to_json(F.struct(F.col("target_text").alias("s")))), "$.s", "variant")
+    v = (F.when(F.col("kind") == "dict", F.parse_json(obj))
+         .when(F.col("kind") == "list", F.parse_json(F.to_json(F.array("x", "y"))))
+         .otherwise(as_str))
+    return g.select("sample_id", "instruction", "target_text", v.alias("target"))
+
+
+@query("grounding_targets_variant", _GROUNDING_TARGETS_SQL)
+def grounding_targets_variant(spark, sf):
+    """P1 + P2 + F4 with the target as a VARIANT column: key presence and
+    shape are read from the value itself, not from a kind column."""
+    g = gates.require_target(target_variant_df(spark, sf), "instruction", "target_text")
+    return g.select("sample_id", "instruction", fields.canonical_target_variant("target").alias("target"),
+                    F.lit(1).alias("n_targets"))
+
+
 @query("grounding_quarantine", with_fixtures(f"""
 select sample_id, reason as reject_reason from (
   select sample_id, case

@@ -73,3 +73,14 @@ def test_split_thought_roundtrip(spark):
     assert rows[0]["t"] == "<think>look\nhere</think>\nclick(x=0.1, y=0.2)"
     assert (rows[0]["th"], rows[0]["a"]) == ("look\nhere", "click(x=0.1, y=0.2)")
     assert rows[1]["t"] == "done()" and rows[1]["th"] is None and rows[2]["t"] == "done()"
+
+
+def test_canonical_target_variant(spark):
+    from tessera.operators.fields import canonical_target_variant
+    js = ['{"x": 0.5, "y": 0.25}', '{"x_norm": 0.123456, "y_norm": 0.00005}', '{"x": 0.3}',
+          '{"x": 0.1, "x_norm": 0.9, "y": 0.2}', '[0.45, 0.72, 9]', '[0.3]', '"  done()\\n"', '5']
+    df = spark.createDataFrame([(i, j) for i, j in enumerate(js)], "i int, j string")
+    got = [r["t"] for r in df.select("i", canonical_target_variant(F.parse_json("j")).alias("t"))
+           .orderBy("i").collect()]
+    assert got == ["click(x=0.5000, y=0.2500)", "click(x=0.1235, y=0.0001)", "click(x=0.3000, y=0.0000)",
+                   "click(x=0.1000, y=0.2000)", "click(x=0.4500, y=0.7200)", "[0.3]", "done()", "5"]
