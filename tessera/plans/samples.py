@@ -127,13 +127,18 @@ select sample_id, question, answer from (
   from vl_conv u left join vl_conv a
     on a.sample_id = u.sample_id and a.turn = u.turn + 1 and a.speaker = 'gpt'
   where u.speaker = 'human') p
-where rn = 1 and question is not null and question <> '' and answer is not null and answer <> ''""", "vl_conv"))
+where rn = 1 and question is not null and question <> '' and answer is not null and answer <> ''
+  and exists (select 1 from vl_conv i where i.sample_id = p.sample_id and i.image_ref is not null)""", "vl_conv"))
 def first_qa_array(spark, sf):
-    """P6 on the multi-QA shape (``texts ARRAY<STRUCT<user, assistant>>``),
-    as the loaders receive it: ``get(texts, 0)``."""
-    pairs = fields.qa_pairs(FX.vl_conv(spark, sf))
+    """P6 + F1 on the multi-QA shape as the loaders receive it
+    (``images ARRAY<STRING>``, ``texts ARRAY<STRUCT<user, assistant>>``):
+    the first image must be present, the first pair is ``get(texts, 0)``."""
+    conv = FX.vl_conv(spark, sf)
+    pairs = fields.qa_pairs(conv)
+    images = conv.groupBy("sample_id").agg(F.collect_list("image_ref").alias("images"))   # one sample's turns
+    rows = gates.require_asset(pairs.join(images, "sample_id"), "images", is_array=True)
     q, a = fields.first_qa("texts")
-    return gates.require_qa(pairs.select("sample_id", q.alias("question"), a.alias("answer")))
+    return gates.require_qa(rows.select("sample_id", q.alias("question"), a.alias("answer")))
 
 
 # --- F1: asset present -------------------------------------------------------
