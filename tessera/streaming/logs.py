@@ -59,7 +59,10 @@ WINDOWS_PER_KEY = 64
 def _accum_fn(n: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         stage = key[0]
-        rows = pd.concat(list(pdfs), ignore_index=True)
+        frames = [f for f in pdfs if len(f)]
+        if not frames:
+            return
+        rows = pd.concat(frames, ignore_index=True)
         agg = rows.groupby("w")["loss"].agg(["sum", "count"])
         if state.exists:
             ws, sums, counts = state.get
@@ -99,7 +102,10 @@ BEST_STATE = "best double"
 def _best_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     (stage,) = key
     best = state.get[0] if state.exists else float("inf")
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values("step")
+    frames = [f for f in pdfs if len(f)]
+    if not frames:
+        return
+    rows = pd.concat(frames, ignore_index=True).sort_values("step")
     prev, flags = [], []
     for loss in rows["loss"]:
         prev.append(best)
