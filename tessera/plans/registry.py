@@ -37,7 +37,7 @@ def load_all() -> None:
                 raise
 
 
-def _shipped(fn: Builder) -> Builder:
+def shipped(fn: Builder) -> Builder:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from tessera.session import ship_package
         ship_package(spark)
@@ -51,7 +51,7 @@ def queries() -> dict[str, Builder]:
     """Registered builders; each first makes the package importable on the
     executors (Arrow and stream-state functions run there)."""
     load_all()
-    return {k: _shipped(v) for k, v in QUERIES.items()}
+    return {k: shipped(v) for k, v in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

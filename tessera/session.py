@@ -7,6 +7,7 @@ the caller passes its own session and only ``checkpoint_dir`` is consulted.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,12 +42,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     It is a launch-time setting: read it from the session.  Only when it is
-    unset (local runs and tests) is a private scratch folder created and
-    registered with the context, once per session.
+    unset and the master is local (tests) is a private scratch folder created
+    and registered with the context, once per session; on a cluster a folder
+    of one machine would lose rows, so there an unset folder is an error.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)

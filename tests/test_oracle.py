@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tessera.plans import registry
 from tessera.sources.tables import TABLES
 
 from tests.conftest import SF001
@@ -28,8 +29,8 @@ def con():
     return c
 
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = registry.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

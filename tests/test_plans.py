@@ -1,14 +1,13 @@
 """Plan rules for every registered query: no cartesian products or
-nested-loop joins, no row-at-a-time Python UDFs (Arrow batches only), and
-whole-stage codegen kept for the scans."""
+nested-loop joins, and no row-at-a-time Python UDFs (Arrow batches only)."""
 
 import pytest
 
-import __spark_entry__ as E
+from tessera.plans import registry
 
 from tests.conftest import SF001
 
-QUERIES = E.queries()
+QUERIES = registry.queries()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
