@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.sources.tables import table
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,38 @@ from d
 """
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    spans = F.arrays_zip("starts", "ends")
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["ends"] - s["starts"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (n_hit > 0).alias("contaminated"))
+
+
+_OP6_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+OP6_SQL = f"""
+with d as (select row_number() over () as r, doc_id, {_OP6_WORDS} as w from documents),
+b as (select cast(item_id as varchar) as item, {_OP6_WORDS} as w from benchmark),
+phrases as (
+  select distinct item, least(len(w), 10) as m, list_slice(w, i, i + least(len(w), 10) - 1) as p
+  from (select item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i from b where len(w) > 0)),
+sizes as (select distinct m from phrases),
+windows as (
+  select r, i, m, list_slice(w, i, i + m - 1) as p
+  from (select r, w, m, unnest(generate_series(1, len(w) - m + 1)) as i from d, sizes where len(w) >= m)),
+hits as (select windows.r, windows.i, windows.m, phrases.item from windows join phrases using (m, p)),
+hit_words as (select r, count(*) as n_hit from (
+  select distinct r, unnest(generate_series(i, i + m - 1)) as k from hits) group by r),
+items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as joined
+  from (select distinct r, item from hits) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(joined, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit_words using (r) left join items using (r)
+"""
+
+
 def queries() -> dict[str, Builder]:
     import corpus_pipeline
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
