@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.sources.tables import table
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, secrets
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,60 @@ from d left join hit_words using (r) left join items using (r)
 """
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "owned")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _op7_spans(pattern: str, group: int, least: int) -> str:
+    return f"""
+  select r, s, s + length(m) as e, m as v from (
+    select r, m, g, (list_sum(list_transform(p[1:k], lambda x: length(x)))
+                     + coalesce(list_sum(list_transform(a[1:k - 1], lambda x: length(x))), 0))::bigint as s
+    from (select r, p, a, k, a[k] as m, b[k] as g from (
+      select r, p, a, b, unnest(generate_series(1, len(a))) as k from (
+        select r, string_split_regex(t, '{pattern}') as p, regexp_extract_all(t, '{pattern}') as a,
+               regexp_extract_all(t, '{pattern}', {group}) as b from d where regexp_matches(t, '{pattern}')))))
+  where length(g) >= {least}"""
+
+
+OP7_SQL = f"""
+with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t from documents),
+base as (
+  select 0 as o, 'assign' as kind, * from ({_op7_spans(secrets.ASSIGN.replace("'", "''"), 2, secrets.ASSIGN_LEAST)})
+  union all
+  select 1, 'access', * from ({_op7_spans(secrets.ACCESS, 0, secrets.ACCESS_LEAST)})
+  union all
+  select 2, 'hex', * from ({_op7_spans(secrets.HEX.replace("+", "{%d,}" % secrets.HEX_LEAST), 0, secrets.HEX_LEAST)})),
+opaque as (
+  select * from ({_op7_spans(secrets.OPAQUE, 0, secrets.OPAQUE_LEAST)})
+  where regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]')),
+live as (select v from opaque join d using (r) group by v
+  having count(distinct coalesce(source, chr(0))) < {secrets.EXAMPLE_OWNERS}),
+added as (
+  select 3 as o, 'owned' as kind, x.* from opaque x join live using (v)
+  where not exists (select 1 from base b where b.r = x.r and b.s <= x.s and x.e <= b.e)),
+spans as (select * from base union all select * from added),
+joined as (
+  select r, count(*) filter (o = 0) as n_assign, count(*) filter (o = 1) as n_access, count(*) filter (o = 2) as n_hex,
+         string_agg(concat(kind, ':', s, ':', e), ',' order by s, o) filter (o < 3) as base,
+         string_agg(concat(kind, ':', s, ':', e), ',' order by s, o) as spans
+  from spans group by r)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access,
+       coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join joined using (r)
+"""
+
+
 def queries() -> dict[str, Builder]:
     import corpus_pipeline
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
