@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.sources.tables import table
 
-from . import decontaminate, exact_dedup, secrets
+from . import bpe, decontaminate, exact_dedup, secrets
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -113,6 +113,10 @@ from d left join joined using (r)
 """
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), bpe.word_bpe_file())
+
+
 def queries() -> dict[str, Builder]:
     import corpus_pipeline
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
