@@ -47,6 +47,9 @@ def keyed_state(prints: DataFrame, batch_bytes: int = 1 << 28) -> DataFrame:
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MEMORY_MB),
+        # no space is reserved ahead: there may be many small state partitions
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }.items():
         stream.conf.set(key, value)
     keyed = (stream.readStream.schema(prints.schema).option("maxBytesPerTrigger", str(batch_bytes))
