@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.sources.tables import table
 
-from . import bpe, decontaminate, exact_dedup, secrets
+from . import bpe, decontaminate, exact_dedup, language_id, secrets
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -117,6 +117,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), bpe.word_bpe_file())
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit_outside_fold(docs)).select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Builder]:
     import corpus_pipeline
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
