@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.sources.tables import table
 
-from . import bpe, decontaminate, exact_dedup, language_id, secrets
+from . import bpe, decontaminate, exact_dedup, language_id, quality, secrets
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -123,6 +123,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality.held_out(F.col("doc_id"))
+    model = quality.fit(docs.where(~out), labels.where(~out))
+    return quality.score(docs, model).select(
+        "doc_id", out.alias("held_out"), "score",
+        F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Builder]:
     import corpus_pipeline
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
