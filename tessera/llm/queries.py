@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.sources.tables import table
 
-from . import bpe, decontaminate, exact_dedup, language_id, quality, secrets
+from . import bpe, decontaminate, exact_dedup, language_id, quality, secrets, warc
+from .common import scratch
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -123,6 +124,32 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = scratch(spark, "warc")
+    warc.write(warc.records(pages), path)
+    found = warc.resolved(warc.read(spark, path))
+    page_id = pages.schema["page_id"].dataType
+    return found.select(F.col("id").cast(page_id).alias("page_id"), F.col("bytes").alias("payload_bytes"),
+                        F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
+                        F.col("refers_to").cast(page_id).alias("refers_to"))
+
+
+OP9_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, html, octet_length(encode(html)) as payload_bytes,
+             min(page_id) over (partition by html) as first,
+             unhex(sha1(html))::bit::varchar as bits from p)
+select page_id, payload_bytes::bigint as payload_bytes,
+       array_to_string(list_transform(generate_series(0, 31), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(generate_series(0, 4), lambda j:
+           (substr(bits, (5 * k + j + 1)::bigint, 1) = '1')::int * (16 >> j::int)))::int, 1)), '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id = first then null else first end as refers_to
+from d
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality.held_out(F.col("doc_id"))
