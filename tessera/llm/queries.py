@@ -8,12 +8,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.sources.tables import table
 
-from . import bpe, decontaminate, exact_dedup, language_id, quality, secrets, url_filter, warc
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, secrets, url_filter, warc
 from .common import scratch
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
+OP2_SQL = """
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as materialized (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as g
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from d where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b using (g)
+  where a.doc_id != b.doc_id group by all),
+links as materialized (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b
+  where 100 * k >= 80 * (x.n + y.n - k)),
+reach as (select doc_id as a, doc_id as b from documents
+  union select reach.a, links.b from reach join links on links.a = reach.b),
+c as (select a, min(b) as component_id from reach group by a)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
+from d left join n using (doc_id) join c on c.a = d.doc_id
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
