@@ -215,7 +215,7 @@ def fit_outside_fold(docs: DataFrame) -> Filter:
 
 
 #: Below this share of known n-grams a text is in no learned language; one too short for an n-gram is not judged.
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.05
 
 
 def in_a_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
