@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.sampling import bernoulli, hash_u32
-from tessera.operators.ranking import DEFAULT_ROWS_PER_BUCKET, global_rank
+from tessera.operators.ranking import global_rank
 
 
 def text_probability(ratio: float) -> float:
@@ -26,7 +26,7 @@ def text_probability(ratio: float) -> float:
 
 
 def mix_text(vl: DataFrame, id_col: str, ratio: float, seed: int, order_cols=None,
-             rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+             rows_per_bucket: int | None = None) -> DataFrame:
     """M1: after each VL row, a text row follows with p = r/(1-r).  Returns
     the VL rows and the text slots, ordered by ``(vl_rank, is_text)``;
     the text content is attached by ``pick_from_pool``."""
@@ -40,10 +40,10 @@ def mix_text(vl: DataFrame, id_col: str, ratio: float, seed: int, order_cols=Non
 def pick_from_pool(df: DataFrame, key_col: str, pool: DataFrame, seed: int, pool_size: int,
                    idx_col: str = "pool_idx") -> DataFrame:
     """M2: a uniform choice out of a pool of ``pool_size`` rows (with a
-    0-based ``pool_idx``) by ``hash mod n``.  The pool is a fixed, small
-    table, so it is broadcast."""
+    0-based ``pool_idx``) by ``hash mod n``.  How the pool is joined is left
+    to its size."""
     keyed = df.withColumn(idx_col, F.pmod(hash_u32(f"pool{seed}", F.col(key_col)), F.lit(pool_size)))
-    return keyed.join(F.broadcast(pool), idx_col, "left")
+    return keyed.join(pool, idx_col, "left")
 
 
 def pool_frame(spark: SparkSession, rows: Sequence[tuple[str, str]], idx_col: str = "pool_idx") -> DataFrame:
@@ -61,8 +61,8 @@ def mix_weighted(sources: Mapping[str, tuple[DataFrame, float]], total: int, id_
     for name, (df, w) in sources.items():
         quota = int(total * w)
         h = df.withColumn("_h", hash_u32(seed, F.col(id_col)))
-        r = global_rank(h, ["_h", id_col], [], rank_col="_qr")
-        parts.append(r.where(F.col("_qr") <= quota).drop("_h", "_qr").withColumn(source_col, F.lit(name)))
+        r = global_rank(h, ["_h", id_col], [], rank_col="_qr", at_most=quota)
+        parts.append(r.drop("_h", "_qr").withColumn(source_col, F.lit(name)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -2,20 +2,21 @@
 
 ``row_number() over (order by k)`` without a partition puts the whole table in
 one task, and ``partition by key`` does the same for a key that holds a third
-of the rows.  ``global_rank`` computes the identical number in two phases:
-
-1. rows get a bucket that is monotone in the ordering: a slice of a numeric
-   order column between data-driven boundaries (count and approximate
-   percentiles from one aggregate pass), so a dense key range gets
-   proportionally many buckets;
-2. rows per (key, bucket) are counted (map-side partial aggregation, one
-   small row per bucket), a running sum over that *small* table gives each
-   bucket's offset, and the offset is joined back (AQE broadcasts it when its
-   runtime size is under the threshold, else it is a shuffle join);
-3. ``row_number`` inside (key, bucket) plus the offset is the global rank.
-
-Every window therefore sees at most one bucket (``rows_per_bucket`` rows on
-uniform data) instead of a whole key.
+of the rows.  ``global_rank`` computes the identical number in three steps:
+
+1. rows are range-partitioned on (partition columns, order columns), sorted,
+   numbered in place and written to the shared folder.  The range boundaries
+   are Spark's own, sampled from the data on the whole composite key: they
+   work for any orderable type, and a value of the first column that a third
+   of the rows share is cut by the columns after it;
+2. rows per (key, range) are counted (map-side partial aggregation, one small
+   row each), and a running sum over that *small* table gives each range's
+   offset in its key;
+3. the offset is joined back (AQE broadcasts it when its runtime size is under
+   the threshold, else it is a shuffle join) and added to the place.
+
+No window ever sees more than the small table.  Writing in step 1 makes the
+ranges the same for both uses and for retried tasks.
 """
 
 from __future__ import annotations
@@ -26,146 +27,59 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS_PER_BUCKET = 1 << 20
+from tessera.session import landed
 
 
 def _order_exprs(order_cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_cols]
 
 
-QUANTILE_STEPS = 100
-
-
-def _bucketize(tagged: DataFrame, rows_per_bucket: int, with_quantiles: bool = False):
-    """Bucket of ``_bsrc``, non-decreasing in it, about ``rows_per_bucket``
-    rows each.  One pass computes the count and approximate percentiles at
-    1% steps; every percentile interval gets the same number of
-    equal-width sub-buckets, so a dense range of the key (a third of the
-    rows in a narrow slice) gets a third of the buckets.  Rows sharing one
-    exact value cannot be split by any bucket on that value."""
-    probs = [i / QUANTILE_STEPS for i in range(QUANTILE_STEPS + 1)]
-    st = tagged.agg(F.count("_bsrc").alias("n"),
-                    F.percentile_approx("_bsrc", probs, 10000).alias("q")).first()
-    n, qs = st["n"], st["q"]
-    src = F.col("_bsrc")
-    nb = max(1, math.ceil((n or 0) / max(1, rows_per_bucket)))
-    if not n or nb == 1 or qs is None:
-        b = F.when(src.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
-        return (b, None) if with_quantiles else b
-    sub = max(1, math.ceil(nb / QUANTILE_STEPS))
-    interval = None
-    for i in range(1, QUANTILE_STEPS):   # one flat CASE WHEN over the percentiles
-        cond = src < F.lit(float(qs[i]))
-        interval = F.when(cond, F.lit(i - 1)) if interval is None else interval.when(cond, F.lit(i - 1))
-    interval = interval.otherwise(F.lit(QUANTILE_STEPS - 1))
-    lo = F.element_at(F.array(*[F.lit(float(q)) for q in qs[:-1]]), interval + 1)
-    hi = F.element_at(F.array(*[F.lit(float(q)) for q in qs[1:]]), interval + 1)
-    width = F.greatest((hi - lo) / F.lit(float(sub)), F.lit(1e-300))
-    within = F.least(F.greatest(F.floor((src - lo) / width), F.lit(0)), F.lit(sub - 1))
-    b = F.when(src.isNull(), F.lit(-1)).otherwise(interval * F.lit(sub) + within).cast("bigint")
-    return (b, qs) if with_quantiles else b
-
-
-def _numeric_second(df: DataFrame, order_cols):
-    """The second order column when it is a plain numeric column name
-    (ascending); only then is it a safe, order-preserving tie splitter."""
-    from pyspark.sql.types import NumericType
-    if len(order_cols) < 2 or not isinstance(order_cols[1], str):
-        return None
-    name = order_cols[1]
-    if name in df.columns and isinstance(df.schema[name].dataType, NumericType):
-        return F.col(name)
-    return None
-
-
-def _tie_buckets(tagged: DataFrame, qs, rows_per_bucket: int) -> DataFrame:
-    """Second-level bucket ``_b2`` for rows whose first order value is
-    *heavy* (one value filling a whole percentile interval, i.e. at least
-    ~1% of the rows): percentiles of the second order column ``_tsrc``,
-    computed per heavy value in one pass (at most ~100 values, so a bounded
-    table that is broadcast).  Other rows get ``_b2`` above every heavy
-    bucket, which keeps (``_b``, ``_b2``) non-decreasing in the ordering: in
-    a first-level bucket the heavy value is its smallest value."""
-    heavy = sorted({float(qs[i]) for i in range(len(qs) - 1) if qs[i] == qs[i + 1]})
-    if not heavy:
-        return tagged.withColumn("_b2", F.lit(0).cast("bigint"))
-    probs = [i / QUANTILE_STEPS for i in range(QUANTILE_STEPS + 1)]
-    rows = tagged.where(F.col("_bsrc").isin(heavy)).groupBy("_bsrc").agg(
-        F.count("_tsrc").alias("n"), F.percentile_approx("_tsrc", probs, 10000).alias("q")).collect()
-    spark = tagged.sparkSession
-    subs = {r["_bsrc"]: max(1, math.ceil(r["n"] / max(1, rows_per_bucket) / QUANTILE_STEPS)) for r in rows}
-    top = QUANTILE_STEPS * max(subs.values(), default=1)
-    table = spark.createDataFrame([(float(r["_bsrc"]), [float(x) for x in r["q"]], int(subs[r["_bsrc"]]))
-                                   for r in rows if r["q"]],
-                                  "_hv double, _hq array<double>, _hsub int")
-    j = tagged.join(F.broadcast(table), F.col("_bsrc") == F.col("_hv"), "left")
-    t, q, sub = F.col("_tsrc"), F.col("_hq"), F.col("_hsub")
-    inner = F.slice(q, 2, QUANTILE_STEPS - 1)
-    interval = F.size(F.filter(inner, lambda x: x <= t))          # 0 .. steps-1
-    lo = F.element_at(q, interval + 1)
-    hi = F.element_at(q, interval + 2)
-    width = F.greatest((hi - lo) / sub.cast("double"), F.lit(1e-300))
-    within = F.least(F.greatest(F.floor((t - lo) / width), F.lit(0)), (sub - 1).cast("long"))
-    b2 = (F.when(q.isNull(), F.lit(top))            # not a heavy value: after the heavy rows
-          .when(t.isNull(), F.lit(-1))              # nulls sort first
-          .otherwise(interval * sub + within))
-    return j.withColumn("_b2", b2.cast("bigint")).drop("_hv", "_hq", "_hsub")
-
-
-def global_rank(df: DataFrame, order_cols, partition_cols=(), bucket_expr: Column | None = None,
-                rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, rank_col: str = "rank",
-                bucket_cols: list[Column] | None = None, tie_expr: Column | None = None) -> DataFrame:
+def _placed(df: DataFrame, keys: list[str], order: list[Column], rows_per_bucket: int | None) -> DataFrame:
+    """``df`` with the range ``_b`` of each row, non-decreasing in (keys,
+    order), and its place ``_i``, consecutive within a range.  There are as
+    many ranges as shuffle partitions, or more if ``rows_per_bucket`` asks
+    for it."""
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows_per_bucket:
+        buckets = max(buckets, math.ceil(df.count() / rows_per_bucket))
+    by = [F.col(c) for c in keys] + order
+    placed = df.repartitionByRange(buckets, *by).sortWithinPartitions(*by).withColumn(
+        "_i", F.monotonically_increasing_id())
+    return landed(placed.withColumn("_b", F.shiftright("_i", 33)), "ranked")
+
+
+def _join_back(placed: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``placed`` with what ``small`` has per (keys, _b); its keys are named _k_<key> and _kb."""
+    cond = [placed["_b"] == small["_kb"]] + [placed[c].eqNullSafe(small[f"_k_{c}"]) for c in keys]
+    return placed.join(small, reduce(lambda a, b: a & b, cond), how).drop("_kb", *[f"_k_{c}" for c in keys])
+
+
+def global_rank(df: DataFrame, order_cols, partition_cols=(), rows_per_bucket: int | None = None,
+                rank_col: str = "rank", at_most: int | None = None) -> DataFrame:
     """``row_number() over (partition by partition_cols order by order_cols)``.
 
-    ``bucket_expr`` must be numeric and non-decreasing in the ordering; by
-    default the first order column (which must then be numeric, ascending).
-    The order columns should be unique within a partition: with ties,
-    ``row_number`` may differ between a task and its retry, and a rank used
-    as a join key or shard id must be the same on every attempt.
-    ``tie_expr`` (numeric, ascending; default: the second order column when
-    the first one is the bucket source) splits first-level values that hold
-    a large share of the rows, such as one timestamp shared by a third of
-    the events.
-    ``bucket_cols`` instead gives exact bucket columns (no statistics pass)
-    whose lexicographic ascending order is non-decreasing in the ordering,
-    e.g. ``[-count, substring(token, 1, 2)]`` for ``count desc, token``.
+    The order columns should be unique within a partition: with ties the
+    order among them is arbitrary, though the same for all readers of this
+    result.  ``at_most`` keeps the first rows only; ranges wholly beyond them
+    are dropped before the join.
     """
-    partition_cols = list(partition_cols)
-    order = _order_exprs(order_cols)
-    if bucket_cols is not None:
-        return _rank_with_buckets(df, order, partition_cols, bucket_cols, rank_col)
-    src = bucket_expr if bucket_expr is not None else order[0]
-    tagged = df.withColumn("_bsrc", src.cast("double"))
-    tie_src = tie_expr if tie_expr is not None else _numeric_second(df, order_cols)
-    b, qs = _bucketize(tagged, rows_per_bucket, with_quantiles=True)
-    tagged = tagged.withColumn("_b", b)
-    if tie_src is not None and qs is not None:
-        tagged = _tie_buckets(tagged.withColumn("_tsrc", tie_src.cast("double")), qs, rows_per_bucket) \
-            .drop("_tsrc")
-    else:
-        tagged = tagged.withColumn("_b2", F.lit(0).cast("bigint"))
-    tagged = tagged.drop("_bsrc")
-    counts = tagged.groupBy(*partition_cols, "_b", "_b2").agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.partitionBy(*partition_cols).orderBy("_b", "_b2") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(c).alias(f"_k_{c}") for c in partition_cols],
-                            F.col("_b").alias("_kb"), F.col("_b2").alias("_kb2"),
-                            F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    cond = [tagged["_b"] == offsets["_kb"], tagged["_b2"] == offsets["_kb2"]] + \
-           [tagged[c].eqNullSafe(offsets[f"_k_{c}"]) for c in partition_cols]
-    joined = tagged.join(offsets, reduce(lambda a, b: a & b, cond), "inner") \
-        .drop("_kb", "_kb2", *[f"_k_{c}" for c in partition_cols])
-    w = Window.partitionBy(*partition_cols, "_b", "_b2").orderBy(*order)
-    return joined.withColumn(rank_col, (F.col("_off") + F.row_number().over(w)).cast("bigint")) \
-        .drop("_b", "_b2", "_off")
-
-
-def cap_per_key(df: DataFrame, key: str, n: int, order_cols, bucket_expr=None,
-                rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+    keys, order = list(partition_cols), _order_exprs(order_cols)
+    placed = _placed(df, keys, order, rows_per_bucket)
+    counts = placed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias(f"_k_{c}") for c in keys], F.col("_b").alias("_kb"), "_first",
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    if at_most is not None:
+        offsets = offsets.where(F.col("_off") < at_most)
+    ranked = _join_back(placed, offsets, keys).withColumn(
+        rank_col, (F.col("_off") + F.col("_i") - F.col("_first") + 1).cast("bigint")).drop("_b", "_i", "_off", "_first")
+    return ranked if at_most is None else ranked.where(F.col(rank_col) <= at_most)
+
+
+def cap_per_key(df: DataFrame, key: str, n: int, order_cols, rows_per_bucket: int | None = None) -> DataFrame:
     """First ``n`` rows per key in ``order_cols`` order (W1).  Caps count
     emitted rows, so apply filters first."""
-    ranked = global_rank(df, order_cols, [key], bucket_expr, rows_per_bucket, "_cap_rank")
-    return ranked.where(F.col("_cap_rank") <= n).drop("_cap_rank")
+    return global_rank(df, order_cols, [key], rows_per_bucket, "_cap_rank", at_most=n).drop("_cap_rank")
 
 
 def cap_total(df: DataFrame, n: int, order_cols) -> DataFrame:
@@ -176,75 +90,44 @@ def cap_total(df: DataFrame, n: int, order_cols) -> DataFrame:
     return df.orderBy(*_order_exprs(order_cols)).limit(n)
 
 
-def assign_shards(df: DataFrame, order_cols, shard_size: int, bucket_expr=None,
-                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+def assign_shards(df: DataFrame, order_cols, shard_size: int, rows_per_bucket: int | None = None) -> DataFrame:
     """Shard id ``floor(rank / shard_size)`` and position in the shard, with a
     0-based rank in ``order_cols`` order (W3)."""
-    ranked = global_rank(df, order_cols, [], bucket_expr, rows_per_bucket, "_r")
+    ranked = global_rank(df, order_cols, [], rows_per_bucket, "_r")
     r0 = F.col("_r") - 1
     return ranked.withColumn("shard_id", F.floor(r0 / shard_size).cast("bigint")) \
         .withColumn("pos", (r0 % shard_size).cast("bigint")).drop("_r")
 
 
-def default_id(df: DataFrame, id_col: str, order_cols, bucket_expr=None,
-               rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+def default_id(df: DataFrame, id_col: str, order_cols, rows_per_bucket: int | None = None) -> DataFrame:
     """Missing ids become the 0-based source ordinal as a string, counted on
     the unfiltered source (W9)."""
-    ranked = global_rank(df, order_cols, [], bucket_expr, rows_per_bucket, "_ord")
+    ranked = global_rank(df, order_cols, [], rows_per_bucket, "_ord")
     return ranked.withColumn(id_col, F.coalesce(F.col(id_col).cast("string"),
                                                 (F.col("_ord") - 1).cast("string"))).drop("_ord")
 
 
-def _rank_with_buckets(df, order, partition_cols, bucket_cols, rank_col):
-    bnames = [f"_bk{i}" for i in range(len(bucket_cols))]
-    tagged = df.select("*", *[b.alias(n) for b, n in zip(bucket_cols, bnames)])
-    keys = partition_cols + bnames
-    counts = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.partitionBy(*partition_cols).orderBy(*bnames) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(c).alias(f"_k_{c}") for c in keys],
-                            F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    cond = [tagged[c].eqNullSafe(offsets[f"_k_{c}"]) for c in keys]
-    joined = tagged.join(offsets, reduce(lambda a, b: a & b, cond), "inner") \
-        .drop(*[f"_k_{c}" for c in keys])
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return joined.withColumn(rank_col, (F.col("_off") + F.row_number().over(w)).cast("bigint")) \
-        .drop("_off", *bnames)
-
-
 _PREFIX_AGGS = {"min": F.min, "max": F.max, "sum": F.sum}
 
 
 def prefix_aggregate(df: DataFrame, value_col: str, order_cols, partition_cols=(), agg: str = "min",
-                     out: str = "prefix", exclusive: bool = True, bucket_expr: Column | None = None,
-                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                     out: str = "prefix", exclusive: bool = True, rows_per_bucket: int | None = None) -> DataFrame:
     """Running ``agg`` of ``value_col`` over (partition by partition_cols
     order by order_cols), over the preceding rows (``exclusive``) or up to
-    the current row, without a per-key window over a hot key: the per-bucket
-    aggregate is carried across buckets on the small bucket table, and each
-    bucket finishes with its own window.  Order columns must be unique
-    within a partition (ties would make the running value ambiguous)."""
-    partition_cols = list(partition_cols)
-    order = _order_exprs(order_cols)
-    fn = _PREFIX_AGGS[agg]
-    src = bucket_expr if bucket_expr is not None else order[0]
-    tagged = df.withColumn("_bsrc", src.cast("double"))
-    tagged = tagged.withColumn("_b", _bucketize(tagged, rows_per_bucket)).drop("_bsrc")
-    per_bucket = tagged.groupBy(*partition_cols, "_b").agg(fn(value_col).alias("_bagg"))
-    w_carry = Window.partitionBy(*partition_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_bucket.select(*[F.col(c).alias(f"_k_{c}") for c in partition_cols],
-                              F.col("_b").alias("_kb"), fn("_bagg").over(w_carry).alias("_carry"))
-    cond = [tagged["_b"] == carry["_kb"]] + \
-           [tagged[c].eqNullSafe(carry[f"_k_{c}"]) for c in partition_cols]
-    joined = tagged.join(carry, reduce(lambda a, b: a & b, cond), "inner") \
-        .drop("_kb", *[f"_k_{c}" for c in partition_cols])
-    hi_frame = -1 if exclusive else 0
-    w = Window.partitionBy(*partition_cols, "_b").orderBy(*order) \
-        .rowsBetween(Window.unboundedPreceding, hi_frame)
-    inner = fn(value_col).over(w)
+    the current row, without a per-key window over a hot key: the aggregate
+    per range is carried across ranges on that small table, and each range
+    finishes with its own window.  Order columns must be unique within a
+    partition (ties would make the running value ambiguous)."""
+    keys, fn = list(partition_cols), _PREFIX_AGGS[agg]
+    placed = _placed(df, keys, _order_exprs(order_cols), rows_per_bucket)
+    per_range = placed.groupBy(*keys, "_b").agg(fn(value_col).alias("_bagg"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_range.select(*[F.col(c).alias(f"_k_{c}") for c in keys], F.col("_b").alias("_kb"),
+                             fn("_bagg").over(before).alias("_carry"))
+    inner = fn(value_col).over(Window.partitionBy(*keys, "_b").orderBy("_i").rowsBetween(
+        Window.unboundedPreceding, -1 if exclusive else 0))
     if agg == "sum":
         combined = F.coalesce(F.col("_carry"), F.lit(0)) + F.coalesce(inner, F.lit(0))
     else:
-        pick = F.least if agg == "min" else F.greatest
-        combined = pick(F.col("_carry"), inner)   # least/greatest skip nulls
-    return joined.withColumn(out, combined).drop("_b", "_carry")
+        combined = (F.least if agg == "min" else F.greatest)(F.col("_carry"), inner)   # least/greatest skip nulls
+    return _join_back(placed, carry, keys).withColumn(out, combined).drop("_b", "_i", "_carry")

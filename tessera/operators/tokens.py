@@ -27,7 +27,6 @@ from pyspark.sql import types as T
 
 from tessera import constants as K
 from tessera.functions.text import PY_WS
-from tessera.operators.partitioning import spread
 from tessera.operators.ranking import global_rank
 
 # FIXED VALUES: the word-tokenizer pattern (special tokens first, then
@@ -64,7 +63,7 @@ def build_vocab(df: DataFrame, text_col: str = "text", materialize: bool = False
     """Token -> id by descending frequency, ties by token, ids after the
     reserved block (T2).  Ids that collide with the image start/end ids are
     skipped.  Counting is a partial + final aggregation; ranking is the
-    two-phase rank bucketed by (count, 2-character prefix), never one task.
+    range-partitioned rank over (count, token), never one task.
 
     The vocabulary is an artifact that every tokenisation reads: with
     ``materialize`` (for callers that look ids up more than once) it is
@@ -72,11 +71,9 @@ def build_vocab(df: DataFrame, text_col: str = "text", materialize: bool = False
     the corpus is scanned once and the lineage is cut.
     """
     from tessera.session import checkpoint_dir
-    text = spread(df.select(text_col))   # regex work over all cores
-    counts = text.select(F.explode(word_tokens(text_col)).alias("t")).groupBy("t") \
+    counts = df.select(F.explode(word_tokens(text_col)).alias("t")).groupBy("t") \
         .agg(F.count(F.lit(1)).alias("c"))
-    ranked = global_rank(counts, [F.col("c").desc(), F.col("t")], [],
-                         bucket_cols=[-F.col("c"), F.substring("t", 1, 2)], rank_col="_r")
+    ranked = global_rank(counts, [F.col("c").desc(), F.col("t")], [], rank_col="_r")
     base = F.col("_r") + F.lit(K.RESERVED_IDS - 1)
     tid = F.when(base >= F.lit(K.IMAGE_START_ID), base + 2).otherwise(base)
     vocab = ranked.select("t", tid.cast("bigint").alias("id"), "c")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import DEFAULT_ROWS_PER_BUCKET, prefix_aggregate
+from tessera.operators.ranking import prefix_aggregate
 
 
 def accum_loss(micro: DataFrame, n: int, stage: str = "stage", idx: str = "micro_idx",
@@ -45,7 +45,7 @@ def loss_trend(log: DataFrame, stage: str = "stage", step: str = "step", loss: s
 
 
 def running_best(log: DataFrame, save_every: int, stage: str = "stage", step: str = "step",
-                 loss: str = "loss", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                 loss: str = "loss", rows_per_bucket: int | None = None) -> DataFrame:
     """At each save point, the best loss before it (+inf at first) and
     whether this one is a new best (strict ``<``)."""
     s = log.where((F.col(step) % save_every == 0) & F.col(loss).isNotNull()).select(stage, step, loss)

@@ -28,21 +28,23 @@ def _cache_root(spark) -> str:
     return os.path.join(checkpoint_dir(spark), f"feature-cache-{uuid.uuid4().hex}")
 
 
-def cache_folder(spark, sf) -> str:
+def cache_folder(spark, sf, lost: int | None = None) -> str:
     """The feature cache of ``sf``, written once per session."""
-    return shared(spark, sf, "feature-cache", lambda: build_cache(spark, sf))
+    return shared(spark, sf, f"feature-cache-{lost}", lambda: build_cache(spark, sf, lost))
 
 
-def build_cache(spark, sf):
-    """Write the embeddings as a feature cache of 64-row shards, with one
-    shard lost in transit (its rows never reach the sink), and return the
-    cache root.  Shards are assigned on the ids alone (narrow rank), the
-    manifest counts every planned shard."""
+def build_cache(spark, sf, lost: int | None = None):
+    """Write the embeddings as a feature cache of 64-row shards and return
+    the cache root.  Shards are assigned on the ids alone (narrow rank); the
+    manifest counts every planned shard.  ``lost``: a shard whose rows never
+    reach the sink, for the report of missing shards."""
     emb = scan_corpus(spark, f"{sf}/embeddings.parquet").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("feature"), "label",
         F.lit(1).alias("num_patches"))
     shard_map = assign_shards(emb.select("id"), ["id"], SHARD_SIZE)
-    sharded = emb.join(shard_map, "id").where(F.col("shard_id") != LOST_SHARD)
+    sharded = emb.join(shard_map, "id")
+    if lost is not None:
+        sharded = sharded.where(F.col("shard_id") != lost)
     root = _cache_root(spark)
     FC.write_feature_cache(sharded, root, ["id"], shard_size=SHARD_SIZE, already_sharded=True)
     FC.write_manifest(FC.build_manifest(shard_map, "embeddings", "default", shard_size=SHARD_SIZE), root)
@@ -55,9 +57,9 @@ from (select vec_id as id, label, embedding as feature, row_number() over (order
 
 @query("feature_cache", with_fixtures(f"""
 select shard_id, pos, id, label, len(feature) as dim, feature[1]::double as f0
-from sharded where shard_id <> {LOST_SHARD}""", extra={"sharded": SHARDED_SQL}))
+from sharded""", extra={"sharded": SHARDED_SQL}))
 def feature_cache(spark, sf):
-    """S4 write -> S3 scan (lost shard skipped) -> J1 join of the narrow
+    """S4 write -> S3 scan -> J1 join of the narrow
     metadata with the wide features on (shard_id, pos)."""
     root = cache_folder(spark, sf)
     meta, feats, _ = FC.scan_feature_cache(spark, root)
@@ -85,7 +87,7 @@ def cache_manifest(spark, sf):
 @query("missing_shards", f"select {LOST_SHARD}::bigint as shard_id from embeddings having count(*) > {LOST_SHARD * SHARD_SIZE}")
 def missing_shards(spark, sf):
     """S3 report: shards in the manifest but not on disk."""
-    root = cache_folder(spark, sf)
+    root = cache_folder(spark, sf, LOST_SHARD)
     _, _, missing = FC.scan_feature_cache(spark, root)
     return missing.select(F.col("shard_id").cast("bigint").alias("shard_id"))
 
@@ -153,8 +155,8 @@ def linear_encoder(patches: int = 4, seed: int = 11):
 
 @query("extract_features")
 def extract_features_q(spark, sf):
-    """Filters first (label != 3), then the encoder over Arrow batches,
-    one row per patch (the cache's row shape)."""
-    e = scan_corpus(spark, f"{sf}/embeddings.parquet").where(F.col("label") != 3).select("vec_id", "embedding")
+    """The encoder over Arrow batches, one row per patch (the cache's row
+    shape)."""
+    e = scan_corpus(spark, f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     return FE.extract_features(e, linear_encoder(), per_patch=True, keep=["vec_id"]) \
         .select("vec_id", "patch_idx", "num_patches", "feature")

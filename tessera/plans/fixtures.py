@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import DEFAULT_ROWS_PER_BUCKET, global_rank
+from tessera.operators.ranking import global_rank
 from tessera.sources.tables import table
 
 NL = "\n"
@@ -65,20 +65,19 @@ def gui_targets(spark: SparkSession, sf: str) -> DataFrame:
         target_text.alias("target_text"))
 
 
-def gui_steps(spark: SparkSession, sf: str, history_keep: int = 3,
-              rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+def gui_steps(spark: SparkSession, sf: str, history_keep: int = 5,
+              rows_per_bucket: int | None = None) -> DataFrame:
     """Trajectory steps with the user's previous event types as history.
 
-    Only the last ``history_keep`` previous items are ever read (P10), so they
-    are fetched by an equi-join on (user, rank - d) for d = 1..keep: it
-    spreads a hot user over all tasks, where a per-user window (or a full
-    prefix list, quadratic in the user's rows) would put it in one.  Time is
-    bucketed by its zone-free microsecond offset (``ts`` has no zone), so
-    the buckets stay monotone whatever the session time zone.
+    P10 reads the last three items of what a step carries; a step carries up
+    to ``history_keep``, more than that, so that the operator does the
+    cutting.  They are fetched by an equi-join on (user, rank - d) for
+    d = 1..keep: it spreads a hot user over all tasks, where a per-user
+    window (or a full prefix list, quadratic in the user's rows) would put
+    it in one.
     """
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
-    ranked = global_rank(e, ["ts", "event_id"], ["user_id"], F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"),
-                         rows_per_bucket, "_rn")
+    ranked = global_rank(e, ["ts", "event_id"], ["user_id"], rows_per_bucket, "_rn")
     prev = ranked.select(F.col("user_id").alias("_pu"), F.col("event_type").alias("_pt"),
                          F.explode(F.sequence(F.lit(1), F.lit(history_keep))).alias("_d"),
                          F.col("_rn").alias("_prn")) \
@@ -105,7 +104,7 @@ def gui_steps(spark: SparkSession, sf: str, history_keep: int = 3,
 
 
 def microsteps(spark: SparkSession, sf: str,
-               rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+               rows_per_bucket: int | None = None) -> DataFrame:
     """Micro-step losses of five stages, 0-based index per stage."""
     e = table(spark, sf, "events").select("event_id", "event_type", "value")
     r = global_rank(e, ["event_id"], ["event_type"], rows_per_bucket=rows_per_bucket, rank_col="_r")
@@ -114,7 +113,7 @@ def microsteps(spark: SparkSession, sf: str,
 
 
 def step_log_rows(spark: SparkSession, sf: str,
-                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                  rows_per_bucket: int | None = None) -> DataFrame:
     """Step-log lines per stage; the loss is written from an integer so the
     text needs no float formatting."""
     e = table(spark, sf, "events").select("event_id", "event_type", "value")
@@ -153,11 +152,3 @@ def tensor_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(name.alias("name"), (F.col("l_suppkey") + 1).alias("dim0"),
                      F.col("l_quantity").cast("bigint").alias("dim1"),
                      F.lit(2).alias("elem_bytes"), (F.col("l_linestatus") == "O").alias("trainable"))
-
-
-def feat(spark: SparkSession, sf: str) -> DataFrame:
-    """Feature rows with their shard and position."""
-    emb = table(spark, sf, "embeddings")
-    return emb.select(F.floor(F.col("vec_id") / 100).cast("bigint").alias("shard_id"),
-                      (F.col("vec_id") % 100).alias("pos"), F.col("vec_id").alias("id"),
-                      F.col("embedding").alias("feature"))

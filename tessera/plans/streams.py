@@ -81,7 +81,7 @@ def stream_accum(spark, sf):
     """ST3: count-window mean loss as micro-step files arrive."""
     src = _scratch(spark, "microsteps")
     micro = FX.microsteps(spark, sf)
-    micro.repartition(8).write.parquet(src)
+    micro.write.parquet(src)
     stream = spark.readStream.schema(micro.schema).option("maxFilesPerTrigger", 4).parquet(src)
     out = _append_to_files(SL.stream_accum(stream, ACCUM), spark, "stream-accum")
     return out.select("stage", "step", F.round("loss", 9).alias("loss"), "n")
@@ -113,7 +113,7 @@ def stream_samples(spark, sf):
     by the same row-wise function as in batch."""
     src = _scratch(spark, "conv-array")
     arr = SC.to_array_form(FX.vl_conv(spark, sf))
-    arr.repartition(4).write.parquet(src)
+    arr.write.parquet(src)
     stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
     return _append_to_files(SC.build_samples(stream), spark, "stream-samples")
 
@@ -127,7 +127,7 @@ def stream_cache(spark, sf):
     shard flushed at the end.  Shard sizes equal the batch form's."""
     src = _scratch(spark, "emb-files")
     emb = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
-    emb.repartition(4).write.parquet(src)
+    emb.write.option("maxRecordsPerFile", 100_000).parquet(src)
     stream = spark.readStream.schema(emb.schema).option("maxFilesPerTrigger", 2).parquet(src)
     out = _scratch(spark, "stream-cache")
     q = SC.stream_cache(stream, out, "vec_id", 64, os.path.join(out, "_ckpt"))

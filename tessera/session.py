@@ -9,8 +9,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -58,6 +59,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def landed(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a new table of the shared folder and read back: its
+    rows are fixed from here on, and lineage ends."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import constants as K
-from tessera.operators.ranking import DEFAULT_ROWS_PER_BUCKET, assign_shards
+from tessera.operators.ranking import assign_shards
 
 
 def write_feature_cache(df: DataFrame, root: str, order_cols, feature_col: str = "feature",
                         shard_size: int = K.DEFAULT_SHARD_SIZE, id_col: str = "id",
                         already_sharded: bool = False,
-                        rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                        rows_per_bucket: int | None = None) -> DataFrame:
     """Fixed ``shard_size`` valid rows per shard (the last one partial),
     shard id and position from the two-phase global rank (W3).
 

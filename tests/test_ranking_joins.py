@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators.joins import prefix_join, reconcile
-from tessera.operators.ranking import assign_shards, cap_per_key, global_rank, prefix_aggregate
+from tessera.operators.ranking import _placed, assign_shards, cap_per_key, default_id, global_rank, prefix_aggregate
 
 from tests.conftest import SF01
 
@@ -18,8 +18,7 @@ def test_global_rank_multi_bucket_equals_window(spark):
     e = _events(spark).select("event_id", "event_type", "user_id", "ts")
     # a hot key: a third of the rows share one user
     e = e.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
-    got = global_rank(e, ["ts", "event_id"], ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")),
-                      rows_per_bucket=97, rank_col="r")
+    got = global_rank(e, ["ts", "event_id"], ["user_id"], rows_per_bucket=97, rank_col="r")
     want = e.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     assert got.select("event_id", "r").exceptAll(want.select("event_id", "r")).count() == 0
     assert got.count() == want.count()
@@ -28,8 +27,7 @@ def test_global_rank_multi_bucket_equals_window(spark):
 def test_global_rank_exact_buckets(spark):
     df = spark.createDataFrame([(t, c) for t, c in [("b", 3), ("a", 3), ("zz", 1), ("za", 1), ("c", 2)]],
                                "t string, c long")
-    r = global_rank(df, [F.col("c").desc(), F.col("t")], [], bucket_cols=[-F.col("c"), F.substring("t", 1, 1)],
-                    rank_col="r")
+    r = global_rank(df, [F.col("c").desc(), F.col("t")], [], rank_col="r")
     assert [x["t"] for x in r.orderBy("r").collect()] == ["a", "b", "c", "za", "zz"]
 
 
@@ -102,15 +100,13 @@ def test_resolve_assets_kinds(spark):
 def test_global_rank_clustered_keys(spark):
     """A third of the rows packed into a tiny slice of the key range still
     ranks exactly, and is spread over many buckets."""
-    from tessera.operators.ranking import _bucketize
     base = spark.range(0, 3000).select((F.col("id") * 1000).alias("k"))
     dense = spark.range(0, 1500).select((F.lit(5_000_000) + F.col("id") / 1000.0).alias("k"))
     df = base.unionByName(dense).withColumn("g", F.lit(1))
     got = global_rank(df, ["k"], ["g"], rows_per_bucket=50, rank_col="r")
     want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("k")))
     assert got.select("k", "r").exceptAll(want.select("k", "r")).count() == 0
-    t = df.withColumn("_bsrc", F.col("k").cast("double"))
-    b = t.withColumn("_b", _bucketize(t, 50))
+    b = _placed(df, ["g"], [F.col("k")], 50)
     biggest = b.groupBy("_b").count().agg(F.max("count")).first()[0]
     assert biggest <= 200          # the 1,500 dense rows are split across buckets
 
@@ -121,14 +117,31 @@ def test_global_rank_splits_tied_first_key(spark):
     e = _events(spark).select("event_id", "ts", "user_id")
     e = e.withColumn("ts", F.when(F.col("event_id") % 3 == 0, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
                      .otherwise(F.col("ts")))
-    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    got = global_rank(e, ["ts", "event_id"], [], micros, rows_per_bucket=100, rank_col="r")
+    got = global_rank(e, ["ts", "event_id"], [], rows_per_bucket=100, rank_col="r")
     want = e.withColumn("r", F.row_number().over(Window.orderBy("ts", "event_id")))
     assert got.select("event_id", "r").exceptAll(want.select("event_id", "r")).count() == 0
-    # the tied third (about 3,300 rows) is not one bucket: check through the bucket helpers
-    from tessera.operators.ranking import _bucketize, _tie_buckets
-    t = e.withColumn("_bsrc", micros.cast("double"))
-    b, qs = _bucketize(t, 100, with_quantiles=True)
-    t = _tie_buckets(t.withColumn("_b", b).withColumn("_tsrc", F.col("event_id").cast("double")), qs, 100)
-    biggest = t.groupBy("_b", "_b2").count().agg(F.max("count")).first()[0]
+    # the tied third (about 3,300 rows) is not one range
+    t = _placed(e, [], [F.col("ts"), F.col("event_id")], 100)
+    biggest = t.groupBy("_b").count().agg(F.max("count")).first()[0]
     assert biggest < 400
+
+
+def test_rank_orders_strings_and_hot_values(spark):
+    """Any orderable key: string ids, nulls first, and a value that half a
+    per cent, or a third, of the rows share."""
+    df = spark.range(0, 4000).select(
+        F.col("id"), F.concat(F.lit("id-"), (F.col("id") * 7919 % 4000).cast("string")).alias("name"),
+        F.when(F.col("id") % 200 == 0, "hot").when(F.col("id") % 3 == 0, "hotter")
+        .when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"))
+    for order, keys in ((["name"], []), (["k", "name"], []), (["name"], ["k"])):
+        got = global_rank(df, order, keys, rows_per_bucket=50, rank_col="r")
+        want = df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        assert got.select("id", "r").exceptAll(want.select("id", "r")).count() == 0
+    biggest = _placed(df, [], [F.col("k"), F.col("name")], 50).groupBy("_b").count().agg(F.max("count")).first()[0]
+    assert biggest < 250
+    shards = assign_shards(df, ["name"], 1000)
+    assert [r["count"] for r in shards.groupBy("shard_id").count().orderBy("shard_id").collect()] == [1000] * 4
+    capped = cap_per_key(df.where("k is not null"), "k", 5, ["name"])
+    assert capped.groupBy("k").count().agg(F.max("count")).first()[0] == 5
+    assert default_id(df, "k", ["name"]).where("k is null").count() == 0
+    assert global_rank(df.limit(0), ["name"]).count() == 0
