@@ -38,13 +38,6 @@ DEFAULT_SHARD_SIZE = 1000
 # --- FIXED VALUES: action vocabulary and examples --------------------------
 ACTION_TYPES = ["click", "type", "scroll", "drag", "long_press", "done"]
 
-ACTION_FORMAT_EXAMPLES = """click(x=0.45, y=0.72)
-type(text="search query")
-scroll(direction="down")
-drag(startX=0.1, startY=0.2, endX=0.5, endY=0.8)
-long_press(x=0.3, y=0.5)
-done()"""
-
 # --- FIXED VALUES: system prompts by task ----------------------------------
 GROUNDING_SYSTEM_PROMPT = """You are a GUI agent that can interact with screen interfaces. When given a screenshot and a task, output the precise action to take.
 

@@ -28,9 +28,6 @@ DONE_RE = r"done\(\)"
 ACTION_FIELDS = ["action_type", "x", "y", "text", "direction",
                  "start_x", "start_y", "end_x", "end_y"]
 
-ACTION_SCHEMA = ("struct<action_type:string,x:double,y:double,text:string,direction:string,"
-                 "start_x:double,start_y:double,end_x:double,end_y:double>")
-
 
 def _num(t: Column, pattern: str, group: int) -> Column:
     return py_float(F.regexp_extract(t, pattern, group))

@@ -20,11 +20,6 @@ def hash_u32(seed, key) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
-def hash_unit(seed, key) -> Column:
-    """Uniform in [0, 1) from the hash."""
-    return hash_u32(seed, key) / F.lit(TWO_32)
-
-
 def bernoulli(seed, key, p: float) -> Column:
     """True with probability ``p``, decided by the hash alone."""
     return hash_u32(seed, key) < F.lit(p * TWO_32)

@@ -31,7 +31,9 @@ def resolve_alias_map(m, names: list[str], default=None) -> Column:
 
 def canonical_target(kind, x=None, y=None, xy=None, text=None) -> Column:
     """Target canonicalisation (P2): a dict (x, y) or a list of >= 2 numbers
-    becomes ``click(x=%.4f, y=%.4f)``; anything else is ``str().strip()``."""
+    becomes ``click(x=%.4f, y=%.4f)``; anything else is ``str().strip()``.
+    A coordinate that is present but null cannot be formatted: the target is
+    null, and the row is one to reject (F6)."""
     k = TX.col_(kind)
     fx = TX.py_fixed4
     out = TX.py_strip(TX.col_(text).cast("string")) if text is not None else F.lit(None).cast("string")
@@ -41,9 +43,7 @@ def canonical_target(kind, x=None, y=None, xy=None, text=None) -> Column:
                      F.concat(F.lit("click(x="), fx(F.get(a, 0)), F.lit(", y="), fx(F.get(a, 1)),
                               F.lit(")"))).otherwise(out)
     if x is not None:
-        out = F.when(k == "dict", F.concat(F.lit("click(x="), fx(F.coalesce(TX.col_(x), F.lit(0.0))),
-                                           F.lit(", y="), fx(F.coalesce(TX.col_(y), F.lit(0.0))),
-                                           F.lit(")"))).otherwise(out)
+        out = F.when(k == "dict", F.concat(F.lit("click(x="), fx(TX.col_(x)), F.lit(", y="), fx(TX.col_(y)), F.lit(")"))).otherwise(out)
     return out
 
 
@@ -122,10 +122,17 @@ def _present(v: Column, key: str) -> Column:
     return F.variant_get(v, f"$.{key}", "variant").isNotNull()
 
 
+def _number(v: Column) -> Column:
+    """The value of a JSON number (true and false are 1 and 0), else null: text is never read as a number."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get(v, "$", "double")) \
+        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
+
+
 def _first_present(v: Column, names: list[str], default: float = 0.0) -> Column:
     out = None
     for n in names:   # absence, not null, drives the fallback (P1)
-        val = F.try_variant_get(v, f"$.{n}", "double")
+        val = _number(F.variant_get(v, f"$.{n}", "variant"))
         out = F.when(_present(v, n), val) if out is None else out.when(_present(v, n), val)
     return out.otherwise(F.lit(default))
 
@@ -133,17 +140,18 @@ def _first_present(v: Column, names: list[str], default: float = 0.0) -> Column:
 def canonical_target_variant(v) -> Column:
     """P1 + P2 on a target ingested as VARIANT (``parse_json``): an object
     gives ``click(x=%.4f, y=%.4f)`` from ``x``/``x_norm`` and ``y``/``y_norm``
-    (0 when absent); an array of at least two numbers gives the same from
-    its first two; anything else is its string value stripped (other JSON
-    values: their JSON text)."""
+    (0 when absent); an array of at least two values gives the same from its
+    first two; anything else is its string value stripped (other JSON values:
+    their JSON text).  A coordinate that is no number (null, text, a list)
+    gives a null target: a row to reject (F6), as formatting it would fail."""
     v = TX.col_(v)
     shape = F.schema_of_variant(v)
-    arr = F.try_variant_get(v, "$", "array<double>")
+    arr = F.try_variant_get(v, "$", "array<variant>")
     fx = TX.py_fixed4
 
     def click(a, b):
         return F.concat(F.lit("click(x="), fx(a), F.lit(", y="), fx(b), F.lit(")"))
     return (F.when(shape.startswith("OBJECT"),
                    click(_first_present(v, ["x", "x_norm"]), _first_present(v, ["y", "y_norm"])))
-            .when(shape.startswith("ARRAY") & (F.size(arr) >= 2), click(F.get(arr, 0), F.get(arr, 1)))
+            .when(shape.startswith("ARRAY") & (F.size(arr) >= 2), click(_number(F.get(arr, 0)), _number(F.get(arr, 1))))
             .otherwise(TX.py_strip(F.try_variant_get(v, "$", "string"))))

@@ -8,8 +8,6 @@ pushdown).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +38,17 @@ def require_target(df: DataFrame, instruction: str = "instruction", target: str
     return df.where(~is_blank(instruction) & ~is_blank(target))
 
 
+def require_target_variant(df: DataFrame, instruction: str = "instruction", target: str = "target") -> DataFrame:
+    """F4 on a target of any JSON type: null, "", 0, false, {} and [] are
+    empty; a blank string is not."""
+    return df.where(~is_blank(instruction) & ~is_empty_variant(target))
+
+
+def is_empty_variant(target) -> Column:
+    v = col_(target)
+    return v.isNull() | F.to_json(v).rlike(r'^(null|""|-?0(\.0*)?(E-?\d+)?|false|\{\}|\[\])$')
+
+
 def check_alignment(df: DataFrame, count_col: str, expected_col: str, mode: str = "drop") -> DataFrame:
     """Placeholder count must equal the feature count (F5): drop the row
     (cache path) or fail the job (model / processor path)."""
@@ -66,7 +75,3 @@ def quarantine(df: DataFrame, reasons: list[tuple[str, Column]],
     tagged = df.withColumn(reason_col, r)
     return tagged.where(F.col(reason_col).isNull()).drop(reason_col), \
         tagged.where(F.col(reason_col).isNotNull())
-
-
-def all_of(*conds: Column) -> Column:
-    return reduce(lambda a, b: a & b, conds)

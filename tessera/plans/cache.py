@@ -153,6 +153,24 @@ def linear_encoder(patches: int = 4, seed: int = 11):
     return make
 
 
+@query("encoded_cache", with_fixtures(f"""
+select shard_id, pos, id, label, 4 as num_patches, k as patch_idx, 16 as dim
+from sharded, (select unnest(generate_series(0, 3)) as k) p""", extra={"sharded": SHARDED_SQL}))
+def encoded_cache(spark, sf):
+    """G9 -> W3 -> S4 -> S5 -> S3 -> J1 end to end: ids ranked, each input
+    encoded once where its shard is written, a row per patch."""
+    def build():
+        emb = scan_corpus(spark, f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label", "embedding")
+        root = _cache_root(spark)
+        meta = FC.encode_feature_cache(emb, root, ["id"], linear_encoder(), keep=["label"], shard_size=SHARD_SIZE)
+        FC.write_manifest(FC.build_manifest(meta, "embeddings", "encoded", shard_size=SHARD_SIZE), root)
+        return root
+    meta, feats, _ = FC.scan_feature_cache(spark, shared(spark, sf, "encoded-cache", build))
+    j = join_features(meta.select("shard_id", "pos", "id", "label", "num_patches"), feats)
+    return j.select(F.col("shard_id").cast("bigint").alias("shard_id"), F.col("pos").cast("bigint").alias("pos"), "id",
+                    "label", "num_patches", "patch_idx", F.size("feature").alias("dim"))
+
+
 @query("extract_features")
 def extract_features_q(spark, sf):
     """The encoder over Arrow batches, one row per patch (the cache's row

@@ -172,7 +172,8 @@ def grounding_targets(spark, sf):
     x = fields.resolve_alias_map("target", ["x", "x_norm"], 0.0)
     y = fields.resolve_alias_map("target", ["y", "y_norm"], 0.0)
     t = fields.canonical_target("kind", x=x, y=y, xy=F.array("x", "y"), text="target_text")
-    return kept.select("sample_id", "instruction", t.alias("target"), F.lit(1).alias("n_targets"))
+    kept = kept.select("sample_id", "instruction", t.alias("target"), F.lit(1).alias("n_targets"))
+    return kept.where(F.col("target").isNotNull())
 
 
 def target_variant_df(spark, sf):
@@ -196,8 +197,34 @@ def grounding_targets_variant(spark, sf):
     """P1 + P2 + F4 with the target as a VARIANT column: key presence and
     shape are read from the value itself, not from a kind column."""
     g = gates.require_target(target_variant_df(spark, sf), "instruction", "target_text")
-    return g.select("sample_id", "instruction", fields.canonical_target_variant("target").alias("target"),
-                    F.lit(1).alias("n_targets"))
+    g = g.select("sample_id", "instruction", fields.canonical_target_variant("target").alias("target"),
+                 F.lit(1).alias("n_targets"))
+    return g.where(F.col("target").isNotNull())
+
+
+# Targets of every JSON type, and what each becomes (null: skipped).  x and y
+# are the record's own numbers.
+ODD_TARGETS = [
+    ('{"x": null, "y": 0.5}', None), ('{"x": "0.5", "y": 0.5}', None), ("{}", None), ("[]", None),
+    ('["a", 0.5]', None), ("[null, 0.5]", None), ("0", None), ("false", None), ("null", None), ('""', None),
+    ('" "', ""), ('{"x_norm": 1, "y": 0.25}', "click(x=1.0000, y=0.2500)"), ('{"z": 1}', "click(x=0.0000, y=0.0000)"),
+    ("[1, 2.5, 3]", "click(x=1.0000, y=2.5000)"), ('" done() "', "done()")]
+
+
+@query("odd_targets", with_fixtures(f"""
+select sample_id, target from gui_targets
+join (values {", ".join(f"({i}, {'null' if t is None else sql_lit(t)})" for i, (_, t) in enumerate(ODD_TARGETS))}) o(k, target)
+  on sample_id % {len(ODD_TARGETS)} = k
+where instruction is not null and instruction <> '' and target is not null""", "gui_targets"))
+def odd_targets(spark, sf):
+    """F4 + P1 + P2 on targets of every JSON type: empty values are gated,
+    coordinates that are no numbers give no target."""
+    g = FX.gui_targets(spark, sf).select("sample_id", "instruction")
+    raw = F.element_at(F.array(*[F.lit(j) for j, _ in ODD_TARGETS]),
+                       (F.col("sample_id") % len(ODD_TARGETS) + 1).cast("int"))
+    g = gates.require_target_variant(g.withColumn("target", F.parse_json(raw)), "instruction", "target")
+    g = g.select("sample_id", fields.canonical_target_variant("target").alias("target"))
+    return g.where(F.col("target").isNotNull())
 
 
 @query("grounding_quarantine", with_fixtures(f"""

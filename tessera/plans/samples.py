@@ -135,7 +135,9 @@ def first_qa_array(spark, sf):
     the first image must be present, the first pair is ``get(texts, 0)``."""
     conv = FX.vl_conv(spark, sf)
     pairs = fields.qa_pairs(conv)
-    images = conv.groupBy("sample_id").agg(F.collect_list("image_ref").alias("images"))   # one sample's turns
+    # one sample's turns, in order, nulls kept: the first image is tested, not the first that is there
+    images = conv.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("turn", "image_ref"))).alias("images"))
+    images = images.withColumn("images", F.transform("images", lambda i: i["image_ref"]))
     rows = gates.require_asset(pairs.join(images, "sample_id"), "images", is_array=True)
     q, a = fields.first_qa("texts")
     return gates.require_qa(rows.select("sample_id", q.alias("question"), a.alias("answer")))

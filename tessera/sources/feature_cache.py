@@ -1,7 +1,8 @@
 """Sharded feature cache: sink (S4), manifest (S5) and scan (S3).
 
 Layout under ``root``:
-  features/shard_id=N/…parquet   wide: shard_id, pos, feature ARRAY<FLOAT>
+  features/shard_id=N/…parquet   wide: shard_id, pos, feature ARRAY<FLOAT> (with
+                                 patch_idx, a row per patch), and the narrow columns
   meta/shard_id=N/…parquet       narrow: shard_id, pos, id, num_patches, …
   manifest/…json                 one row
 
@@ -20,37 +21,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import constants as K
+from tessera.operators.features import extract_features
 from tessera.operators.ranking import assign_shards
 
 
+def shard_map(df: DataFrame, id_col: str, order_cols, shard_size: int,
+              rows_per_bucket: int | None = None) -> DataFrame:
+    """(_sid, shard_id, pos) of each distinct id of ``df``: shards count
+    samples, whatever number of rows a sample has."""
+    names = dict.fromkeys([id_col, *order_cols])
+    ids = assign_shards(df.select(*names).distinct(), order_cols, shard_size, rows_per_bucket=rows_per_bucket)
+    return ids.select(F.col(id_col).alias("_sid"), "shard_id", "pos")
+
+
+def _write(sharded: DataFrame, root: str, feature_col: str, patch_col: str) -> DataFrame:
+    """One evaluation of ``sharded``: the feature files, then the metadata
+    from their narrow columns."""
+    features = os.path.join(root, "features")
+    sharded.write.mode("overwrite").partitionBy("shard_id").parquet(features)
+    back = sharded.sparkSession.read.schema(sharded.schema).parquet(features)
+    meta = back.select(*[c for c in sharded.columns if c not in (feature_col, patch_col)]).distinct()
+    meta.repartition("shard_id").write.mode("overwrite").partitionBy("shard_id") \
+        .parquet(os.path.join(root, "meta"))
+    return meta
+
+
 def write_feature_cache(df: DataFrame, root: str, order_cols, feature_col: str = "feature",
                         shard_size: int = K.DEFAULT_SHARD_SIZE, id_col: str = "id",
-                        already_sharded: bool = False,
+                        already_sharded: bool = False, patch_col: str = "patch_idx",
                         rows_per_bucket: int | None = None) -> DataFrame:
-    """Fixed ``shard_size`` valid rows per shard (the last one partial),
-    shard id and position from the two-phase global rank (W3).
-
-    The rank runs on the narrow columns only: an image's features are
-    hundreds of 4096-wide rows, so they never pass through the rank's
-    shuffles.  The wide column meets its (shard_id, pos) in one join on the
-    unique ``id_col`` and is repartitioned by shard, so each shard is
-    written by one task (one file; a retried task rewrites the same shard).
+    """Fixed ``shard_size`` samples per shard (the last one partial),
+    shard id and position from the global rank (W3) of the distinct ids.
+
+    ``df`` has one row per sample, or one per patch (``patch_col``).  Only ids
+    and order columns are ranked; the rows meet their (shard_id, pos) in one
+    join on the id, many rows to one, and are repartitioned by shard, so each
+    shard is written by one task (a retried task rewrites the same shard).
+    ``df`` is evaluated twice, for the ids and for the rows; use
+    ``encode_feature_cache`` where an encoder would run.
     Returns the narrow sharded metadata (for the manifest)."""
-    narrow_cols = [c for c in df.columns if c != feature_col]
-    if already_sharded:
-        meta = df.select(*narrow_cols)
-        wide = df.select("shard_id", "pos", feature_col)
-    else:
-        meta = assign_shards(df.select(*narrow_cols), order_cols, shard_size,
-                             rows_per_bucket=rows_per_bucket)
-        shard_map = meta.select(F.col(id_col).alias("_sid"), "shard_id", "pos")
-        wide = df.select(F.col(id_col).alias("_wid"), feature_col) \
-            .join(shard_map, F.col("_wid") == F.col("_sid")).select("shard_id", "pos", feature_col)
-    wide.repartition("shard_id").write.mode("overwrite") \
-        .partitionBy("shard_id").parquet(os.path.join(root, "features"))
-    meta.repartition("shard_id").write.mode("overwrite").partitionBy("shard_id") \
-        .parquet(os.path.join(root, "meta"))
-    return meta
+    if not already_sharded:
+        ids = shard_map(df, id_col, order_cols, shard_size, rows_per_bucket)
+        df = df.join(ids, df[id_col] == ids["_sid"]).drop("_sid")
+    return _write(df.repartition("shard_id"), root, feature_col, patch_col)
+
+
+def encode_feature_cache(df: DataFrame, root: str, order_cols, make_encoder, id_col: str = "id",
+                         keep: list[str] | None = None, shard_size: int = K.DEFAULT_SHARD_SIZE,
+                         rows_per_bucket: int | None = None) -> DataFrame:
+    """G9 + W3 + S4: rank the ids of the encoder's *input*, deal the inputs by
+    shard, then encode each row once, where its shard is written, one row per
+    patch.  ``keep`` names the input columns that go into the metadata."""
+    ids = shard_map(df, id_col, order_cols, shard_size, rows_per_bucket)
+    dealt = df.join(ids, df[id_col] == ids["_sid"]).drop("_sid").repartition("shard_id")
+    encoded = extract_features(dealt, make_encoder, per_patch=True,
+                               keep=[id_col, *(keep or []), "shard_id", "pos"])
+    return _write(encoded, root, "feature", "patch_idx")
 
 
 def build_manifest(meta: DataFrame, dataset: str, config: str, image_size: int = K.TARGET_SIZE,
@@ -78,6 +104,7 @@ def scan_feature_cache(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
     (manifest ``sequence(0, n-1)`` left-anti the shards found)."""
     meta = spark.read.parquet(os.path.join(root, "meta"))
     feats = spark.read.parquet(os.path.join(root, "features"))
+    feats = feats.select(*[c for c in feats.columns if c in ("shard_id", "pos", "patch_idx", "feature")])
     man = read_manifest(spark, root)
     expected = man.select(F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                F.col("num_shards").cast("bigint") - 1)).alias("shard_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tessera.functions import prompts as PR
 from tessera.functions.text import py_strip, strip_placeholder
 from tessera.operators import fields, gates
 from tessera.operators.ranking import assign_shards
+from tessera.sources.feature_cache import build_manifest, write_manifest
 
 
 def build_samples(df: DataFrame, n_img_col: str = "num_patches",
@@ -43,12 +45,9 @@ def to_array_form(long: DataFrame) -> DataFrame:
 
 def _read_state(spark, root: str, batch_id: int):
     """(next_shard, carry_rows, carry frame or None) left by ``batch_id``."""
-    if batch_id < 0:
-        return 0, 0, None
-    try:
-        m = spark.read.parquet(os.path.join(root, "_progress", f"batch_id={batch_id}")).first()
-    except Exception:  # noqa: BLE001 - no earlier batch
+    if batch_id < 0:  # before the first batch; any other state must be readable
         return 0, 0, None
+    m = spark.read.parquet(os.path.join(root, "_progress", f"batch_id={batch_id}")).first()
     carry = None
     if m["carry_rows"] > 0:
         carry = spark.read.parquet(os.path.join(root, "_carry", f"batch_id={batch_id}"))
@@ -98,18 +97,25 @@ def stream_cache(df: DataFrame, root: str, order_col: str, shard_size: int, chec
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def flush_cache(spark, root: str, order_col: str, shard_size: int) -> None:
-    """Write the rows still carried after the last batch as the final
-    (partial) shard."""
-    prog = os.path.join(root, "_progress")
+def flush_cache(spark, root: str, order_col: str, shard_size: int, dataset: str = "stream",
+                config: str = "default") -> None:
+    """Write the rows still carried after the last batch as a final (partial)
+    shard, clear the carry, and write the manifest (S5) of all shards.  A
+    stream resumed later goes on with the next shard id; a repeated flush
+    rewrites the same files."""
     try:
-        ids = spark.read.parquet(prog).select(F.max("batch_id")).first()[0]
-    except Exception:  # noqa: BLE001 - nothing was written
-        return
-    next_shard, n_carry, carry = _read_state(spark, root, int(ids))
-    if carry is None or n_carry == 0:
-        return
-    last = assign_shards(carry, [order_col], shard_size) \
-        .withColumn("shard_id", F.col("shard_id") + F.lit(next_shard))
-    last.repartition("shard_id").write.mode("overwrite").partitionBy("shard_id") \
-        .parquet(os.path.join(root, "shards", "batch_id=final"))
+        last = spark.read.parquet(os.path.join(root, "_progress")).select(F.max("batch_id")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return  # no batch has run
+    last = int(last)
+    next_shard, n_carry, carry = _read_state(spark, root, last)
+    if carry is not None and n_carry > 0:
+        rest = assign_shards(carry, [order_col], shard_size) \
+            .withColumn("shard_id", F.col("shard_id") + F.lit(next_shard))
+        rest.repartition("shard_id").write.mode("overwrite").partitionBy("shard_id") \
+            .parquet(os.path.join(root, "shards", f"batch_id={last}-rest"))
+        _write_state(spark, root, last, next_shard + 1, None, 0)
+    shards = spark.read.parquet(os.path.join(root, "shards")).select("shard_id")
+    write_manifest(build_manifest(shards, dataset, config, shard_size=shard_size), root)

@@ -4,7 +4,8 @@ The trainers append step lines to log files; a file-source stream over the
 log folder replaces the polling shell loops.  Ordering is by the step
 counter, not by event time, so no watermark is involved: the state of
 ST1/ST2 is one row per stage (bounded by the number of stages), ST3 keeps
-only incomplete count windows and ST4 one running best per stage.
+only incomplete count windows and ST4 one running best per stage with the
+save points that arrived ahead of a missing one.
 """
 
 from __future__ import annotations
@@ -42,15 +43,20 @@ def stream_latest(log: DataFrame) -> DataFrame:
 def stream_trigger(log: DataFrame, k: int, action: Callable[[DataFrame, int], None],
                    checkpoint: str, trigger: dict | None = None):
     """ST2: fire ``action`` once per stage when its step first reaches
-    ``k``.  ``dropDuplicates(stage)`` remembers the stages that fired (one
-    state row each), ``foreachBatch`` runs the action on the new ones.
-    The default trigger polls every 60 s like the source's watcher."""
-    fired = log.where(F.col("step") >= k).dropDuplicates(["stage"])
+    ``k``.  ``dropDuplicates`` remembers the stages that fired, first per
+    (stage, salt), which deals a stage's many later lines to as many tasks,
+    then per stage, which sees each salt once.  ``foreachBatch`` runs the
+    action on the new ones.  The default trigger polls every 60 s like the
+    source's watcher."""
+    salted = log.where(F.col("step") >= k).withColumn("_salt", F.pmod(F.xxhash64("step"), F.lit(TRIGGER_SALTS)))
+    fired = salted.dropDuplicates(["stage", "_salt"]).dropDuplicates(["stage"]).drop("_salt")
     w = fired.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"processingTime": "60 seconds"}))
     return w.start()
 
 
+TRIGGER_SALTS = 64
+
 ACCUM_OUT = "stage string, step long, loss double, n long"
 ACCUM_STATE = "ws array<long>, sums array<double>, counts array<long>"
 WINDOWS_PER_KEY = 64
@@ -96,31 +102,36 @@ def stream_accum(micro: DataFrame, n: int) -> DataFrame:
 
 
 BEST_OUT = "stage string, step long, loss double, prev_best double, is_new_best boolean"
-BEST_STATE = "best double"
-
-
-def _best_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (stage,) = key
-    best = state.get[0] if state.exists else float("inf")
-    frames = [f for f in pdfs if len(f)]
-    if not frames:
-        return
-    rows = pd.concat(frames, ignore_index=True).sort_values("step")
-    prev, flags = [], []
-    for loss in rows["loss"]:
-        prev.append(best)
-        flags.append(loss < best)
-        if loss < best:
-            best = loss
-    state.update((best,))
-    yield pd.DataFrame({"stage": stage, "step": rows["step"].astype("int64").values,
-                        "loss": rows["loss"].values, "prev_best": prev, "is_new_best": flags})
+BEST_STATE = "best double, next long, steps array<long>, losses array<double>"
+
+
+def _best_fn(save_every: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (stage,) = key
+        best, due, steps, losses = state.get if state.exists else (float("inf"), save_every, [], [])
+        held = dict(zip(steps, losses, strict=True))
+        for f in pdfs:
+            held.update(zip(f["step"].astype("int64"), f["loss"], strict=True))
+        out = []
+        while due in held:  # in step order, as far as no save point is missing
+            loss = held.pop(due)
+            if loss is not None and loss == loss:
+                out.append((stage, due, loss, best, loss < best))
+                best = min(best, loss)
+            due += save_every
+        rest = sorted((int(k), None if v is None or v != v else float(v)) for k, v in held.items() if k > due)
+        state.update((best, int(due), [k for k, _ in rest], [v for _, v in rest]))
+        if out:
+            yield pd.DataFrame(out, columns=["stage", "step", "loss", "prev_best", "is_new_best"])
+    return fn
 
 
 def stream_best(log: DataFrame, save_every: int) -> DataFrame:
-    """ST4: running best at each save point (W5 incrementally); state is
-    the best loss per stage.  Log lines of a stage arrive in step order
-    (appended files), each micro-batch is sorted by step."""
-    s = log.where((F.col("step") % save_every == 0) & F.col("loss").isNotNull()).select("stage", "step", "loss")
+    """ST4: running best at each save point (W5 incrementally), whatever order
+    the log files arrive in.  A save point is held back until all before it
+    have come; one without a loss fills its place and gives no row.  State
+    per stage: the best loss, the next save point due, and those held back.
+    Only save points (one line in ``save_every``) reach the state."""
+    s = log.where((F.col("step") % save_every == 0) & (F.col("step") > 0)).select("stage", "step", "loss")
     return s.groupBy("stage").applyInPandasWithState(
-        _best_fn, BEST_OUT, BEST_STATE, "append", GroupStateTimeout.NoTimeout)
+        _best_fn(save_every), BEST_OUT, BEST_STATE, "append", GroupStateTimeout.NoTimeout)
