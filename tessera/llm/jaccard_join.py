@@ -12,7 +12,7 @@ positions of the token leave possible.  Pairs that pass are expanded to their
 members and verified on the whole texts.
 
 Links are found in two rounds so that a large cluster costs no pair of its
-members: first each token's groups against its smallest group; then only what
+members: first each token's groups against one of them; then only what
 the links so far leave in different components, each such group against all
 groups of its token.  Pairs inside one component need no check: they can add
 no reachability.  No candidate is dropped.
@@ -171,14 +171,14 @@ class _Join:
         self.nodes = self.sketch.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def tokens(self) -> DataFrame:
-        """token, grp, n, pos, and the token's smallest group, of the tokens
-        that several groups share."""
+        """token, grp, n, pos, the token's number of groups and one of them by
+        hash, its pivot, of the tokens that several groups share."""
         rows = self.prefixes.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
         rows = rows.repartition("token").dropDuplicates(["token", "grp", "n"])
         own = Window.partitionBy("token")
         rows = rows.withColumn("groups", F.count(F.lit(1)).over(own)).withColumn(
-            "pivot", F.min(F.struct("n", "grp", "pos")).over(own))
-        return written(rows.where("groups > 1").drop("groups"), "tokens")
+            "pivot", F.min(F.struct("grp", "n", "pos")).over(own))
+        return written(rows.where("groups > 1"), "tokens")
 
     def small(self, ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= self.broadcast_ids else ids
@@ -204,7 +204,7 @@ class _Join:
         tokens = self.tokens()
         members = written(self.prefixes.select("grp", "n", "node").distinct(), "members")
         heads = members.groupBy("grp", "n").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size"))
-        # round 1: each token's smallest group against the others, and each group's head against its members
+        # round 1: each token's pivot against its other groups, and each group's head against its members
         x = tokens.select(F.struct("pivot.grp", "pivot.n", "pivot.pos").alias("x"), F.struct("grp", "n", "pos").alias("y"))
         stars = (x.where("x.grp != y.grp or x.n != y.n").where(_possible(self.percent))
                  .select("x.grp", "x.n", F.col("y.grp").alias("grp2"), F.col("y.n").alias("n2")).distinct())
@@ -220,7 +220,8 @@ class _Join:
             "grp", "n", "node", F.coalesce("component", "node").alias("component")))
         of = written(of, "of")
         spread = of.groupBy("grp", "n").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        placed = tokens.join(spread, ["grp", "n"])
+        # (pairs with a pivot are done)
+        placed = tokens.where("groups > 2 and not (grp = pivot.grp and n = pivot.n)").join(spread, ["grp", "n"])
         pivot = spread.select(F.col("grp").alias("p_grp"), F.col("n").alias("p_n"), F.col("low").alias("p_low"),
                               F.col("high").alias("p_high"))
         placed = placed.join(pivot, (F.col("pivot.grp") == F.col("p_grp")) & (F.col("pivot.n") == F.col("p_n")))
