@@ -13,9 +13,9 @@ Pointer jumping finds what is reachable: each round a set of reached offsets
 grows by one jump, and every jump doubles its length, so a file of n records
 takes about log2(n) rounds of joins over (file, offset, successor).
 
-Defined results: a null payload is empty; a null url is left out; a null id
-is the smallest; rows that share id and payload are responses alike when that
-id is the smallest of the payload; an empty table gives no records and no
+Defined results: a null payload is empty; a null url is left out; a row without
+an id is a response only where no row of its payload has one; rows that share
+id and payload are responses alike when that id is the smallest of the payload; an empty table gives no records and no
 rows; extra columns are ignored.
 """
 
@@ -106,12 +106,12 @@ def _base32(payload: bytes) -> str:
 
 
 CANDIDATE = pa.schema([
-    ("file", pa.string()), ("split", pa.int64()), ("at", pa.int64()), ("span", pa.int64()), ("size", pa.int64()),
+    ("file", pa.int64()), ("split", pa.int64()), ("at", pa.int64()), ("span", pa.int64()), ("size", pa.int64()),
     ("type", pa.string()), ("id", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()),
     ("bytes", pa.int64())])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, bytes]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
     """(file, split, offset in the split, text after the magic) in file order.
     The offset is that of the magic; the text before a file's first magic
     starts at minus its length."""
@@ -148,19 +148,20 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for file, split, at, text in _chunks(batches):
-        yield pa.record_batch([pa.array([file]), pa.array([split], pa.int64()), pa.array([at], pa.int64()),
+        yield pa.record_batch([pa.array([file], pa.int64()), pa.array([split], pa.int64()), pa.array([at], pa.int64()),
                                pa.array([text], pa.binary())], names=["file", "split", "at", "text"])
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """The archive cut at each magic, in file order within a task."""
+    """The archive cut at each magic, in file order within a task; a file is
+    known by the hash of its path."""
     return spark.read.option("lineSep", MAGIC).text(path).select(
-        "_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary"))
+        F.xxhash64("_metadata.file_path").alias("file"), "_metadata.file_block_start", F.col("value").cast("binary"))
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """file, offset, successor and header of each candidate record."""
-    schema = ("file string, split long, at long, span long, size long, type string, id string, refers_to string, "
+    schema = ("file long, split long, at long, span long, size long, type string, id string, refers_to string, "
               "digest string, bytes long")
     found = written(_lines(spark, path).mapInArrow(_candidates, schema), "candidates")
     # a split starts where the splits before it end; offset 0 is the first magic
@@ -207,10 +208,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     pieces = (found.select("file", "split", "at", "offset").join(starts, ["file", "offset"], "left")
               .withColumn("record", owner).where("record >= 0")
               .select("file", "split", "at", "record", F.col("offset").alias("piece")))
-    texts = _lines(spark, path).mapInArrow(_texts, "file string, split long, at long, text binary")
+    texts = _lines(spark, path).mapInArrow(_texts, "file long, split long, at long, text binary")
     whole = (texts.join(pieces, ["file", "split", "at"]).groupBy("file", "record")
              .agg(F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("pieces")))
-    mended = whole.mapInArrow(_mended, "file string, offset long, digest string, bytes long")
+    mended = whole.mapInArrow(_mended, "file long, offset long, digest string, bytes long")
     mended = cut.drop("digest", "bytes").join(mended, ["file", "offset"])
     columns = ["type", "id", "refers_to", "digest", "bytes"]
     return true.where("digest is not null").select(columns).unionByName(mended.select(columns))
