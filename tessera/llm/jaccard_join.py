@@ -2,9 +2,11 @@
 
 A document is the set of its five-word shingles, as 64-bit hashes.  Two sets
 with a similarity of ``percent`` or more share one of their first tokens in
-any fixed order of all tokens; here the order is by hash, with the tokens that
-tasks have seen often at the end, which keeps common lines and passages out of
-the prefixes.  (Which tokens those are changes the work, never the result.)
+any fixed order of all tokens; here the order is by hash, with common tokens
+at the end, which keeps common lines and passages out of the prefixes.  Common
+are the tokens of those of a fixed number of hash buckets that hold more than
+chance explains, counted over all documents.  (Which tokens those are changes
+the work, never the result.)
 
 Sets with identical prefixes and size are one group.  Group pairs come from
 tokens that several groups share, and are filtered by size and by what the
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +42,9 @@ from .hashing import Hashed
 
 WORDS = 5
 PERCENT = 80
-#: Tokens put last in the order: at most so many, seen so often.  Ordering only.
-MOST_COMMON = 100_000
-COMMON_FROM = 5
+#: Hash buckets of the token counts, and the slices in which they are added up.
+BUCKETS = 1 << 24
+SLICES = 1 << 10
 #: A list of ids up to this length is broadcast; a longer one is joined by shuffling.
 BROADCAST_IDS = 500_000
 SLICE_BYTES = 1 << 20
@@ -92,25 +95,59 @@ def _sets(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int,
             out, held, start = [], 0, i + 1
 
 
+def bucket_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+SKETCH = ["doc_id", "n", "node", "slice", "counts"]
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """A row per document; at the end of the task, its token counts by bucket
+    in slices.  Equal sets of one batch count once."""
+    counts, ids = np.zeros(BUCKETS, np.uint32), None
     for batch in batches:
         sizes, nodes, held = [], [], {}
         for _, tokens in _sets(batch, 1, size):
             sizes.append(len(tokens))
             nodes.append(node_of(tokens))
-            held[nodes[-1]] = tokens
-        common, often = [None] * batch.num_rows, [None] * batch.num_rows
-        if batch.num_rows:
-            token, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
-            common[0], often[0] = token[n > 1].view(np.int64), n[n > 1]
-        yield pa.record_batch(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
-             pa.array(common, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64()))],
-            names=["doc_id", "n", "node", "common", "often"])
+            if nodes[-1] not in held:
+                held[nodes[-1]] = True
+                np.add.at(counts, bucket_of(tokens), 1)
+        ids = batch.column(0).type
+        none = pa.nulls(batch.num_rows, pa.int32())
+        yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), none,
+                               pa.nulls(batch.num_rows, pa.binary())], names=SKETCH)
+    if ids is not None:
+        parts = [compress(c.tobytes(), 1) for c in np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)]
+        yield pa.record_batch([pa.nulls(SLICES, ids), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()),
+                               pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(parts, pa.binary())],
+                              names=SKETCH)
+
+
+def _common_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per slice, a bit for each bucket that holds more than chance explains.
+    Rows come sorted by slice."""
+    now, total = None, None
+
+    def done():
+        mean = total.mean()
+        return pa.record_batch([pa.array([now], pa.int32()), pa.array(
+            [np.packbits(total > mean + 5 * np.sqrt(mean) + 3).tobytes()], pa.binary())], names=["slice", "bits"])
+
+    for batch in batches:
+        for which, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if which != now:
+                if now is not None:
+                    yield done()
+                now, total = which, np.zeros(BUCKETS // SLICES, np.int64)
+            total += np.frombuffer(decompress(counts), np.uint8)
+    if now is not None:
+        yield done()
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, common) -> Iterator[pa.RecordBatch]:
-    last = common.value  # sorted
+    last = np.unpackbits(np.frombuffer(common.value, np.uint8)).astype(bool)
     for batch in batches:
         done, nodes, sizes, groups, prefixes = set(), [], [], [], []
         for _, tokens in _sets(batch, 0, size):
@@ -118,8 +155,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, common
             if not n or node in done:
                 continue
             done.add(node)
-            at = np.searchsorted(last, tokens)
-            late = last[np.minimum(at, len(last) - 1)] == tokens if len(last) else np.zeros(n, bool)
+            late = last[bucket_of(tokens)]
             prefix = np.concatenate([tokens[~late], tokens[late]])[:prefix_length(n, percent)]
             nodes.append(node)
             sizes.append(n)
@@ -159,12 +195,13 @@ class _Join:
         doc_id = self.docs.schema["doc_id"].dataType.simpleString()
         sketch = written(self.docs.mapInArrow(
             lambda it: _sketches(it, size),
-            f"doc_id {doc_id}, n long, node binary, common array<long>, often array<long>"), "sketch")
-        self.sketch = sketch.select("doc_id", "n", "node")
-        often = (sketch.where("common is not null").select(F.explode(F.arrays_zip("common", "often")).alias("c"))
-                 .groupBy("c.common").agg(F.sum("c.often").alias("n")).where(F.col("n") >= COMMON_FROM)
-                 .orderBy(F.desc("n"), "common").limit(MOST_COMMON).select("common").toArrow())
-        last = spark.sparkContext.broadcast(np.sort(often["common"].to_numpy().astype(np.int64).view(np.uint64)))
+            f"doc_id {doc_id}, n long, node binary, slice int, counts binary"), "sketch")
+        self.sketch = sketch.where("slice is null").select("doc_id", "n", "node")
+        common = (sketch.where("slice is not null").select("slice", "counts").repartition("slice")
+                  .sortWithinPartitions("slice").mapInArrow(_common_bits, "slice int, bits binary").toArrow())
+        bits = dict(zip(common["slice"].to_pylist(), common["bits"].to_pylist(), strict=True))  # BUCKETS / 8 bytes
+        none = bytes(BUCKETS // SLICES // 8)
+        last = spark.sparkContext.broadcast(b"".join(bits.get(k, none) for k in range(SLICES)))
         self.prefixes = written(self.docs.select("text").mapInArrow(
             lambda it: _prefixes(it, size, percent, last), "node binary, grp long, n long, prefix array<long>"),
             "prefixes")
