@@ -115,3 +115,11 @@ def latest_by_name(df: DataFrame, group: Column, name_col: str) -> DataFrame:
     """Lexically greatest name per group (a ``max``, no sort)."""
     return df.groupBy(group.alias("component")).agg(F.max(name_col).alias("latest_name"),
                                                      F.count(F.lit(1)).alias("n_names"))
+
+
+def listed_names(df: DataFrame, name_col: str, group: Column | None = None) -> DataFrame:
+    """Names in lexical order with their place in the listing, per group
+    or over all.  A global rank: no task sorts a whole group."""
+    from tessera.operators.ranking import global_rank
+    names = df.select(*([group.alias("component")] if group is not None else []), F.col(name_col).alias("name")).distinct()
+    return global_rank(names, ["name"], ["component"] if group is not None else [], rank_col="place")

@@ -3,7 +3,7 @@
 Equi-joins are left to Catalyst/AQE: a side whose runtime size is under
 ``spark.sql.adaptive.autoBroadcastJoinThreshold`` is broadcast, otherwise a
 sort-merge join runs with AQE splitting skewed partitions.  The one theta
-join of the reference (``startswith``) is rewritten as an equi-join on
+join (``startswith``) is rewritten as an equi-join on
 generated prefixes, so it never becomes a nested loop.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import constants as K
@@ -20,19 +20,20 @@ from tessera.functions.text import col_
 
 def join_features(meta: DataFrame, feat: DataFrame, keys=("shard_id", "pos")) -> DataFrame:
     """Cached features joined back to their metadata by (shard, position).
-    Both sides written partitioned/bucketed by ``shard_id`` by the cache
-    sink, so the scan prunes shards and the join keys are co-located."""
+    The folder layout lets a reader of some shards prune the rest; the join
+    itself is a shuffle join unless the metadata is small enough to be
+    broadcast."""
     return meta.join(feat, list(keys), "inner")
 
 
 def placeholder_positions(df: DataFrame, key: str, ids_col: str,
                           image_token_id: int = K.IMAGE_TOKEN_ID) -> DataFrame:
     """Every placeholder position of each sample with its 0-based
-    ordinal ``k``.  The window is per sample (bounded by its length)."""
-    pos = df.select(F.col(key), F.posexplode(ids_col).alias("position", "_tid")) \
-        .where(F.col("_tid") == image_token_id).drop("_tid")
-    w = Window.partitionBy(key).orderBy("position")
-    return pos.withColumn("k", (F.row_number().over(w) - 1).cast("bigint"))
+    ordinal ``k``: the sample's array of positions is exploded with its
+    index, without a shuffle."""
+    placed = F.transform(ids_col, lambda t, i: F.when(t == image_token_id, i))
+    pos = df.select(F.col(key), F.posexplode(F.filter(placed, lambda p: p.isNotNull())).alias("k", "position"))
+    return pos.select(key, "position", F.col("k").cast("bigint").alias("k"))
 
 
 def align_features(tokens: DataFrame, feat: DataFrame, key: str, ids_col: str,

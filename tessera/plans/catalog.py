@@ -156,3 +156,11 @@ from tensor_catalog group by 1"""))
 def latest_by_name(spark, sf):
     """Lexically latest name per component."""
     return CA.latest_by_name(FX.tensor_catalog(spark, sf), component_col(), "name")
+
+
+@query("listed_names", _cat("""
+select component, name, row_number() over (partition by component order by name) as place
+from (select distinct split_part(name, '.', 2) as component, name from tensor_catalog) q"""))
+def listed_names(spark, sf):
+    """The sorted listing of each component's names."""
+    return CA.listed_names(FX.tensor_catalog(spark, sf), "name", component_col())
