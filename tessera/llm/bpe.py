@@ -33,8 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 
 SLICE_CHARS = 1 << 20
-CACHED_WORDS = 600_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 300_000
+CACHED_PAIRS = 400_000
 
 #: Unicode White_Space, as the tokenizer's pattern understands it.
 BLANK = r"\t-\r \x85\xa0  -     　"

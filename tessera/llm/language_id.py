@@ -91,7 +91,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in sorted(set(langs)):
             own = [t or "" for t, x in zip(texts, langs, strict=True) if x == lang]
             held: list[tuple[np.ndarray, np.ndarray]] = []
-            for a, b in _slices(own, 8 * SLICE_BYTES):
+            for a, b in _slices(own, 2 * SLICE_BYTES):
                 held.append(np.unique(grams(own[a:b])[0], return_counts=True))
             code, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
             n = np.bincount(at, weights=np.concatenate([c for _, c in held]), minlength=len(code))
