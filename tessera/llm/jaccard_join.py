@@ -133,7 +133,7 @@ def _common_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done():
         mean = total.mean()
         return pa.record_batch([pa.array([now], pa.int32()), pa.array(
-            [np.packbits(total > mean + 5 * np.sqrt(mean) + 3).tobytes()], pa.binary())], names=["slice", "bits"])
+            [np.packbits(total > mean + 3 * np.sqrt(mean) + 2).tobytes()], pa.binary())], names=["slice", "bits"])
 
     for batch in batches:
         for which, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
