@@ -14,10 +14,12 @@ positions of the token leave possible.  Pairs that pass are expanded to their
 members and verified on the whole texts.
 
 Links are found in two rounds so that a large cluster costs no pair of its
-members: first each token's groups against one of them; then only what
-the links so far leave in different components, each such group against all
-groups of its token.  Pairs inside one component need no check: they can add
-no reachability.  No candidate is dropped.
+members: first each token's groups against the head of one of them, the pivot;
+then only what the links so far leave in different components, each such group
+against all groups of its token.  A pivot of one member is done after the first
+round; the other members of a larger one take part in the second.  Pairs inside
+one component need no check: they can add no reachability.  No candidate is
+dropped.
 
 Exact copies are one set from the start.  Defined results: a null text is
 empty; a set without words is linked with nothing; fewer words than a shingle
@@ -256,12 +258,14 @@ class _Join:
         of = (members.join(found, "node", "left").select(
             "grp", "n", "node", F.coalesce("component", "node").alias("component")))
         of = written(of, "of")
-        spread = of.groupBy("grp", "n").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        # (pairs with a pivot are done)
-        placed = tokens.where("groups > 2 and not (grp = pivot.grp and n = pivot.n)").join(spread, ["grp", "n"])
+        spread = of.groupBy("grp", "n").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                            F.count(F.lit(1)).alias("size"))
+        placed = tokens.join(spread.drop("size"), ["grp", "n"])
         pivot = spread.select(F.col("grp").alias("p_grp"), F.col("n").alias("p_n"), F.col("low").alias("p_low"),
-                              F.col("high").alias("p_high"))
+                              F.col("high").alias("p_high"), F.col("size").alias("p_size"))
         placed = placed.join(pivot, (F.col("pivot.grp") == F.col("p_grp")) & (F.col("pivot.n") == F.col("p_n")))
+        # (pairs with a pivot are done if it has one member, its head)
+        placed = placed.where("p_size > 1 or groups > 2 and not (grp = p_grp and n = p_n)")
         # a group is settled if it is wholly in the one component of its token's pivot
         settled = F.expr("low = high and p_low = p_high and low = p_low")
         placed = written(placed.select("token", "grp", "n", "pos", "low", "high", settled.alias("settled")), "placed")

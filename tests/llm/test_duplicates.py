@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from tessera.llm import bwt, exact_dedup, jaccard_join, substring_dedup
+from tessera.llm.common import written
 from tessera.llm.components import components
 
 
@@ -116,6 +117,35 @@ def test_jaccard_join(docs_of):
     assert [got[i] for i in range(len(texts))] == component_ids(texts)
 
 
+def prefix_families(seed, families=100):
+    """Of 36 shingles each: a text, one with other last words, which mostly
+    has the same prefix, and one with other first words, near the first only."""
+    rnd, texts = random.Random(seed), []
+    for f in range(families):
+        base = [f"f{f}w{i}" for i in range(40)]
+        family = [base, base[:-3] + [f"f{f}x{i}" for i in range(3)], [f"f{f}y{i}" for i in range(4)] + base[4:]]
+        rnd.shuffle(family)
+        texts += [" ".join(t) for t in family]
+    return texts
+
+
+def test_jaccard_join_of_families_with_a_prefix(spark, docs_of):
+    """Every member of a pivot group meets the other groups, not its head only.
+    No token is common here, as in a large corpus, so prefixes are by hash."""
+    texts = prefix_families(3)
+    join = jaccard_join._Join(docs_of(texts), 5, 80, jaccard_join.BROADCAST_IDS)
+    none = spark.sparkContext.broadcast(bytes(jaccard_join.BUCKETS // 8))
+    join.prefixes = written(join.docs.select("text").mapInArrow(
+        lambda it: jaccard_join._prefixes(it, 5, 80, none), join.prefixes.schema), "prefixes")
+    assert join.prefixes.groupBy("grp", "n").count().where("count > 1").count() > 10
+    component = {bytes(r.node): bytes(r.component) for r in join.run()[1].collect()}
+    nodes = [jaccard_join.node_of(x) for x in jaccard_join.shingle_sets([t.encode() for t in texts])]
+    first, got = {}, []
+    for i, node in enumerate(nodes):
+        got.append(first.setdefault(component.get(node, node), i))
+    assert got == [c for _, c in component_ids(texts)]
+
+
 def test_jaccard_join_of_odd_texts(docs_of, odd):
     texts = [*enumerate(odd), (None, "the same text"), (3, "a")]
     rows = jaccard_join.near_duplicates(docs_of(texts)).collect()
