@@ -19,7 +19,8 @@ then only what the links so far leave in different components, each such group
 against all groups of its token.  A pivot of one member is done after the first
 round; the other members of a larger one take part in the second.  Pairs inside
 one component need no check: they can add no reachability.  No candidate is
-dropped.
+dropped.  That gives components; the number of links needs all pairs, and is
+counted from all of them (``near_duplicates``).
 
 Exact copies are one set from the start.  Defined results: a null text is
 empty; a set without words is linked with nothing; fewer words than a shingle
@@ -238,8 +239,23 @@ class _Join:
                 .select("a", "b", "text_a", "text_b"))
         return written(both.mapInArrow(lambda it: _verified(it, size, percent), "a binary, b binary"), "links")
 
-    def run(self) -> tuple[DataFrame, DataFrame]:
-        """(links found, (node, component) of the linked nodes)."""
+    def all_links(self) -> DataFrame:
+        """Every similar pair of sets (a, b), once."""
+        members = written(self.prefixes.select("grp", "n", "node").distinct(), "members")
+        tokens = self.tokens()
+        x, y = tokens.alias("x"), tokens.alias("y")
+        pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr(
+            "(x.grp < y.grp or x.grp = y.grp and x.n < y.n)") & _possible(self.percent))
+                 .select("x.grp", "x.n", F.col("y.grp").alias("grp2"), F.col("y.n").alias("n2")).distinct())
+        left = members.withColumnRenamed("node", "a")
+        right = members.select(F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("node").alias("b"))
+        across = pairs.join(left, ["grp", "n"]).join(right, ["grp2", "n2"]).select("a", "b")
+        within = left.join(right, (F.col("grp") == F.col("grp2")) & (F.col("n") == F.col("n2")) &
+                           (F.col("a") < F.col("b"))).select("a", "b")
+        return self.links(across.unionByName(within))
+
+    def run(self) -> DataFrame:
+        """(node, component) of the linked nodes."""
         tokens = self.tokens()
         members = written(self.prefixes.select("grp", "n", "node").distinct(), "members")
         heads = members.groupBy("grp", "n").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size"))
@@ -286,33 +302,50 @@ class _Join:
         within = (loose.join(right, (F.col("grp") == F.col("grp2")) & (F.col("n") == F.col("n2")) &
                              (F.col("c") != F.col("c2"))).select("a", "b"))
         second = self.links(cross.unionByName(within))
-        links = first.unionByName(second)
         # contract what round 1 has joined
         short = found.select(F.col("node").alias("b"), F.col("component").alias("a"))
-        return links, written(components(short.select("a", "b").unionByName(second)), "components")
+        return written(components(short.select("a", "b").unionByName(second)), "components")
 
 
-def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
-                    broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id
-    (the smallest doc_id reachable by links) and n_links (the verified links of its
-    set to other sets)."""
-    join = _Join(docs, size, percent, broadcast_ids)
-    links, found = join.run()
-    nodes = join.nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _per_row(join: _Join, nodes: DataFrame, *more: str) -> DataFrame:
+    """Per row of the documents: doc_id, n_shingles, component_id and the
+    columns ``more`` of ``nodes`` (node, doc_id, component)."""
     least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
-              .agg(F.count(F.lit(1)).alias("n_links")))
-    nodes = nodes.join(least, "component").join(degree, "node", "left").select(
-        F.col("node").alias("own"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    nodes = nodes.join(least, "component").select(F.col("node").alias("own"), "component_id", *more)
     sketch = join.sketch
     return (sketch.join(nodes, (sketch["node"] == nodes["own"]) & (sketch["n"] > 0), "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                    F.coalesce("n_links", F.lit(0)).alias("n_links")))
+                    *[F.coalesce(c, F.lit(0)).alias(c) for c in more]))
+
+
+def component_ids(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
+                  broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id
+    (the smallest doc_id reachable by links)."""
+    join = _Join(docs, size, percent, broadcast_ids)
+    found = join.run()
+    return _per_row(join, join.nodes.join(found, "node", "left")
+                    .withColumn("component", F.coalesce("component", "node")))
+
+
+def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
+                    broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """``component_ids`` and n_links, the number of other sets that a row's
+    set is similar to.  All candidates are verified, so the work grows with
+    the pairs inside a component."""
+    join = _Join(docs, size, percent, broadcast_ids)
+    links = join.all_links()
+    degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
+              .agg(F.count(F.lit(1)).alias("n_links")))
+    found = written(components(links), "components")
+    return _per_row(join, join.nodes.join(found, "node", "left").join(degree, "node", "left")
+                    .withColumn("component", F.coalesce("component", "node")).withColumn(
+                        "n_links", F.coalesce("n_links", F.lit(0)))
+                    .select("node", "doc_id", "component", "n_links"), "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with the smallest doc_id of each component."""
-    gone = near_duplicates(docs).where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = component_ids(docs).where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

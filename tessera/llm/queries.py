@@ -20,8 +20,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_shingles", "component_id")
+    return jaccard_join.component_ids(table(spark, sf_dir, "documents"))
 
 
 OP2_SQL = """

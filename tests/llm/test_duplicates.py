@@ -138,7 +138,7 @@ def test_jaccard_join_of_families_with_a_prefix(spark, docs_of):
     join.prefixes = written(join.docs.select("text").mapInArrow(
         lambda it: jaccard_join._prefixes(it, 5, 80, none), join.prefixes.schema), "prefixes")
     assert join.prefixes.groupBy("grp", "n").count().where("count > 1").count() > 10
-    component = {bytes(r.node): bytes(r.component) for r in join.run()[1].collect()}
+    component = {bytes(r.node): bytes(r.component) for r in join.run().collect()}
     nodes = [jaccard_join.node_of(x) for x in jaccard_join.shingle_sets([t.encode() for t in texts])]
     first, got = {}, []
     for i, node in enumerate(nodes):
@@ -146,6 +146,24 @@ def test_jaccard_join_of_families_with_a_prefix(spark, docs_of):
     assert got == [c for _, c in component_ids(texts)]
 
 
+def test_links_are_counted_in_full(docs_of):
+    """A family of which every pair is a link, and families with some; the
+    components of the two ways are the same."""
+    base = [f"v{i}" for i in range(60)]
+    clique = [" ".join(base[:30] + [f"z{k}"] + base[31:]) for k in range(6)]
+    texts = clique + prefix_families(4, 12) + near_copies() + [clique[0].upper()]
+    s = [sets(t) for t in texts]
+    different = {frozenset(x) for x in s if x}
+    links = {x: sum(100 * len(x & y) >= 80 * len(x | y) for y in different if y != x) for x in different}
+    assert links[frozenset(s[0])] == 5
+    rows = {r.doc_id: r for r in jaccard_join.near_duplicates(docs_of(texts)).collect()}
+    assert [rows[i].n_links for i in range(len(texts))] == [links.get(frozenset(x), 0) for x in s]
+    want = component_ids(texts)
+    assert [(rows[i].n_shingles, rows[i].component_id) for i in range(len(texts))] == want
+    rows = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.component_ids(docs_of(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == want
+
+
 def test_jaccard_join_of_odd_texts(docs_of, odd):
     texts = [*enumerate(odd), (None, "the same text"), (3, "a")]
     rows = jaccard_join.near_duplicates(docs_of(texts)).collect()
