@@ -12,7 +12,10 @@ Seeds are the hosts of which the rules allow, or block, at least
 targets of href and src; a relative target stays on its host and is no edge.
 
 Host tables only are joined and aggregated, combined on the map side; ranks
-are written to the shared folder every few rounds to cut lineage.
+are written to the shared folder every few rounds to cut lineage.  Rounds go on
+until no host is newly reached and no rank changes by more than ``tolerance``
+of itself, so a host of any distance from the seeds has its rank; ranks that do
+not settle within ``most_rounds`` are an error.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path, fits no rule and is allowed; null html has no links; repeated rows are
@@ -29,7 +32,10 @@ from .common import LOWER, UPPER, written
 RULES = [(("net", "/"), "block"), (("example.net", "/en/"), "allow"),
          (("example.com", "/de/"), "block"), (("org", "/fr/"), "allow")]
 MOST_RULES = 1000
+#: The rounds that OP4_SQL writes out; the operator goes on until ranks settle.
 ROUNDS = 10
+TOLERANCE = 1e-9
+MOST_ROUNDS = 10_000
 DAMPING = 0.85
 SEED_SHARE = 0.5
 THRESHOLD = 0.5
@@ -67,24 +73,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("weight"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS,
+               damping: float = DAMPING) -> DataFrame:
     """(host, rank): personalised PageRank over ``edges`` (src, dst, weight)
     from ``seeds`` (host, share; shares add up to one)."""
     start = seeds.select("host", (F.col("share") * (1 - damping)).alias("rank"))
-    rank = seeds.select("host", F.col("share").alias("rank"))
     if edges.isEmpty():
         return start
-    for k in range(1, rounds + 1):
+    rank, none = seeds.select("host", F.col("share").alias("rank")), F.lit(None).cast("double")
+    for k in range(1, most_rounds + 1):
         moved = (rank.join(edges, rank["host"] == edges["src"])
                  .groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("weight")) * damping).alias("rank")))
-        rank = moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % CUT_EVERY == 0 and k < rounds:
-            rank = written(rank, "rank")
-    return rank
-
-
-def judged(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING,
-           seed_share: float = SEED_SHARE, threshold: float = THRESHOLD) -> DataFrame:
+        rows = moved.unionByName(start)
+        if k % CUT_EVERY and k < most_rounds:
+            rank = rows.groupBy("host").agg(F.sum("rank").alias("rank"))
+            continue
+        # with the rank of the round before, which a host that is new has not
+        rows = rows.withColumn("before", none).unionByName(
+            rank.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("before")))
+        rank = written(rows.groupBy("host").agg(F.sum("rank").alias("rank"), F.max("before").alias("before")), "rank")
+        moving = F.col("before").isNull() | (F.abs(F.col("rank") - F.col("before")) > tolerance * F.col("rank"))
+        settled, rank = rank.where(moving).isEmpty(), rank.select("host", "rank")
+        if settled:
+            return rank
+    raise RuntimeError(f"ranks did not settle in {most_rounds} rounds")
+
+
+def judged(pages: DataFrame, rules=RULES, tolerance: float = TOLERANCE, damping: float = DAMPING,
+           seed_share: float = SEED_SHARE, threshold: float = THRESHOLD, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, host, path, rule,
     verdict, and the host's trust and distrust."""
     pages = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"))
@@ -103,7 +119,7 @@ def judged(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float =
     def rank(kind: str, links: DataFrame, name: str) -> DataFrame:
         seeds = hosts.where(F.col(kind) >= seed_share * F.col("n")).select("host")
         n = seeds.count()
-        return propagated(links, seeds.withColumn("share", F.lit(1.0 / max(n, 1))), rounds, damping) \
+        return propagated(links, seeds.withColumn("share", F.lit(1.0 / max(n, 1))), tolerance, most_rounds, damping) \
             .withColumnRenamed("rank", name)
 
     scores = rank("allowed", edges, "trust").join(rank("blocked", against, "distrust"), "host", "full")

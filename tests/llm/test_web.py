@@ -6,6 +6,7 @@ import hashlib
 import os
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tessera.llm import url_filter, warc
@@ -133,6 +134,39 @@ def brute(rows):
     return [(h, p, r, v or judged(h)) for h, p, r, v in found]
 
 
+def test_ranks_equal_a_dense_solve(spark):
+    """A chain of more than ten hosts into a blocked one, and a cycle."""
+    chain = [f"h{i}.com" for i in range(14)]
+    links = list(zip(chain, chain[1:] + ["bad.net"], strict=True)) + [("h3.com", "x.com"), ("x.com", "h2.com")]
+    rows = [(i, f"http://{s}/", f'<a href="http://{d}/">') for i, (s, d) in enumerate(links)]
+    rows += [(98, "http://bad.net/", ""), (99, "http://g.example.net/en/", '<a href="http://x.com/">')]
+    links += [("g.example.net", "x.com")]
+    hosts = sorted({h for pair in links for h in pair})
+    at = {h: i for i, h in enumerate(hosts)}
+    forward = np.zeros((len(hosts), len(hosts)))
+    for s, d in links:
+        forward[at[d], at[s]] += 1
+    forward /= np.maximum(forward.sum(0), 1)
+    against = forward.T / np.maximum(forward.sum(1), 1e-300)
+
+    def solve(m, seed):
+        d = url_filter.DAMPING
+        return np.linalg.solve(np.eye(len(hosts)) - d * m, (1 - d) * (np.arange(len(hosts)) == at[seed]))
+
+    trust, distrust = solve(forward, "g.example.net"), solve(against, "bad.net")
+    got = {r.host: r for r in url_filter.judged(pages_of(spark, rows)).collect()}
+    for h in hosts:
+        assert abs(got[h].trust - trust[at[h]]) < 1e-8 and abs(got[h].distrust - distrust[at[h]]) < 1e-8
+    assert got["h0.com"].distrust > 0 and got["h0.com"].verdict == "block"
+
+
+def test_ranks_that_do_not_settle_fail(spark):
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(12)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("h0", 1.0)], "host string, share double")
+    with pytest.raises(RuntimeError, match="settle"):
+        url_filter.propagated(edges, seeds, most_rounds=10)
+
+
 def test_link_graph(spark):
     rows = [(0, "http://bad.net/x", ""), (1, "http://a.com/x", '<a href="http://bad.net/">'),
             (2, "http://b.com/", '<a href="//A.com/y"><a href="/own">'), (3, "http://good.example.net/en/1", '<a href="http://c.com/">'),
