@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.operators import trainlog as TL
 from tessera.plans import fixtures as FX
 from tessera.plans.fixture_sql import with_fixtures
 from tessera.plans.logs import PARSED_SQL, SAVE_EVERY, step_log_folder
@@ -95,10 +96,12 @@ select stage, step, loss,
            'inf'::double) as is_new_best
 from parsed where step % {SAVE_EVERY} = 0 and loss is not null"""))
 def stream_best(spark, sf):
-    """ST4: running best at save points over the log stream."""
+    """ST4: save points are appended as they arrive; the running best of all
+    that have come."""
     root = step_log_folder(spark, sf)
-    return _append_to_files(SL.stream_best(SL.read_step_log_stream(spark, root, max_files_per_trigger=16), SAVE_EVERY),
-                           spark, "stream-best")
+    points = SL.stream_save_points(SL.read_step_log_stream(spark, root, max_files_per_trigger=16), SAVE_EVERY)
+    best = TL.running_best(_append_to_files(points, spark, "stream-best"), SAVE_EVERY)
+    return best.select("stage", "step", "loss", "prev_best", "is_new_best")
 
 
 @query("stream_samples", with_fixtures(f"""

@@ -4,8 +4,8 @@ The trainers append step lines to log files; a file-source stream over the
 log folder replaces the polling shell loops.  Ordering is by the step
 counter, not by event time, so no watermark is involved: the state of
 ST1/ST2 is one row per stage (bounded by the number of stages), ST3 keeps
-only incomplete count windows and ST4 one running best per stage with the
-save points that arrived ahead of a missing one.
+only incomplete count windows.  ST4 appends the save points as they arrive,
+without state, and the running best is computed from those that have come.
 """
 
 from __future__ import annotations
@@ -101,6 +101,13 @@ def stream_accum(micro: DataFrame, n: int) -> DataFrame:
         _accum_fn(n), ACCUM_OUT, ACCUM_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_save_points(log: DataFrame, save_every: int) -> DataFrame:
+    """ST4: the save points as they arrive, without state.  ``running_best``
+    (W5) of those that have come is whole at any time, whatever order they came
+    in and whichever are missing."""
+    return log.where((F.col("step") % save_every == 0) & F.col("loss").isNotNull()).select("stage", "step", "loss")
+
+
 BEST_OUT = "stage string, step long, loss double, prev_best double, is_new_best boolean"
 BEST_STATE = "best double, next long, steps array<long>, losses array<double>"
 
@@ -127,9 +134,11 @@ def _best_fn(save_every: int):
 
 
 def stream_best(log: DataFrame, save_every: int) -> DataFrame:
-    """ST4: running best at each save point (W5 incrementally), whatever order
-    the log files arrive in.  A save point is held back until all before it
-    have come; one without a loss fills its place and gives no row.  State
+    """The append form of ST4: running best at each save point (W5
+    incrementally), whatever order the log files arrive in.  A row that is out
+    cannot be revised, so a save point is held back until all before it have
+    come, for good if one never does; logs with gaps need ``stream_save_points``.
+    In this form, one without a loss fills its place and gives no row.  State
     per stage: the best loss, the next save point due, and those held back.
     Only save points (one line in ``save_every``) reach the state."""
     s = log.where((F.col("step") % save_every == 0) & (F.col("step") > 0)).select("stage", "step", "loss")

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.operators import trainlog as TL
-from tessera.plans import fixtures as FX
+from tessera.plans import fixtures as FX, streams
 from tessera.plans.logs import write_step_logs
 from tessera.sources.steplog import scan_step_log
 from tessera.streaming import corpus as SC
@@ -38,6 +38,24 @@ def test_stream_latest_and_best(spark, scratch):
     assert got2.exceptAll(want2).count() == 0 and want2.exceptAll(got2).count() == 0
 
 
+def test_stream_best_of_logs_with_a_gap(spark, scratch, monkeypatch):
+    """One stage lacks a save point, one starts after the first, one is whole."""
+    every = streams.SAVE_EVERY
+    steps = {"gap": [1, 2, 4, 5], "late": [3, 4], "whole": [1, 2]}
+    for stage, ks in steps.items():
+        os.makedirs(f"{scratch}/log/stage={stage}")
+        for k in ks:
+            with open(f"{scratch}/log/stage={stage}/{k}.log", "w") as f:
+                f.write(f"Step {k * every} | Loss: {6 - k}.5 | LR: 1e-4 | 1.0m\n")
+    monkeypatch.setattr(streams, "step_log_folder", lambda spark, sf: f"{scratch}/log")
+    got = sorted((r.stage, r.step, r.loss, r.prev_best, r.is_new_best) for r in streams.stream_best(spark, SF001).collect())
+    want = []
+    for stage, ks in steps.items():
+        for before, k in zip([None, *ks], ks):
+            want.append((stage, k * every, 6.5 - k, 6.5 - before if before else float("inf"), True))
+    assert got == sorted(want)
+
+
 def test_stream_trigger_fires_once(spark, scratch):
     root = write_step_logs(spark, SF001)
     fired = []
