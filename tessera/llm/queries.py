@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.sources.tables import table
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, secrets, substring_dedup, url_filter, warc
+from . import (bpe, decontaminate, exact_dedup, fill_in_middle, jaccard_join, language_id, quality, secrets,
+               substring_dedup, url_filter, warc)
 from .common import scratch
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -231,6 +232,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
+OP11_SQL = """
+with h as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as x from documents),
+d as (select doc_id, t, length(t)::bigint as n,
+    ('0x' || substr(x, 1, 8))::bigint as h1, ('0x' || substr(x, 9, 8))::bigint as h2,
+    ('0x' || substr(x, 17, 8))::bigint as h3, ('0x' || substr(x, 25, 8))::bigint as h4 from h),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+         when h4 % 100 < 20 then 'spm' else 'psm' end as form from d),
+o as (select doc_id, n, form, t, case when form != 'plain' then a end as prefix_chars,
+    case when form != 'plain' then b - a end as middle_chars,
+    case form when 'plain' then t
+      when 'psm' then '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+      else '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) end as output
+  from c),
+p as (select *, string_split_regex(substr(output, 4), '<[PSM]>') as parts from o)
+select doc_id, n, form, prefix_chars, middle_chars, sha256(output) as output_sha256,
+  sha256(case form when 'plain' then output when 'psm' then parts[1] || parts[3] || parts[2]
+    else parts[2] || parts[3] || parts[1] end) as restored_sha256
+from p
+"""
+
+
 def queries() -> dict[str, Builder]:
     import corpus_pipeline
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}

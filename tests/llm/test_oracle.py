@@ -20,7 +20,10 @@ COLUMNS = {
     "op7": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op8": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op9": "page_id payload_bytes payload_digest record_type refers_to",
-    "op10": "doc_id held_out score predicted"}
+    "op10": "doc_id held_out score predicted",
+    "op11": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op12": "query_id rank vec_id score",
+    "op13": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256"}
 
 
 @pytest.mark.parametrize("name", sorted(corpus.queries()))
