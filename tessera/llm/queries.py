@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.sources.tables import table
 
-from . import (bpe, decontaminate, exact_dedup, fill_in_middle, jaccard_join, language_id, quality, secrets,
-               substring_dedup, url_filter, warc)
+from . import (bpe, decontaminate, exact_dedup, fill_in_middle, jaccard_join, language_id, prefix_trie, quality,
+               secrets, substring_dedup, topk_search, url_filter, warc)
 from .common import scratch
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -260,6 +260,60 @@ from p
 """
 
 
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+with v as materialized (select row_number() over () as r, vec_id,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e
+  from embeddings where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.r, q.vec_id as query_id, c.vec_id as vec_id,
+    coalesce(list_sum(list_transform(generate_series(1, least(len(q.e), len(c.e))),
+      lambda i: q.e[i] * c.e[i])), 0)::bigint as score
+  from v q join v c on q.r != c.r where q.vec_id % 50 = 0)
+select query_id, rank::int as rank, vec_id, score from (
+  select *, row_number() over (partition by r order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+OP13_SQL = """
+with t as (select conv_id, list(struct_pack(k := k, b := b) order by turn nulls first, k) as w from (
+    select conv_id, turn, strlen(coalesce(text, '')) as b,
+      sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as k
+    from conversations where conv_id is not null) group by conv_id),
+h as (select conv_id, w, conv_id - conv_id % 5 as base, xor(list_reduce(list_concat([4294967295::bigint],
+    flatten(list_transform(string_split(conv_id::varchar, ''),
+      lambda c: [1000 + ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, x: case when x >= 1000 then xor(c, x - 1000) when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end),
+  4294967295) % 9 as h from t),
+r as (select h.conv_id, list_concat(coalesce(list_slice(x.w, 1, h.h), []),
+    list_slice(h.w, h.h + 1, len(h.w))) as w from h left join t x on x.conv_id = h.base),
+p as (select conv_id, list_transform(w, lambda x: x.k) as k, list_transform(w, lambda x: x.b) as b,
+    unnest(generate_series(0, len(w))) as depth from r),
+q as materialized (select conv_id, depth, len(k) = depth as ended, coalesce(b[depth], 0) as b,
+    sha256(array_to_string(list_slice(k, 1, depth), ',')) as id,
+    sha256(array_to_string(list_slice(k, 1, depth - 1), ',')) as up from p),
+n as (select depth, id, any_value(up) as up, any_value(b) as b, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ended), '')) as ends_sha256
+  from q group by depth, id),
+f as materialized (select n.*, coalesce(c.n, 0) as n_children from n
+  left join (select up, count(*) as n from n where depth > 0 group by up) c on c.up = n.id),
+s as (select a.id, sum((f.n_children = 0)::int) as n_leaves, sum((f.n_convs - 1) * f.b) as saved_tokens
+  from f join q a on a.conv_id = f.conv_id and a.depth <= f.depth group by a.id)
+select f.conv_id, f.depth::bigint as depth, u.conv_id as parent_conv_id, f.n_convs::bigint as n_convs,
+  f.n_children::bigint as n_children, s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens,
+  f.ends_sha256
+from f join s on s.id = f.id left join f u on f.depth > 0 and u.id = f.up
+"""
+
+
 def queries() -> dict[str, Builder]:
     import corpus_pipeline
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
