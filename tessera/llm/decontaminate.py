@@ -7,8 +7,9 @@ out changes no result.  Every phrase is searched backward through wavelet
 ranks; its occurrences are located from sampled suffix positions and merged
 into spans of words to remove.  Documents are never shuffled.
 
-The phrases travel to the tasks in blocks of at most ``block_bytes``; a larger
-benchmark takes more blocks, each a pass over the documents as they stream by.
+The phrases travel to the tasks in blocks of about ``block_bytes``.  A larger
+benchmark takes more blocks, each a pass over the documents, and only one block
+is in memory at a time, on the driver as in the tasks.
 
 Defined results: a null text has no words; a document or item without words
 has no windows; an item shorter than the window is one window; repeated rows
@@ -24,8 +25,9 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from .common import written
+from .common import packed, unpacked, written
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -54,17 +56,21 @@ def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
         yield pa.record_batch([pa.array(phrases, pa.binary()), pa.array(ids, pa.string())], names=["phrase", "item"])
 
 
-def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[list[tuple[bytes, str | None]]]:
+def phrase_blocks(benchmark: DataFrame, window: int,
+                  block_bytes: int) -> Iterator[tuple[bool, list[tuple[bytes, str | None]]]]:
     """The distinct (phrase, item) pairs in blocks of about ``block_bytes``,
     dealt by hash, so that neither a long item nor a phrase of many items
-    makes a block larger."""
+    makes a block larger.  One block is on the driver at a time; there is
+    always one, empty if there are no phrases.  With each comes whether it is
+    the last."""
     items = benchmark.select(benchmark["item_id"].cast("string"), benchmark["text"])
-    pairs = written(items.mapInArrow(lambda it: _item_windows(it, window), "phrase binary, item string").distinct(),
-                    "phrases")
-    size = pairs.agg(F.sum(F.octet_length("phrase") + 64)).first()[0] or 0
-    n = -(-size // block_bytes)
-    block = F.pmod(F.xxhash64("phrase", "item"), F.lit(max(1, n)))
-    return [[(bytes(r.phrase), r.item) for r in pairs.where(block == i).collect()] for i in range(n)]
+    pairs = items.mapInArrow(lambda it: _item_windows(it, window), "phrase binary, item string").distinct()
+    size = F.octet_length("phrase") + F.coalesce(F.octet_length("item"), F.lit(0)) + 64
+    pairs = written(pairs.withColumn("size", size), "phrases")
+    n = max(1, -(-(pairs.agg(F.sum("size")).first()[0] or 0) // block_bytes))
+    block = F.pmod(F.xxhash64("phrase", "item"), F.lit(n))
+    for i in range(n):
+        yield i == n - 1, [(bytes(r.phrase), r.item) for r in pairs.where(block == i).select("phrase", "item").collect()]
 
 
 class _Phrases:
@@ -136,8 +142,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search_pass(batches: Iterator[pa.RecordBatch], block, first: bool, last: bool,
+def _search_pass(batches: Iterator[pa.RecordBatch], block, first: bool, with_text: bool,
                  shard_words: int) -> Iterator[pa.RecordBatch]:
+    """row, text if asked for, and what was found so far with what this block
+    finds added."""
     phrases = _Phrases(block.value)
     get = phrases.vocabulary.get
     for batch in batches:
@@ -158,32 +166,50 @@ def _search_pass(batches: Iterator[pa.RecordBatch], block, first: bool, last: bo
             found = [(*(list(x) for x in zip(*m)), s | set(p["items"])) if
                      (m := merged([*zip(p["starts"], p["ends"]), *zip(a, b)])) else ([], [], set())
                      for p, (a, b, s) in zip(before, found, strict=True)]
-        out = {"doc_id": batch.column(0), "text": batch.column(1), "n_words": pa.array(n_words, pa.int64()),
+        out = {"row": batch.column(0), "text": batch.column(1), "n_words": pa.array(n_words, pa.int64()),
                "starts": pa.array([f[0] for f in found], pa.list_(pa.int64())),
                "ends": pa.array([f[1] for f in found], pa.list_(pa.int64())),
                "items": pa.array([sorted(x for x in f[2] if x is not None) for f in found], pa.list_(pa.string()))}
-        if last:
+        if not with_text:
             del out["text"]
         yield pa.record_batch(list(out.values()), names=list(out))
 
 
+def _searched(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, shard_words: int,
+              keep_text: bool) -> DataFrame:
+    """``rows`` (row, text) with what is found in them: a pass for each block.
+    Between passes the rows are written and the block is let go of, so that
+    one block is held at a time, however many there are."""
+    row, text, found = rows.schema["row"], rows.schema["text"], StructType.fromDDL(RESULT).fields
+    before = None
+    for last, pairs in phrase_blocks(benchmark, window, block_bytes):
+        if before is not None:
+            rows = written(rows, "hits")
+            before.destroy()
+        with_text = keep_text or not last
+        block = rows.sparkSession.sparkContext.broadcast(pairs)
+        rows = rows.mapInArrow(lambda it, a=(block, before is None, with_text): _search_pass(it, *a, shard_words),
+                               StructType([row, *([text] if with_text else []), *found]))
+        before = block
+    return rows
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
                   shard_words: int = SHARD_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, the merged hit spans as word
     indices (``starts``, ``ends``, end exclusive) and the ids of the ``items``
     found in it, sorted as strings."""
-    spark = docs.sparkSession
-    found = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    blocks = phrase_blocks(benchmark, window, block_bytes) or [[]]
-    for i, pairs in enumerate(blocks):
-        block, first, last = spark.sparkContext.broadcast(pairs), i == 0, i == len(blocks) - 1
-        schema = (f"doc_id {found.schema['doc_id'].dataType.simpleString()}, "
-                  f"{'' if last else 'text string, '}{RESULT}")
-        found = found.mapInArrow(lambda it, a=(block, first, last): _search_pass(it, *a, shard_words), schema)
-    return found
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that contain a phrase of the benchmark."""
-    hit = contamination(docs, benchmark).where(F.size("starts") > 0).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    rows = docs.select(docs["doc_id"].alias("row"), docs["text"].alias("text"))
+    return _searched(rows, benchmark, window, block_bytes, shard_words, False).withColumnRenamed("row", "doc_id")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+                    shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``docs`` without those that contain a phrase of the benchmark.
+
+    Each row is judged by its own text in the passes of the search: null and
+    repeated doc_ids make no difference, equal texts share their fate, and all
+    columns are kept, whatever their names.  A null or empty text stays; with
+    an empty benchmark all rows stay; an empty table stays empty."""
+    found = _searched(packed(docs), benchmark, window, block_bytes, shard_words, True)
+    return unpacked(found.where(F.size("starts") == 0), docs.columns)

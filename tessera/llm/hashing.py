@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
@@ -47,3 +49,28 @@ class Hashed:
         if n < width:
             return np.zeros(0, np.uint64)
         return mix((self.sums[width:] - self.sums[:n - width + 1]) * self.up[:n - width + 1])
+
+
+#: Longer words are hashed one by one.
+LONG_WORD = 1 << 12
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch raw[start:end] of bytes, by mixing in eight bytes
+    at a time: unlike a polynomial modulo a power of two it has no pairs of
+    patterned words that always collide."""
+    size = (end - start).astype(np.int64)
+    h = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(BASE))
+    bytes8 = np.lib.stride_tricks.sliding_window_view(np.r_[raw, np.zeros(8, np.uint8)], 8)
+    rows = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    done = 0
+    while len(rows):
+        chunk = bytes8[start[rows] + done].view("<u8")[:, 0]
+        short = np.minimum(size[rows] - done, 8).astype(np.uint64)
+        chunk &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * short)
+        h[rows] = mix((h[rows] ^ chunk) * np.uint64(0x9FB21C651E98DF25) + np.uint64(done + 1))
+        done += 8
+        rows = rows[size[rows] > done]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = np.frombuffer(blake2b(raw[start[i]:end[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return h

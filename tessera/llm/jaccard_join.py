@@ -13,20 +13,22 @@ tokens that several groups share, and are filtered by size and by what the
 positions of the token leave possible.  Pairs that pass are expanded to their
 members and verified on the whole texts.
 
-Links are found in two rounds so that a large cluster costs no pair of its
-members: first each token's groups against the head of one of them, the pivot;
-then only what the links so far leave in different components, each such group
-against all groups of its token.  A pivot of one member is done after the first
-round; the other members of a larger one take part in the second.  Pairs inside
-one component need no check: they can add no reachability.  No candidate is
-dropped.  That gives components; the number of links needs all pairs, and is
-counted from all of them (``near_duplicates``).
+Links are found in rounds so that a large cluster costs no pair of its members.
+In a star round each token's groups meet the head of one of them, the pivot;
+what the links so far leave in different components meets a new pivot in the
+next round.  When that no longer halves what is left, all groups of a token
+that are still apart meet each other.  Pairs inside one component need no check:
+they can add no reachability.  Every set has a parity sketch, 1,024 bits of
+which each token flips one: two sets differ in at least as many tokens as their
+sketches differ in bits, so pairs beyond the bound never become rows, and no
+pair is dropped that could be a link.  That gives components; the number of
+links needs all pairs, and is counted from all of them (``near_duplicates``).
 
 Exact copies are one set from the start.  Defined results: a null text is
 empty; a set without words is linked with nothing; fewer words than a shingle
-are one shingle; a null doc_id is no one's component, and a component of such
-rows alone has none; repeated rows are copies; an empty table gives no rows;
-extra columns are ignored.
+are one shingle; a row with a null doc_id links like any other, but names a
+component only if no row of it has an id (then it is null); repeated rows are
+copies; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,17 +41,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import written
+from .common import located, looked_up, packed, unpacked, written
 from .components import components
-from .hashing import Hashed
+from .hashing import Hashed, word_hashes
 
 WORDS = 5
 PERCENT = 80
 #: Hash buckets of the token counts, and the slices in which they are added up.
 BUCKETS = 1 << 24
 SLICES = 1 << 10
-#: A list of ids up to this length is broadcast; a longer one is joined by shuffling.
+#: Bits of a parity sketch.
+SKETCH_BITS = 1 << 10
+#: A list of rows up to this length is broadcast; a longer one is joined by shuffling.
 BROADCAST_IDS = 500_000
+#: Star rounds at most; what they leave apart is compared in full.
+STARS = 6
 SLICE_BYTES = 1 << 20
 
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -61,7 +67,7 @@ def shingle_sets(texts: list[bytes], size: int = WORDS) -> list[np.ndarray]:
     raw = np.frombuffer(b" ".join(texts).translate(LOWERED), np.uint8)
     inner = ~BLANK[raw]
     edge = np.flatnonzero(np.diff(np.r_[False, inner, False].astype(np.int8)))
-    words = Hashed(raw).of(edge[::2], edge[1::2])
+    words = word_hashes(raw, edge[::2], edge[1::2])
     ends = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(edge[::2], ends)
     hashed = Hashed(words)
@@ -102,7 +108,8 @@ def bucket_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-SKETCH = ["doc_id", "n", "node", "slice", "counts"]
+LOCATOR = ["at_file", "at_row"]
+SKETCH = [*LOCATOR, "doc_id", "n", "node", "slice", "counts"]
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -111,19 +118,20 @@ def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     counts, ids = np.zeros(BUCKETS, np.uint32), None
     for batch in batches:
         sizes, nodes, held = [], [], {}
-        for _, tokens in _sets(batch, 1, size):
+        for _, tokens in _sets(batch, 3, size):
             sizes.append(len(tokens))
             nodes.append(node_of(tokens))
             if nodes[-1] not in held:
                 held[nodes[-1]] = True
                 np.add.at(counts, bucket_of(tokens), 1)
-        ids = batch.column(0).type
+        ids = batch.column(2).type
         none = pa.nulls(batch.num_rows, pa.int32())
-        yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), none,
+        yield pa.record_batch([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), none,
                                pa.nulls(batch.num_rows, pa.binary())], names=SKETCH)
     if ids is not None:
         parts = [compress(c.tobytes(), 1) for c in np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)]
-        yield pa.record_batch([pa.nulls(SLICES, ids), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()),
+        none = pa.nulls(SLICES, pa.int64())
+        yield pa.record_batch([none, none, pa.nulls(SLICES, ids), none, pa.nulls(SLICES, pa.binary()),
                                pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(parts, pa.binary())],
                               names=SKETCH)
 
@@ -149,10 +157,16 @@ def _common_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    odd = np.bincount((tokens >> np.uint64(32)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, common) -> Iterator[pa.RecordBatch]:
     last = np.unpackbits(np.frombuffer(common.value, np.uint8)).astype(bool)
+    longs = pa.list_(pa.int64())
     for batch in batches:
-        done, nodes, sizes, groups, prefixes = set(), [], [], [], []
+        done, nodes, sizes, groups, prefixes, sketches = set(), [], [], [], [], []
         for _, tokens in _sets(batch, 0, size):
             node, n = node_of(tokens), len(tokens)
             if not n or node in done:
@@ -164,14 +178,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, common
             sizes.append(n)
             groups.append(int.from_bytes(node_of(prefix)[:8], "little", signed=True))
             prefixes.append(prefix.view(np.int64))
+            sketches.append(np.frombuffer(parities(tokens), np.int64))
         yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array(groups, pa.int64()), pa.array(sizes, pa.int64()),
-                               pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "grp", "n", "prefix"])
+                               pa.array(prefixes, longs), pa.array(sketches, longs)], names=PREFIX_COLUMNS)
 
 
-def _texts_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes = [node_of(tokens) for _, tokens in _sets(batch, 0, size)]
-        yield pa.record_batch([pa.array(nodes, pa.binary()), batch.column(0)], names=["node", "text"])
+PREFIX = "node binary, grp long, n long, prefix array<long>, sketch array<long>"
+PREFIX_COLUMNS = [c.split()[0] for c in PREFIX.split(", ")]
 
 
 def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -190,25 +203,37 @@ def _possible(percent: int):
                   f"and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
 
 
+def _near(percent: int, n: str, sketch: str, n2: str, sketch2: str):
+    """Whether two sets can be similar: of s tokens in all, similar ones differ
+    in (100 - percent) / (100 + percent) * s at most, and in no fewer than
+    their sketches do.  A null sketch says nothing."""
+    apart = " + ".join(f"bit_count({sketch}[{k}] ^ {sketch2}[{k}])" for k in range(SKETCH_BITS // 64))
+    return F.expr(f"coalesce({100 + percent} * ({apart}) <= {100 - percent} * ({n} + {n2}), true)")
+
+
 class _Join:
+    """``docs`` is located: at_file, at_row, doc_id and text."""
+
     def __init__(self, docs: DataFrame, size: int, percent: int, broadcast_ids: int):
-        self.docs = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+        self.docs = docs.select(*LOCATOR, "doc_id", "text")
         self.size, self.percent, self.broadcast_ids = size, percent, broadcast_ids
         spark = docs.sparkSession
         doc_id = self.docs.schema["doc_id"].dataType.simpleString()
         sketch = written(self.docs.mapInArrow(
             lambda it: _sketches(it, size),
-            f"doc_id {doc_id}, n long, node binary, slice int, counts binary"), "sketch")
-        self.sketch = sketch.where("slice is null").select("doc_id", "n", "node")
+            f"at_file long, at_row long, doc_id {doc_id}, n long, node binary, slice int, counts binary"), "sketch")
+        self.sketch = sketch.where("slice is null").select(*LOCATOR, "doc_id", "n", "node")
         common = (sketch.where("slice is not null").select("slice", "counts").repartition("slice")
                   .sortWithinPartitions("slice").mapInArrow(_common_bits, "slice int, bits binary").toArrow())
         bits = dict(zip(common["slice"].to_pylist(), common["bits"].to_pylist(), strict=True))  # BUCKETS / 8 bytes
         none = bytes(BUCKETS // SLICES // 8)
         last = spark.sparkContext.broadcast(b"".join(bits.get(k, none) for k in range(SLICES)))
         self.prefixes = written(self.docs.select("text").mapInArrow(
-            lambda it: _prefixes(it, size, percent, last), "node binary, grp long, n long, prefix array<long>"),
-            "prefixes")
-        self.nodes = self.sketch.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+            lambda it: _prefixes(it, size, percent, last), PREFIX), "prefixes")
+        # a set's rows, its smallest doc_id, and one row to read its text from
+        self.nodes = written(self.sketch.where("n > 0").groupBy("node").agg(
+            F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"),
+            F.min(F.struct(*LOCATOR)).alias("at")).select("node", "doc_id", "rows", "at.*"), "nodes")
 
     def tokens(self) -> DataFrame:
         """token, grp, n, pos, the token's number of groups and one of them by
@@ -218,7 +243,11 @@ class _Join:
         own = Window.partitionBy("token")
         rows = rows.withColumn("groups", F.count(F.lit(1)).over(own)).withColumn(
             "pivot", F.min(F.struct("grp", "n", "pos")).over(own))
-        return written(rows.where("groups > 1"), "tokens")
+        return written(rows.where("groups > 1").drop("groups"), "tokens")
+
+    def members(self) -> DataFrame:
+        """grp, n, node and sketch of each set."""
+        return written(self.prefixes.drop("prefix").dropDuplicates(["node"]), "members")
 
     def small(self, ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= self.broadcast_ids else ids
@@ -227,125 +256,172 @@ class _Join:
         """Those node pairs (a, b) that are similar, by their whole texts."""
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                         .where("a != b").distinct(), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = written(wanted.join(self.nodes, "node"), "wanted")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = written(wanted.join(self.nodes, "node").select("node", *LOCATOR), "wanted")
         size, percent = self.size, self.percent
-        # a doc_id that several texts share brings all of them; the node tells them apart
-        texts = (self.docs.join(self.small(wanted.select("doc_id").distinct()), "doc_id").select("text")
-                 .mapInArrow(lambda it: _texts_of(it, size), "node binary, text string").dropDuplicates(["node"]))
-        texts = written(texts.join(wanted.select("node"), "node", "left_semi"), "texts")
+        texts = written(self.docs.join(self.small(wanted), LOCATOR).select("node", "text"), "texts")
         both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
                 .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
                 .select("a", "b", "text_a", "text_b"))
         return written(both.mapInArrow(lambda it: _verified(it, size, percent), "a binary, b binary"), "links")
 
+    def expanded(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Node pairs (a, b) of group pairs (grp, n, grp2, n2) that can be
+        similar: ``left`` and ``right`` are members (grp, n, node, sketch and
+        perhaps component) of the two groups."""
+        x = left.withColumnsRenamed({"node": "a", "sketch": "sketch_a", "component": "c"})
+        y = right.withColumnsRenamed({"grp": "grp2", "n": "n2", "node": "b", "sketch": "sketch_b", "component": "c2"})
+        on = F.expr("p.grp2 = y.grp2 and p.n2 = y.n2") & _near(self.percent, "p.n", "sketch_a", "y.n2", "sketch_b")
+        if "component" in left.columns:
+            on = on & F.expr("c != c2")
+        return pairs.join(x, ["grp", "n"]).alias("p").join(y.alias("y"), on).select("a", "b")
+
     def all_links(self) -> DataFrame:
         """Every similar pair of sets (a, b), once."""
-        members = written(self.prefixes.select("grp", "n", "node").distinct(), "members")
-        tokens = self.tokens()
+        members, tokens = self.members(), self.tokens()
         x, y = tokens.alias("x"), tokens.alias("y")
         pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr(
             "(x.grp < y.grp or x.grp = y.grp and x.n < y.n)") & _possible(self.percent))
                  .select("x.grp", "x.n", F.col("y.grp").alias("grp2"), F.col("y.n").alias("n2")).distinct())
-        left = members.withColumnRenamed("node", "a")
-        right = members.select(F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("node").alias("b"))
-        across = pairs.join(left, ["grp", "n"]).join(right, ["grp2", "n2"]).select("a", "b")
-        within = left.join(right, (F.col("grp") == F.col("grp2")) & (F.col("n") == F.col("n2")) &
-                           (F.col("a") < F.col("b"))).select("a", "b")
-        return self.links(across.unionByName(within))
+        across = self.expanded(pairs, members, members)
+        own = members.select("grp", "n", F.col("grp").alias("grp2"), F.col("n").alias("n2")).distinct()
+        return self.links(across.unionByName(self.expanded(own, members, members).where("a < b")))
+
+    def stars(self, pairs: DataFrame, members: DataFrame, heads: DataFrame) -> DataFrame:
+        """Links of the heads of the left groups with the members of the right ones."""
+        return self.links(self.expanded(pairs.distinct(), heads, members))
+
+    def spread(self, members: DataFrame) -> DataFrame:
+        """Per group, the least and the greatest component of its members."""
+        return members.groupBy("grp", "n").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+
+    def placed(self, rows: DataFrame, members: DataFrame, turn: int) -> DataFrame:
+        """``rows`` (token, grp, n, pos) of tokens whose groups are not all in
+        one component, with what their group and their token's pivot of this
+        turn span."""
+        rows = rows.select("token", "grp", "n", "pos").join(self.spread(members), ["grp", "n"])
+        key = F.struct(F.xxhash64(F.lit(turn), "grp", "n").alias("h"), "grp", "n", "pos", "low", "high")
+        open_ones = rows.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"),
+                                              F.min(key).alias("pivot")).where("l != h").select("token", "pivot")
+        return written(rows.join(open_ones, "token"), "placed")
 
     def run(self) -> DataFrame:
         """(node, component) of the linked nodes."""
-        tokens = self.tokens()
-        members = written(self.prefixes.select("grp", "n", "node").distinct(), "members")
-        heads = members.groupBy("grp", "n").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size"))
-        # round 1: each token's pivot against its other groups, and each group's head against its members
-        x = tokens.select(F.struct("pivot.grp", "pivot.n", "pivot.pos").alias("x"), F.struct("grp", "n", "pos").alias("y"))
-        stars = (x.where("x.grp != y.grp or x.n != y.n").where(_possible(self.percent))
-                 .select("x.grp", "x.n", F.col("y.grp").alias("grp2"), F.col("y.n").alias("n2")).distinct())
-        other = members.select(F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("node").alias("b"))
-        stars = (stars.join(heads, ["grp", "n"]).join(other, ["grp2", "n2"]).select(F.col("head").alias("a"), "b"))
-        inside = members.join(heads.where("size > 1"), ["grp", "n"]).select(
-            F.col("head").alias("a"), F.col("node").alias("b"))
-        first = self.links(stars.unionByName(inside))
-        found = written(components(first), "components")
-
-        # round 2: what is still in different components
-        of = (members.join(found, "node", "left").select(
-            "grp", "n", "node", F.coalesce("component", "node").alias("component")))
-        of = written(of, "of")
-        spread = of.groupBy("grp", "n").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                            F.count(F.lit(1)).alias("size"))
-        placed = tokens.join(spread.drop("size"), ["grp", "n"])
-        pivot = spread.select(F.col("grp").alias("p_grp"), F.col("n").alias("p_n"), F.col("low").alias("p_low"),
-                              F.col("high").alias("p_high"), F.col("size").alias("p_size"))
-        placed = placed.join(pivot, (F.col("pivot.grp") == F.col("p_grp")) & (F.col("pivot.n") == F.col("p_n")))
-        # (pairs with a pivot are done if it has one member, its head)
-        placed = placed.where("p_size > 1 or groups > 2 and not (grp = p_grp and n = p_n)")
-        # a group is settled if it is wholly in the one component of its token's pivot
-        settled = F.expr("low = high and p_low = p_high and low = p_low")
-        placed = written(placed.select("token", "grp", "n", "pos", "low", "high", settled.alias("settled")), "placed")
-        x, y = placed.where("not settled").alias("x"), placed.alias("y")
+        members, tokens = self.members(), self.tokens()
+        heads = members.groupBy("grp", "n").agg(F.min(F.struct("node", "sketch")).alias("m"),
+                                                F.count(F.lit(1)).alias("size"))
+        heads = written(heads.select("grp", "n", "m.*", "size"), "heads")
+        # star round: each token's pivot against its other groups; once, each group's head against its members
+        x = tokens.select(F.col("pivot").alias("x"), F.struct("grp", "n", "pos").alias("y"))
+        pair = [F.col("x.grp").alias("grp"), F.col("x.n").alias("n"), F.col("y.grp").alias("grp2"), F.col("y.n").alias("n2")]
+        pairs = x.where("x.grp != y.grp or x.n != y.n").where(_possible(self.percent)).select(*pair)
+        inside = heads.where("size > 1").select("grp", "n", F.col("grp").alias("grp2"), F.col("n").alias("n2"))
+        head = heads.drop("size")
+        found = written(components(self.stars(pairs.unionByName(inside), members, head)), "components")
+
+        def joined_with(links: DataFrame) -> DataFrame:
+            """The components of what was found and of more links."""
+            known = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+            return written(components(known.unionByName(links.select("a", "b"))), "components")
+
+        def of() -> DataFrame:
+            return written(members.join(found, "node", "left").select(
+                "grp", "n", "node", "sketch", F.coalesce("component", "node").alias("component")), "of")
+
+        # more star rounds while they halve what is left apart
+        own = of()
+        rows = self.placed(tokens, own, 1)
+        left = rows.count()
+        for turn in range(2, STARS + 1):
+            if not left:
+                break
+            apart = F.expr("not (y.low = y.high and x.low = x.high and x.low = y.low)")
+            x = rows.select(F.col("pivot").alias("x"), F.struct("grp", "n", "pos", "low", "high").alias("y"))
+            pairs = x.where("x.grp != y.grp or x.n != y.n").where(apart & _possible(self.percent)).select(*pair)
+            found = joined_with(self.stars(pairs, members, head))
+            own = of()
+            rows = self.placed(rows, own, turn)
+            before, left = left, rows.count()
+            if 2 * left > before:
+                break
+
+        # the rest: all groups of a token that are apart, and members of one group that are
+        single = heads.where("size = 1").select("grp", "n", "sketch")
+        rows = written(rows.join(single, ["grp", "n"], "left").withColumn("settled", F.expr(
+            "low = high and pivot.low = pivot.high and low = pivot.low")).drop("pivot"), "apart")
+        x, y = rows.where("not settled").alias("x"), rows.alias("y")
         apart = F.expr("not (x.low = x.high and y.low = y.high and x.low = y.low) and "
                        "(y.settled or x.grp < y.grp or x.grp = y.grp and x.n < y.n)")
-        cross = (x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _possible(self.percent))
+        cross = (x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _possible(self.percent)
+                        & _near(self.percent, "x.n", "x.sketch", "y.n", "y.sketch"))
                  .select("x.grp", "x.n", F.col("y.grp").alias("grp2"), F.col("y.n").alias("n2")).distinct())
-        left = of.select("grp", "n", F.col("node").alias("a"), F.col("component").alias("c"))
-        right = of.select(F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("node").alias("b"),
-                          F.col("component").alias("c2"))
-        cross = cross.join(left, ["grp", "n"]).join(right, ["grp2", "n2"]).where("c != c2").select("a", "b")
-        # members of one group that the head did not link: against all members
-        mixed = spread.where("low != high").select("grp", "n")
-        loose = left.join(mixed, ["grp", "n"]).join(heads.select("grp", "n", "head"), ["grp", "n"])
-        head = of.select(F.col("node").alias("head"), F.col("grp"), F.col("n"), F.col("component").alias("head_c"))
-        loose = loose.join(head, ["grp", "n", "head"]).where("c != head_c")
-        within = (loose.join(right, (F.col("grp") == F.col("grp2")) & (F.col("n") == F.col("n2")) &
-                             (F.col("c") != F.col("c2"))).select("a", "b"))
-        second = self.links(cross.unionByName(within))
-        # contract what round 1 has joined
-        short = found.select(F.col("node").alias("b"), F.col("component").alias("a"))
-        return written(components(short.select("a", "b").unionByName(second)), "components")
+        mixed = self.spread(own).where("low != high").select("grp", "n")
+        # in a mixed group, the members that are not with its head against all
+        main = own.join(head.select("node"), "node", "left_semi").select("grp", "n", F.col("component").alias("main"))
+        loose = own.join(mixed, ["grp", "n"]).join(main, ["grp", "n"]).where("component != main").drop("main")
+        within = self.expanded(mixed.select("grp", "n", F.col("grp").alias("grp2"), F.col("n").alias("n2")), loose, own)
+        return joined_with(self.links(self.expanded(cross, own, own).unionByName(within)))
 
 
 def _per_row(join: _Join, nodes: DataFrame, *more: str) -> DataFrame:
-    """Per row of the documents: doc_id, n_shingles, component_id and the
-    columns ``more`` of ``nodes`` (node, doc_id, component)."""
+    """Per row of the documents: its locator, doc_id, n_shingles, component_id,
+    the ``component`` and the columns ``more`` of ``nodes`` (node, doc_id,
+    rows, component)."""
     least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    nodes = nodes.join(least, "component").select(F.col("node").alias("own"), "component_id", *more)
-    sketch = join.sketch
-    return (sketch.join(nodes, (sketch["node"] == nodes["own"]) & (sketch["n"] > 0), "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                    *[F.coalesce(c, F.lit(0)).alias(c) for c in more]))
+    values = ["component", "component_id", *more]
+    nodes = written(nodes.join(least, "component").select("node", "rows", *values), "named")
+    worded = looked_up(join.sketch.where("n > 0"), nodes, "node", "rows", values)
+    wordless = join.sketch.where("n = 0").select(
+        "*", F.lit(None).cast("binary").alias("component"), F.col("doc_id").alias("component_id"),
+        *[F.lit(0).cast("long").alias(c) for c in more])
+    return worded.unionByName(wordless).select(*LOCATOR, "doc_id", F.col("n").alias("n_shingles"), *values)
 
 
-def component_ids(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
-                  broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id
-    (the smallest doc_id reachable by links)."""
+def _components(docs: DataFrame, size: int, percent: int, broadcast_ids: int) -> DataFrame:
     join = _Join(docs, size, percent, broadcast_ids)
     found = join.run()
     return _per_row(join, join.nodes.join(found, "node", "left")
                     .withColumn("component", F.coalesce("component", "node")))
 
 
+def _ids_and_texts(docs: DataFrame) -> DataFrame:
+    return located(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")))
+
+
+def component_ids(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
+                  broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id
+    (the smallest doc_id reachable by links)."""
+    return _components(_ids_and_texts(docs), size, percent, broadcast_ids).select("doc_id", "n_shingles", "component_id")
+
+
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
                     broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """``component_ids`` and n_links, the number of other sets that a row's
     set is similar to.  All candidates are verified, so the work grows with
     the pairs inside a component."""
-    join = _Join(docs, size, percent, broadcast_ids)
+    join = _Join(_ids_and_texts(docs), size, percent, broadcast_ids)
     links = join.all_links()
     degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
               .agg(F.count(F.lit(1)).alias("n_links")))
     found = written(components(links), "components")
     return _per_row(join, join.nodes.join(found, "node", "left").join(degree, "node", "left")
                     .withColumn("component", F.coalesce("component", "node")).withColumn(
-                        "n_links", F.coalesce("n_links", F.lit(0)))
-                    .select("node", "doc_id", "component", "n_links"), "n_links")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component."""
-    gone = component_ids(docs).where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+                        "n_links", F.coalesce("n_links", F.lit(0).cast("long"))), "n_links").select(
+        "doc_id", "n_shingles", "component_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
+                broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """``docs`` with one row of each component, all columns kept: the one with
+    the smallest doc_id, or one without an id where no row of the component
+    has one.  Of rows that repeat that doc_id, one of the component stays; rows
+    of one doc_id in different components do not touch each other.  Rows
+    without words all stay."""
+    rows = located(packed(docs))
+    found = _components(rows.select(F.col("row")["doc_id"].alias("doc_id"), "text", *LOCATOR), size, percent, broadcast_ids)
+    found = written(found.select(*LOCATOR, "doc_id", "component"), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *LOCATOR)).alias("first")
+    kept = (found.where("component is not null").groupBy("component").agg(first).select("first.at_file", "first.at_row")
+            .unionByName(found.where("component is null").select(*LOCATOR)))
+    return unpacked(rows.join(kept, LOCATOR, "left_semi"), docs.columns)

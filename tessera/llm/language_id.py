@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import filtered_in_pass, written
 
 N = 4
 HASHES = 3
@@ -73,30 +74,30 @@ def slots(code: np.ndarray, rows: int) -> list[np.ndarray]:
     return [((wide * m) ^ (wide * m >> np.uint64(29))) * MULTIPLIERS[0] >> shift for m in MULTIPLIERS[:HASHES]]
 
 
-def _slices(texts: list, limit: int) -> Iterator[tuple[int, int]]:
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
+def _slices(texts: pa.Array, limit: int) -> Iterator[list[str]]:
+    """The texts, null as empty, in slices of about ``limit`` characters; one
+    slice at a time is held in Python."""
+    out, held = [], 0
+    for text in texts:
+        out.append(text.as_py() or "")
+        held += len(out[-1])
         if held >= limit:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n) of a task's documents, added up per batch."""
+    """(lang, gram, n) of a task's documents, added up per slice."""
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang in sorted(set(langs)):
-            own = [t or "" for t, x in zip(texts, langs, strict=True) if x == lang]
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            for a, b in _slices(own, 2 * SLICE_BYTES):
-                held.append(np.unique(grams(own[a:b])[0], return_counts=True))
-            code, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([c for _, c in held]), minlength=len(code))
-            yield pa.record_batch([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)),
-                                   pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        for lang in pc.unique(batch.column(0)):
+            own = batch.column(1).filter(pc.equal(batch.column(0), lang))
+            for texts in _slices(own, 2 * SLICE_BYTES):
+                code, n = np.unique(grams(texts)[0], return_counts=True)
+                yield pa.record_batch([pa.array([lang.as_py()] * len(code), pa.string()),
+                                       pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))],
+                                      names=["lang", "gram", "n"])
 
 
 def _filter_bits(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -182,21 +183,31 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS,
     return Filter(languages, out, max(range(len(languages)), key=lambda i: sizes[languages[i]]))
 
 
+def _judged(texts: pa.Array, model: Filter) -> list[pa.Array]:
+    """lang_pred, score and n_grams of each text."""
+    langs, scores, sizes = [], [np.zeros(0)], [np.zeros(0)]
+    for some in _slices(texts, SLICE_BYTES):
+        lang, score, size = model.predict(some)
+        langs += lang
+        scores.append(score)
+        sizes.append(size)
+    return [pa.array(langs, pa.string()), pa.array(np.concatenate(scores)),
+            pa.array(np.concatenate(sizes).astype(np.int64))]
+
+
 def _predicted(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    model = model.value
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        langs, scores, sizes = [], [np.zeros(0)], [np.zeros(0)]
-        for a, b in _slices(texts, SLICE_BYTES):
-            lang, score, size = model.predict(texts[a:b])
-            langs += lang
-            scores.append(score)
-            sizes.append(size)
-        yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores)),
-                               pa.array(np.concatenate(sizes).astype(np.int64))],
+        yield pa.record_batch([batch.column(0), *_judged(batch.column(1), model.value)],
                               names=["doc_id", "lang_pred", "score", "n_grams"])
 
 
+def _accepted(batches: Iterator[pa.RecordBatch], model, least_score: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lang, score, size = _judged(batch.column(1), model.value)
+        known = pc.or_(pc.greater_equal(score, least_score), pc.equal(size, 0))
+        yield batch.filter(pc.and_(pc.not_equal(lang, UNDETERMINED), known))
+
+
 def predict(docs: DataFrame, model: Filter) -> DataFrame:
     """doc_id, lang_pred, score and n_grams of every row."""
     docs = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
@@ -219,8 +230,11 @@ LEAST_SCORE = 0.05
 
 
 def in_a_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without those that are in no learned language."""
-    found = predict(docs, fit_outside_fold(docs))
-    bad = found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least_score) & (F.col("n_grams") > 0)) \
-        .select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """``docs`` without those that are in no learned language.
+
+    Each row is judged by its own text in one pass over ``docs``: null and
+    repeated doc_ids make no difference, equal texts share their fate, and all
+    columns and the order of rows are kept.  A null text or one without a
+    letter goes; with no labelled rows all go; an empty table stays empty."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_outside_fold(docs))
+    return filtered_in_pass(docs, lambda it: _accepted(it, model, least_score))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.operators.ranking import global_rank, prefix_aggregate
 
-from .common import written
+from .common import looked_up, written
 
 FAMILY = 5  # conv_id - conv_id % FAMILY lends its first turns
 LENT = 9  # crc32 of the conv_id modulo LENT is how many
@@ -47,8 +47,6 @@ DEPTH = 64
 SHARD_TURNS = 1 << 18
 PIECE_IDS = 1 << 14
 CHUNK = 1 << 10
-#: A turn with more than this share of all is looked up in a broadcast table, which has fewer rows than 1 / share.
-HOT_SHARE = 1 / 4096
 SALTS = 64
 
 
@@ -151,16 +149,10 @@ def distinct_sequences(rows: DataFrame, lengths: DataFrame, piece_ids: int = PIE
 
 def encoded(rows: DataFrame) -> DataFrame:
     """(conv_id, pos, id, bytes): turns by their numbers in the dictionary of
-    distinct turns.  The few that are a large share of all are looked up in a
-    table of bounded size; no other is a hot key."""
+    distinct turns."""
     counts = written(global_rank(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("turns")), ["digest"],
                                  rank_col="id"), "dictionary")
-    total = counts.agg(F.sum("turns")).first()[0] or 0
-    hot = counts.where(F.col("turns") > HOT_SHARE * total).select("digest", F.col("id").alias("hot_id"))
-    rows = rows.join(F.broadcast(hot), "digest", "left")
-    found = rows.where("hot_id is not null").select("conv_id", "pos", F.col("hot_id").alias("id"), "bytes")
-    rest = rows.where("hot_id is null").drop("hot_id").join(counts.select("digest", "id"), "digest")
-    return written(found.unionByName(rest.select("conv_id", "pos", "id", "bytes")), "encoded")
+    return written(looked_up(rows, counts, "digest", "turns", ["id"]).select("conv_id", "pos", "id", "bytes"), "encoded")
 
 
 # one shard

@@ -101,12 +101,13 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     return found.select("doc_id", count("assign"), count("access"), count("hex"),
-                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+                        F.size(F.filter(base, lambda s: s["example"])).cast("long").alias("n_example"))
 
 
 def _op7_spans(pattern: str, group: int, least: int) -> str:
     return f"""
-  select r, s, s + length(m) as e, m as v from (
+  select r, s, s + length(m) as e, m as v, g from (
     select r, m, g, (list_sum(list_transform(p[1:k], lambda x: length(x)))
                      + coalesce(list_sum(list_transform(a[1:k - 1], lambda x: length(x))), 0))::bigint as s
     from (select r, p, a, k, a[k] as m, b[k] as g from (
@@ -117,7 +118,8 @@ def _op7_spans(pattern: str, group: int, least: int) -> str:
 
 
 OP7_SQL = f"""
-with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t from documents),
+with d as (select row_number() over () as r, doc_id, coalesce(source, chr(0)) as owner,
+    coalesce(doc_id::varchar, chr(0)) as repository, coalesce(text, '') as t from documents),
 base as (
   select 0 as o, 'assign' as kind, * from ({_op7_spans(secrets.ASSIGN.replace("'", "''"), 2, secrets.ASSIGN_LEAST)})
   union all
@@ -127,19 +129,23 @@ base as (
 opaque as (
   select * from ({_op7_spans(secrets.OPAQUE, 0, secrets.OPAQUE_LEAST)})
   where regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]')),
-live as (select v from opaque join d using (r) group by v
-  having count(distinct coalesce(source, chr(0))) < {secrets.EXAMPLE_OWNERS}),
+judged as (select g, count(distinct owner) >= {secrets.EXAMPLE_OWNERS} or count(distinct (owner, repository))
+    >= {secrets.EXAMPLE_REPOSITORIES} * count(distinct owner) as example
+  from (select r, g from base union all select r, g from opaque) join d using (r) group by g),
 added as (
-  select 3 as o, 'owned' as kind, x.* from opaque x join live using (v)
+  select 3 as o, 'owned' as kind, x.* from opaque x
   where not exists (select 1 from base b where b.r = x.r and b.s <= x.s and x.e <= b.e)),
-spans as (select * from base union all select * from added),
+spans as (select * from (select * from base union all select * from added) join judged using (g)
+  where o < 3 or not example),
 joined as (
   select r, count(*) filter (o = 0) as n_assign, count(*) filter (o = 1) as n_access, count(*) filter (o = 2) as n_hex,
          string_agg(concat(kind, ':', s, ':', e), ',' order by s, o) filter (o < 3) as base,
-         string_agg(concat(kind, ':', s, ':', e), ',' order by s, o) as spans
+         string_agg(concat(kind, ':', s, ':', e), ',' order by s, o) as spans,
+         count(*) filter (o < 3 and example) as n_example
   from spans group by r)
 select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access,
-       coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+       coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+       coalesce(n_example, 0)::bigint as n_example
 from d left join joined using (r)
 """
 

@@ -34,6 +34,7 @@ from .common import written
 MAGIC = "WARC/1.0\r\n"
 RECORDS_PER_FILE = 1024
 LEAST_BYTES = 0
+LENGTH_DIGITS = 18  # a length of more digits, in a false candidate, is beyond any file
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -92,13 +93,19 @@ def _header(raw: bytes) -> dict[bytes, bytes]:
     return {m[1].lower(): m[2] for m in map(_HEADER.match, raw.split(b"\r\n")) if m}
 
 
+def _length(fields: dict[bytes, bytes]) -> int | None:
+    """The stated length; of more digits than a file has bytes, it is none."""
+    digits = fields.get(b"content-length", b"")
+    return int(digits) if digits.isdigit() and len(digits) <= LENGTH_DIGITS else None
+
+
 def _payload(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2]
 
 
 def _urn(value: bytes | None) -> str | None:
     m = re.fullmatch(rb"<urn:page:(.+)>", value or b"")
-    return m[1].decode() if m else None
+    return m[1].decode("utf-8", "replace") if m else None
 
 
 def _base32(payload: bytes) -> str:
@@ -132,10 +139,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for file, split, at, text in _chunks(batches):
         head, gap, rest = text.partition(b"\r\n\r\n")
         fields = _header(head)
-        length = fields.get(b"content-length", b"")
-        size = len(MAGIC) + len(head) + 8 + int(length) if gap and length.isdigit() else None
+        length = _length(fields)
+        size = len(MAGIC) + len(head) + 8 + length if gap and length is not None else None
         whole = size is not None and size == len(MAGIC) + len(text)
-        payload = _payload(rest[:int(length)]) if whole else None
+        payload = _payload(rest[:length]) if whole else None
         rows.append((file, split, at, len(MAGIC) + len(text), size, fields.get(b"warc-type", b"").decode("latin-1"),
                      _urn(fields.get(b"warc-record-id")), _urn(fields.get(b"warc-refers-to")),
                      _base32(payload) if whole else None, len(payload) if whole else None))
@@ -163,6 +170,10 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     """file, offset, successor and header of each candidate record."""
     schema = ("file long, split long, at long, span long, size long, type string, id string, refers_to string, "
               "digest string, bytes long")
+    files = spark.read.format("binaryFile").load(path).select(  # a listing: no content is read
+        F.col("_metadata.file_path").alias("path"))
+    if files.groupBy(F.xxhash64("path")).count().where("count > 1").count():
+        raise ValueError("two archive files have one hash: rename one")
     found = written(_lines(spark, path).mapInArrow(_candidates, schema), "candidates")
     # a split starts where the splits before it end; offset 0 is the first magic
     before = F.sum("bytes").over(Window.partitionBy("file").orderBy("split")) - F.col("bytes")
@@ -223,9 +234,10 @@ def _mended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pieces in batch.column(2):
             text = MAGIC.encode().join(p["text"] for p in pieces.as_py())
             head, _, rest = text.partition(b"\r\n\r\n")
-            payload = _payload(rest[:int(_header(head)[b"content-length"])])
-            digests.append(_base32(payload))
-            sizes.append(len(payload))
+            length = _length(_header(head))
+            payload = _payload(rest[:length]) if length is not None else None  # a broken record, last of its chain
+            digests.append(None if payload is None else _base32(payload))
+            sizes.append(None if payload is None else len(payload))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(digests, pa.string()),
                                pa.array(sizes, pa.int64())], names=["file", "offset", "digest", "bytes"])
 

@@ -133,7 +133,7 @@ def test_jaccard_join_of_families_with_a_prefix(spark, docs_of):
     """Every member of a pivot group meets the other groups, not its head only.
     No token is common here, as in a large corpus, so prefixes are by hash."""
     texts = prefix_families(3)
-    join = jaccard_join._Join(docs_of(texts), 5, 80, jaccard_join.BROADCAST_IDS)
+    join = jaccard_join._Join(jaccard_join._ids_and_texts(docs_of(texts)), 5, 80, jaccard_join.BROADCAST_IDS)
     none = spark.sparkContext.broadcast(bytes(jaccard_join.BUCKETS // 8))
     join.prefixes = written(join.docs.select("text").mapInArrow(
         lambda it: jaccard_join._prefixes(it, 5, 80, none), join.prefixes.schema), "prefixes")
@@ -176,6 +176,54 @@ def test_jaccard_join_of_odd_texts(docs_of, odd):
     assert kept == set(range(len(odd))) - {8, 9}
 
 
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return bits
+
+
+def test_words_that_a_polynomial_hash_confuses(docs_of):
+    one = "".join("ab"[b] for b in thue_morse(1024))
+    other = "".join("ba"[b] for b in thue_morse(1024))
+    texts = [one, other, f"v w x {one} y z", f"v w x {other} y z", one + "c" * 8000, other + "c" * 8000]
+    rows = {r.doc_id: r.component_id for r in jaccard_join.component_ids(docs_of(texts)).collect()}
+    assert rows == {i: i for i in range(len(texts))}
+
+
+def test_links_through_rows_without_an_id(docs_of):
+    words = [f"w{i}" for i in range(60)]
+    a, n, c = words, [*words[:27], "x", *words[28:]], [*words[:27], "x", *words[28:58], "y", "z"]
+    a[3] = "q"
+    texts = [(1, " ".join(a)), (None, " ".join(n)), (3, " ".join(c))]
+    want = component_ids([t for _, t in texts])
+    rows = {r.doc_id: r.component_id for r in jaccard_join.component_ids(docs_of(texts)).collect()}
+    assert len({x for _, x in want}) == 1 and rows == {1: 1, None: 1, 3: 1}
+    lone = [(None, "no id here at all"), (None, "no id here at all"), (4, "something else with words")]
+    rows = jaccard_join.component_ids(docs_of(lone)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (0, 0), (4, 4)]
+
+
+def near_family(seed, n, changed):
+    """Copies of one text that are all near it, and near each other or not."""
+    rnd = random.Random(seed)
+    base = [f"b{i}" for i in range(120)]
+    out = [" ".join(base)]
+    for k in range(n):
+        t = list(base)
+        at = rnd.randrange(100)
+        t[at:at + changed] = [f"c{k}x{i}" for i in range(changed)]
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("changed", [4, 9, 12])
+def test_large_families(docs_of, changed):
+    texts = near_family(1, 80, changed) + near_family(2, 80, changed)[1:]
+    rows = {r.doc_id: r.component_id for r in jaccard_join.component_ids(docs_of(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == [c for _, c in component_ids(texts)]
+
+
 def test_components(spark):
     rnd = random.Random(2)
     links = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(64)]

@@ -17,7 +17,7 @@ COLUMNS = {
     "op3": "doc_id keep_id group_size kept text_sha256", "op4": "page_id host path rule verdict",
     "op5": "doc_id held_out lang_pred score",
     "op6": "doc_id n_words n_hit n_items items_sha256 contaminated",
-    "op7": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op7": "doc_id n_assign n_access n_hex base_sha256 spans n_example",
     "op8": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op9": "page_id payload_bytes payload_digest record_type refers_to",
     "op10": "doc_id held_out score predicted",

@@ -128,6 +128,32 @@ def test_secrets(spark, docs_of, odd):
     assert secrets.secrets(docs_of(odd).limit(0)).count() == 0
 
 
+def test_secrets_of_one_owner_in_many_repositories(spark):
+    often, seldom = "cD3dE5gH7jK9mN1pQ2rT", "eF3dE5gH7jK9mN1pQ2rV"
+    rows = [(i, f"see {often} and token={seldom if i < 2 else often}", "one owner") for i in range(20)]
+    rows += [(20, f"{seldom} x", "one owner"), (21, f"{often}", "other owner")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    # twenty repositories of one owner and one of another: 21 < 2 * 20, so it looks live
+    found = {r.doc_id: r.spans for r in secrets.secrets(docs).collect()}
+    assert [(s.kind, s.example) for s in found[0]] == [("owned", False), ("assign", False)]
+    assert [(s.kind, s.owners) for s in found[21]] == [("owned", 2)]
+    found = {r.doc_id: r.spans for r in secrets.secrets(docs.where("doc_id < 21")).collect()}
+    assert [(s.kind, s.example) for s in found[0]] == [("assign", False)]  # its own token is in three repositories
+    assert [(s.kind, s.example) for s in found[5]] == [("assign", True)]  # base spans stay
+    assert [s.kind for s in found[20]] == ["owned"]
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 4096, 4097, 9001])
+def test_offsets_of_many_matches(spark, n):
+    unit = "é token=abcdefgh%d "
+    text = "".join(unit % (i % 10) for i in range(n)) + "AKIA" + "B" * 20
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    spans = secrets.secrets(docs).collect()[0].spans
+    want = [(m.start(), m.end()) for m in re.finditer("token=[a-h0-9]+", text)]
+    assert [(s.start, s.end) for s in spans if s.kind == "assign"] == want
+    assert [(s.start, s.end) for s in spans if s.kind == "access"] == [(len(text) - 24, len(text))]
+
+
 # BPE
 
 @pytest.fixture(scope="module")
@@ -206,13 +232,15 @@ def test_quality_of_odd_texts(spark, docs_of, odd):
 
 # pipeline
 
+LEAK = "one two three four five six seven eight nine ten eleven"
+
+
 def test_pipeline_stages(spark, docs_of, scratch):
     base = " ".join(f"house garden king{i}" for i in range(20))
-    leak = "one two three four five six seven eight nine ten eleven"
     texts = [base, base.upper(), base + " more", "totally different words in this small text here", "123 !!!", None,
-             f"before {leak} after", "nothing to see, other words again and again"]
+             f"before {LEAK} after", "nothing to see, other words again and again"]
     docs = docs_of(texts)
-    benchmark = spark.createDataFrame([("0", leak)], "item_id string, text string")
+    benchmark = spark.createDataFrame([("0", LEAK)], "item_id string, text string")
     benchmark.write.parquet(f"{scratch}/benchmark.parquet")
     kept = []
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -223,3 +251,77 @@ def test_pipeline_stages(spark, docs_of, scratch):
     assert sorted(out) == kept[-1] and all(r.n_tokens == len(r.ids) > 0 for r in out.values())
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), scratch).count() == 0
+
+
+def _low(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def _shingles(text):
+    w = re.findall("[^\x20\x09-\x0D]+", _low(text))
+    return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_stages(rows, model, items):
+    """The rows (doc_id, text) each of the first four stages keeps, as sorted
+    lists; ``model`` judges languages."""
+    langs, scores, sizes = model.predict([t for _, t in rows])
+    rows = [r for r, lang, s, n in zip(rows, langs, scores, sizes, strict=True)
+            if lang != "und" and (s >= language_id.LEAST_SCORE or n == 0)]
+    out = [rows]
+    best = {}
+    for i, t in rows:
+        if _low(t) not in best or (-1 if i is None else i) > (-1 if best[_low(t)][0] is None else best[_low(t)][0]):
+            best[_low(t)] = (i, t)
+    rows = list(best.values())
+    out.append(rows)
+    sets, at = [_shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x and y and 100 * len(x & y) >= 80 * len(x | y) and at[i] != at[j]:
+                at = [at[j] if a == at[i] else a for a in at]
+    first = {}
+    for (i, t), a in zip(rows, at, strict=True):
+        if a not in first or (i is None, i) < (first[a][0] is None, first[a][0]):
+            first[a] = (i, t)
+    rows = list(first.values())
+    out.append(rows)
+    def word_list(t):
+        return re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _low(t))
+
+    phrases = [" ".join(w[i:i + 10]) for w in map(word_list, items) for i in range(max(1, len(w) - 9) if w else 0)]
+    rows = [(i, t) for i, t in rows if not any(f" {p} " in f" {' '.join(word_list(t))} " for p in phrases)]
+    return [*out, rows]
+
+
+def test_pipeline_equals_brute_force_with_null_and_repeated_ids(spark, scratch):
+    """Every decision is a row's own: null ids, repeated ids, full repeats and
+    columns with the names that operators use inside."""
+    rnd = random.Random(4)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150)]
+    base = [[rnd.choice(words) for _ in range(40)] for _ in range(12)]
+    rows = []
+    for b in base:
+        for _ in range(4):
+            t = list(b)
+            t[rnd.randrange(40)] = rnd.choice(words)
+            rows.append(" ".join(t))
+    rows += [rows[0], rows[0].upper(), rows[5], "tiny text", "tiny text", "Tiny Text", f"x {LEAK}", f"y {LEAK}", None, "", "12"]
+    ids = [rnd.choice([None, None, 1, 2, 3, *range(10, 60)]) for _ in rows]
+    rows = list(zip(ids, rows, strict=True))
+    rows += [(None, "alpha beta gamma"), (5, "alpha beta gamma"), (None, "other lone text"), (5, "one more lone text"),
+             (9, "alpha beta gamma"), (5, "one more lone text"), (None, f"z {LEAK}")]
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, row long, node string, at_file long, "
+              "component string, starts int, hit string, norm string, n long, sketch string")
+    docs = spark.createDataFrame([(i, t, "en", "s", k, k, "x", 7, "c", 1, "h", "n", 2, "k") for k, (i, t) in enumerate(rows)],
+                                 schema).repartition(3)
+    spark.createDataFrame([("0", LEAK)], "item_id string, text string").write.parquet(f"{scratch}/benchmark.parquet")
+    model = language_id.fit_outside_fold(docs)
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], brute_stages(rows, model, [LEAK]), strict=True):
+        out = stage(spark, docs, scratch)
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        key = lambda r: (r[0] is None, r[0] or 0, _low(r[1]))  # noqa: E731 (which of two full repeats is open)
+        assert [(i, _low(t)) for i, t in sorted(got, key=key)] == [(i, _low(t)) for i, t in sorted(want, key=key)], name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, scratch).count() == len(want)

@@ -24,7 +24,10 @@ def fake(n, text="hello"):
 
 
 PAYLOADS = [None, "", "<p>é</p>", "<p>é</p>", "WARC/1.0\r\n", "a WARC/1.0\r\nb", fake(77), "x" + fake(78) * 3 + "y",
-            "WARC/1.0\r\nContent-Length: 3\r\n\r\n", "\r\n\r\n", "tail WARC/1.0", fake(77), "z" * 200_000, "", "<p>É</p>"]
+            "WARC/1.0\r\nContent-Length: 3\r\n\r\n", "\r\n\r\n", "tail WARC/1.0", fake(77), "z" * 200_000, "", "<p>É</p>",
+            # lengths that no file has, and lengths beyond the end of this one
+            *[f"WARC/1.0\r\nContent-Length: {n}\r\n\r\nx" for n in ("9" * 25, "9" * 18, "9" * 5000, "-1", "1e3", "٣", "")],
+            "WARC/1.0\r\nWARC-Record-ID: <urn:page:>\r\nContent-Length: 0\r\n\r\n" * 3]
 
 
 @pytest.mark.parametrize("records_per_file", [1, 4, 1024])
