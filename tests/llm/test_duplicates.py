@@ -194,7 +194,7 @@ def test_words_that_a_polynomial_hash_confuses(docs_of):
 def test_links_through_rows_without_an_id(docs_of):
     words = [f"w{i}" for i in range(60)]
     a, n, c = words, [*words[:27], "x", *words[28:]], [*words[:27], "x", *words[28:58], "y", "z"]
-    a[3] = "q"
+    a[0] = "q"
     texts = [(1, " ".join(a)), (None, " ".join(n)), (3, " ".join(c))]
     want = component_ids([t for _, t in texts])
     rows = {r.doc_id: r.component_id for r in jaccard_join.component_ids(docs_of(texts)).collect()}
