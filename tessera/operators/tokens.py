@@ -5,15 +5,12 @@ then words, then single symbols) with a frequency-ranked vocabulary, so its
 output is checkable in SQL.  A real subword tokenizer plugs in through
 ``tokenize_with`` (an Arrow-batched pandas function).
 
-Id lookup is a join, split by frequency: the ``hot_size`` most frequent
-tokens (a bounded, broadcast table) are resolved map-side, which removes
-the skewed keys ("the", ",") from the shuffle; the long tail goes through a
-shuffle join.  Both are exact; nothing is capped.  The two branches each
-re-run the (map-side, parallel) regex over their input rather than sharing
-it: sharing would need extra per-sample shuffles and a re-join, and at
-scale the shuffled bytes cost more than the regex CPU.  The hot branch's
-rows, about 90% of token occurrences on Zipf-like text, never reach the
-tail shuffle.
+Id lookup goes by two-level dictionaries (``operators.dictionary``): a slice
+of texts is numbered by its own distinct tokens, only those are looked up, and
+the numbers are mapped back to ids inside each row.  The lookup is split by
+frequency: the ``hot_size`` most frequent tokens (a bounded, broadcast table)
+are resolved map-side, the long tail goes through a shuffle join.  Both are
+exact; nothing is capped, and each text's regex runs once.
 """
 
 from __future__ import annotations
@@ -27,6 +24,7 @@ from pyspark.sql import types as T
 
 from tessera import constants as K
 from tessera.functions.text import PY_WS
+from tessera.operators.dictionary import decode, encode
 from tessera.operators.ranking import global_rank
 
 # FIXED VALUES: the word-tokenizer pattern (special tokens first, then
@@ -83,20 +81,17 @@ def build_vocab(df: DataFrame, text_col: str = "text", materialize: bool = False
     return vocab
 
 
-def _lookup(tokens: DataFrame, vocab: DataFrame, hot_size: int) -> DataFrame:
-    """tokens(…, tok) -> tokens(…, tok, id): specials, then hot, then tail."""
-    v = vocab.select(F.col("t").alias("_vt"), F.col("id").cast("int").alias("_vid"))
-    limit_id = K.RESERVED_IDS + hot_size
-    hot = F.broadcast(v.where(F.col("_vid") < limit_id))   # at most hot_size rows
-    tail = v.where(F.col("_vid") >= limit_id)
-    sp = tokens.withColumn("_sid", special_id(F.col("tok")))
-    with_hot = sp.join(hot, sp["tok"] == hot["_vt"], "left").drop("_vt") \
-        .withColumn("_hid", F.coalesce("_sid", "_vid")).drop("_sid", "_vid")
-    resolved = with_hot.where(F.col("_hid").isNotNull()).withColumnRenamed("_hid", "id")
-    rest = with_hot.where(F.col("_hid").isNull()).drop("_hid")
-    rest = rest.join(tail, rest["tok"] == tail["_vt"], "left") \
-        .select(*[c for c in rest.columns], F.coalesce("_vid", F.lit(UNK_ID)).alias("id"))
-    return resolved.unionByName(rest)
+def _looked_up(entries: DataFrame, vocab: DataFrame, on: str, get: str, hot_size: int) -> DataFrame:
+    """``entries`` (…, value) with ``get`` of the vocabulary row whose ``on``
+    equals the value, or null: hot rows broadcast, the tail shuffled."""
+    v = vocab.select(F.col("t"), F.col("id").cast("int").alias("id"))
+    v = v.select(F.col(on).alias("_on"), F.col(get).alias(get), (F.col("id") < K.RESERVED_IDS + hot_size).alias("_hot"))
+    hot = v.where("_hot").drop("_hot")                       # at most hot_size rows
+    tail = v.where(~F.col("_hot")).drop("_hot")
+    first = entries.join(F.broadcast(hot), entries["value"] == hot["_on"], "left")
+    done = first.where(F.col("_on").isNotNull()).drop("_on")
+    rest = first.where(F.col("_on").isNull()).select(*entries.columns)
+    return done.unionByName(rest.join(tail, rest["value"] == tail["_on"], "left").drop("_on"))
 
 
 def tokenize(df: DataFrame, key: str, parts: list[str], vocab: DataFrame,
@@ -104,56 +99,40 @@ def tokenize(df: DataFrame, key: str, parts: list[str], vocab: DataFrame,
              max_length: int | None = None) -> DataFrame:
     """Tokenise each of ``parts`` separately and concatenate (T1): prompt and
     answer are never tokenised as one string.  Adds ``out`` (ARRAY<INT>) and
-    ``n_first`` (tokens of the first part).  ``key`` must be unique.
-
-    Tokens are exploded with (part, position), ids are looked up, and the
-    arrays are rebuilt by one aggregation on ``key`` whose groups are one
-    sample each.  With ``max_length`` the result is right-truncated (T7)
-    and each part is cut to its first ``max_length`` tokens before the
-    explode, so a sample contributes at most ``len(parts) * max_length``
-    rows to the lookup and the shuffle however long its text is;
+    ``n_first`` (tokens of the first part).  Rows are kept whatever their
+    ``key`` is.
+
+    With ``max_length`` the result is right-truncated (T7): each part is cut
+    to its first ``max_length`` tokens before anything leaves the row, so
+    tokens past the cap reach no dictionary however long the text is;
     ``n_first`` still counts every token of the first part (the regex runs
     over the whole text).
     """
-    # each part's regex runs once; the first part's full count is kept per
-    # row, and with max_length each part is cut before anything is exploded,
-    # so tokens past the cap never reach the lookup join or the shuffle
-    toks = df.select(F.col(key).alias("_key"),
-                     *[word_tokens(p).alias(f"_t{i}") for i, p in enumerate(parts)])
-    toks = toks.withColumn("_n0", F.size("_t0"))
-    def tagged(i: int):
-        return lambda x, j: F.struct(F.lit(i).alias("_part"), j.alias("_pos"), x.alias("tok"))
-
-    items = []
-    for i in range(len(parts)):
-        arr_i = F.col(f"_t{i}") if max_length is None else F.slice(f"_t{i}", 1, max_length)
-        items.append(F.transform(arr_i, tagged(i)))
-    exploded = toks.select("_key", "_n0", F.inline(F.concat(*items)))
-    ids = _lookup(exploded, vocab, hot_size)
-    agg = ids.groupBy("_key").agg(
-        F.sort_array(F.collect_list(F.struct("_part", "_pos", "id"))).alias("_s"),
-        F.max("_n0").alias("_n0"))
-    arr = F.transform("_s", lambda s: s["id"])
-    if max_length is not None:
-        arr = F.slice(arr, 1, max_length)
-    agg = agg.select("_key", arr.alias(out), F.col("_n0").cast("int").alias(n_first))
-    res = df.join(agg, df[key] == agg["_key"], "left").drop("_key")
-    return res.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>"))) \
-        .withColumn(n_first, F.coalesce(F.col(n_first), F.lit(0)))
+    toks = df.select("*", *[F.coalesce(word_tokens(p), F.array().cast("array<string>")).alias(f"_t{i}")
+                            for i, p in enumerate(parts)])
+    cut = F.concat(*[F.col(f"_t{i}") if max_length is None else F.slice(f"_t{i}", 1, max_length)
+                     for i in range(len(parts))])
+    toks = toks.select(*df.columns, F.size("_t0").alias(n_first),
+                       (cut if max_length is None else F.slice(cut, 1, max_length)).alias("_tokens"))
+    rows, entries = encode(toks, "_tokens")
+    known = entries.select("slice", "number", special_id(F.col("value")).alias("id")).where("id is not null")
+    plain = _looked_up(entries.where(special_id(F.col("value")).isNull()), vocab, "t", "id", hot_size)
+    ids = known.unionByName(plain.select("slice", "number", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
+    found = decode(rows, ids.withColumnRenamed("id", out), out)
+    return found.select(*df.columns, out, n_first)
 
 
 def decode_ids(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, out: str = "text",
-               skip_below: int = K.RESERVED_IDS) -> DataFrame:
+               skip_below: int = K.RESERVED_IDS, hot_size: int = HOT_SIZE) -> DataFrame:
     """Ids back to text (T9): special and reserved ids dropped, tokens joined
-    with single spaces (the word tokenizer keeps no whitespace)."""
-    ex = df.select(F.col(key).alias("_key"), F.posexplode(ids_col).alias("_pos", "_id")) \
-        .where((F.col("_id") >= skip_below) & ~F.col("_id").isin(K.IMAGE_START_ID, K.IMAGE_END_ID))
-    v = vocab.select(F.col("t").alias("_t"), F.col("id").cast("int").alias("_vid"))
-    j = ex.join(v, ex["_id"] == v["_vid"], "left")
-    agg = j.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_t", F.lit("<unk>")).alias("t")))).alias("_s"))
-    agg = agg.select("_key", F.array_join(F.transform("_s", lambda s: s["t"]), " ").alias(out))
-    res = df.join(agg, df[key] == agg["_key"], "left").drop("_key")
-    return res.withColumn(out, F.coalesce(F.col(out), F.lit("")))
+    with single spaces (the word tokenizer keeps no whitespace).  Rows are kept
+    whatever their ``key`` is."""
+    plain = F.filter(ids_col, lambda i: (i >= skip_below) & ~i.isin(K.IMAGE_START_ID, K.IMAGE_END_ID))
+    rows, entries = encode(df.select("*", plain.alias("_plain")), "_plain")
+    found = _looked_up(entries, vocab, "id", "t", hot_size).select(
+        "slice", "number", F.coalesce("t", F.lit("<unk>")).alias("_texts"))
+    texts = decode(rows, found, "_texts")
+    return texts.select(*df.columns, F.array_join("_texts", " ").alias(out))
 
 
 def tokenize_with(df: DataFrame, text_col: str, encode: Callable[[list[str]], list[list[int]]],
