@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.sampling import bernoulli, hash_u32
 from tessera.operators.ranking import global_rank
+from tessera.operators.selection import first_candidates
 
 
 def text_probability(ratio: float) -> float:
@@ -55,15 +56,16 @@ def mix_weighted(sources: Mapping[str, tuple[DataFrame, float]], total: int, id_
                  source_col: str = "source") -> DataFrame:
     """M3: exact quotas ``floor(total * w)`` per source, each filled by the
     rows of smallest ``hash(seed:id)``; a short source contributes all it
-    has.  One hash-ranked top-k per source (two-phase rank, so a huge
-    source is not ranked in one task), then a union by name."""
-    parts = []
-    for name, (df, w) in sources.items():
-        quota = int(total * w)
-        h = df.withColumn("_h", hash_u32(seed, F.col(id_col)))
-        r = global_rank(h, ["_h", id_col], [], rank_col="_qr", at_most=quota)
-        parts.append(r.drop("_h", "_qr").withColumn(source_col, F.lit(name)))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    has.  The sources are one table, from which a cutoff on the hash selects
+    about twice each quota before anything is ranked, so that neither a huge
+    source nor many of them are sorted."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+                  [df.withColumn(source_col, F.lit(name)) for name, (df, _) in sources.items()])
+    quota = F.create_map(*[x for name, (_, w) in sources.items() for x in (F.lit(name), F.lit(int(total * w)))])
+    quota = quota[F.col(source_col)]
+    hashed = rows.withColumn("_h", hash_u32(seed, F.col(id_col)))
+    ranked = global_rank(first_candidates(hashed, [source_col], quota, "_h"), ["_h", id_col], [source_col], rank_col="_qr")
+    return ranked.where(F.col("_qr") <= quota).drop("_h", "_qr")
 
 
 def yield_counts(df: DataFrame, config_col: str = "config") -> DataFrame:

@@ -27,6 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.selection import first_candidates
 from tessera.session import landed
 
 
@@ -78,7 +79,11 @@ def global_rank(df: DataFrame, order_cols, partition_cols=(), rows_per_bucket: i
 
 def cap_per_key(df: DataFrame, key: str, n: int, order_cols, rows_per_bucket: int | None = None) -> DataFrame:
     """First ``n`` rows per key in ``order_cols`` order (W1).  Caps count
-    emitted rows, so apply filters first."""
+    emitted rows, so apply filters first.  If a named column leads the order,
+    rows beyond a cutoff from its histograms are left out where they are
+    scanned, and only about twice ``n`` per key are ranked."""
+    if order_cols and isinstance(order_cols[0], str):
+        df = first_candidates(df, [key], n, order_cols[0])
     return global_rank(df, order_cols, [key], rows_per_bucket, "_cap_rank", at_most=n).drop("_cap_rank")
 
 
