@@ -10,7 +10,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.operators import trainlog as TL
 from tessera.plans import fixtures as FX
 from tessera.plans.fixture_sql import with_fixtures
 from tessera.plans.logs import PARSED_SQL, SAVE_EVERY, step_log_folder
@@ -96,12 +95,13 @@ select stage, step, loss,
            'inf'::double) as is_new_best
 from parsed where step % {SAVE_EVERY} = 0 and loss is not null"""))
 def stream_best(spark, sf):
-    """ST4: save points are appended as they arrive; the running best of all
-    that have come."""
-    root = step_log_folder(spark, sf)
-    points = SL.stream_save_points(SL.read_step_log_stream(spark, root, max_files_per_trigger=16), SAVE_EVERY)
-    best = TL.running_best(_append_to_files(points, spark, "stream-best"), SAVE_EVERY)
-    return best.select("stage", "step", "loss", "prev_best", "is_new_best")
+    """ST4: the running best revised as log files arrive; the newest row of
+    each save point."""
+    root, out = step_log_folder(spark, sf), _scratch(spark, "stream-best")
+    q = SL.start_running_best(spark, lambda s: SL.read_step_log_stream(s, root, max_files_per_trigger=16), SAVE_EVERY,
+                              os.path.join(out, "rows"), os.path.join(out, "ckpt"))
+    q.awaitTermination()
+    return SL.newest_revisions(spark, os.path.join(out, "rows"))
 
 
 @query("stream_samples", with_fixtures(f"""

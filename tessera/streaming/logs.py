@@ -4,18 +4,20 @@ The trainers append step lines to log files; a file-source stream over the
 log folder replaces the polling shell loops.  Ordering is by the step
 counter, not by event time, so no watermark is involved: the state of
 ST1/ST2 is one row per stage (bounded by the number of stages), ST3 keeps
-only incomplete count windows.  ST4 appends the save points as they arrive,
-without state, and the running best is computed from those that have come.
+only incomplete count windows, and ST4 the save points, from which a late one
+revises the rows after it.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.sources.steplog import parse_step_lines
 
@@ -56,6 +58,7 @@ def stream_trigger(log: DataFrame, k: int, action: Callable[[DataFrame, int], No
 
 
 TRIGGER_SALTS = 64
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 ACCUM_OUT = "stage string, step long, loss double, n long"
 ACCUM_STATE = "ws array<long>, sums array<double>, counts array<long>"
@@ -101,11 +104,90 @@ def stream_accum(micro: DataFrame, n: int) -> DataFrame:
         _accum_fn(n), ACCUM_OUT, ACCUM_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_save_points(log: DataFrame, save_every: int) -> DataFrame:
-    """ST4: the save points as they arrive, without state.  ``running_best``
-    (W5) of those that have come is whole at any time, whatever order they came
-    in and whichever are missing."""
-    return log.where((F.col("step") % save_every == 0) & F.col("loss").isNotNull()).select("stage", "step", "loss")
+REVISION = "stage string, step long, loss double, prev_best double, is_new_best boolean"
+
+
+def _below(a: float, b: float) -> bool:
+    """``a < b`` where NaN is the greatest number, as in SQL."""
+    return a == a and (b != b or a < b)
+
+
+class _RunningBest(StatefulProcessor):
+    """State of a stage: its save points (step, loss and the best before it),
+    and the last of them, so that a batch in step order reads nothing else."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.points = handle.getMapState("points", "step long", "loss double, prev_best double")
+        self.last = handle.getValueState("last", "step long, best double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, float] = {}
+        for f in rows:
+            new.update(zip(f["step"].astype("int64").tolist(), f["loss"].astype("float64").tolist(), strict=True))
+        if not new:
+            return
+        last_step, best = self.last.get() if self.last.exists() else (None, float("inf"))
+        known: dict[int, tuple[float, float]] = {}
+        first = min(new)
+        if last_step is not None and first <= last_step:
+            # a late save point: what comes after it is read and gone through again
+            known = {k[0]: (v[0], v[1]) for k, v in self.points.iterator()}
+            before = [s for s in known if s < first]
+            best = float("inf")
+            if before:
+                loss, prev = known[max(before)]
+                best = loss if len(before) == 1 or _below(loss, prev) else prev
+        out = []
+        for step in sorted({*new, *(s for s in known if s >= first)}):
+            loss = new[step] if step in new else known[step][0]
+            value = (loss, best)
+            if repr(known.get(step)) != repr(value):  # equal also where both are NaN
+                self.points.updateValue((step,), value)
+                out.append((key[0], step, loss, best, _below(loss, best)))
+            # the first save point's loss is the best so far, even NaN
+            best = loss if best == float("inf") or _below(loss, best) else best
+        self.last.update((max(step, last_step if last_step is not None else step), best))
+        yield pd.DataFrame(out, columns=["stage", "step", "loss", "prev_best", "is_new_best"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_running_best(log: DataFrame, save_every: int) -> DataFrame:
+    """ST4: the running best (W5) as it goes, in update mode.  Each save point
+    gives a row when it comes; one that comes late, out of order or again (the
+    loss that came last counts) also gives the rows after it that it changes
+    anew.  The newest row of each (stage, step) is the running best over all
+    that has come, whatever order that was in and whatever is missing.  Only
+    save points (one line in ``save_every``) reach the state, which RocksDB
+    keeps on disk; the session's state store provider must be that one."""
+    s = log.where((F.col("step") % save_every == 0) & F.col("loss").isNotNull()).select("stage", "step", "loss")
+    return s.groupBy("stage").transformWithStateInPandas(
+        statefulProcessor=_RunningBest(), outputStructType=REVISION, outputMode="Update", timeMode="None")
+
+
+def start_running_best(spark: SparkSession, read: Callable[[SparkSession], DataFrame], save_every: int, out: str,
+                       checkpoint: str, trigger: dict | None = None):
+    """Start ``stream_running_best`` of the log stream that ``read`` opens, in
+    a session of its own with the state store it needs.  Every micro-batch
+    writes its rows under its number, so that a replay writes the same."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def sink(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch}"))
+
+    return (stream_running_best(read(session), save_every).writeStream.outputMode("update").foreachBatch(sink)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
+def newest_revisions(spark: SparkSession, out: str) -> DataFrame:
+    """The newest row of each (stage, step) under ``out``."""
+    rows = spark.read.schema(REVISION + ", batch long").parquet(out)
+    newest = rows.groupBy("stage", "step").agg(
+        F.max_by(F.struct("loss", "prev_best", "is_new_best"), "batch").alias("r"))
+    return newest.select("stage", "step", "r.*")
 
 
 BEST_OUT = "stage string, step long, loss double, prev_best double, is_new_best boolean"
@@ -137,7 +219,7 @@ def stream_best(log: DataFrame, save_every: int) -> DataFrame:
     """The append form of ST4: running best at each save point (W5
     incrementally), whatever order the log files arrive in.  A row that is out
     cannot be revised, so a save point is held back until all before it have
-    come, for good if one never does; logs with gaps need ``stream_save_points``.
+    come, for good if one never does; logs with gaps need ``stream_running_best``.
     In this form, one without a loss fills its place and gives no row.  State
     per stage: the best loss, the next save point due, and those held back.
     Only save points (one line in ``save_every``) reach the state."""
