@@ -12,9 +12,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera import constants as K
+from tessera.functions import geometry as GE
+
 # erf on a grid, between whose points cubic Hermite interpolation is exact to about 1e-12
 _STEP, _END = 1 / 512, 6.0
 _GRID = np.arange(-_END, _END + _STEP, _STEP)
@@ -114,3 +120,77 @@ def extract_features(df: DataFrame, make_encoder: Callable[[], Encoder], out: st
             yield res
 
     return df.mapInPandas(run, schema)
+
+
+Processor = Callable[[pd.DataFrame], list[np.ndarray]]
+
+
+def process_images(df: DataFrame, make_processor: Callable[[], Processor], w: str = "w", h: str = "h",
+                   target: int = K.TARGET_SIZE, out: str = "pixels", keep: list[str] | None = None) -> DataFrame:
+    """U1, image side: a user-supplied image processor over Arrow batches.
+
+    The geometry is planned here, by expressions (G1-G3): a batch reaches the
+    processor with the image bytes and the columns new_w, new_h, grid_h, grid_w
+    and n_tokens.  It returns one ``[grid_h * grid_w, dim]`` array per row; any
+    other number of patches is an error, as no later stage could align them.
+    ``out`` is the array row by row, ARRAY<FLOAT>; ``make_processor()`` runs once
+    per task.  ``keep`` names the columns carried on (default: all)."""
+    new_w, new_h = GE.resize_plan(w, h, target)
+    planned = df.withColumns({"new_w": new_w, "new_h": new_h})
+    _, grid_h, grid_w = GE.patch_grid("new_w", "new_h")
+    planned = planned.withColumns({"grid_h": grid_h, "grid_w": grid_w, "n_tokens": GE.num_image_tokens("new_w", "new_h")})
+    plan = ["new_w", "new_h", "grid_h", "grid_w", "n_tokens"]
+    names = [*(keep if keep is not None else df.columns), *plan]
+    schema = T.StructType([*(planned.schema[n] for n in names), T.StructField(out, T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        process = make_processor()
+        for pdf in batches:
+            patches = process(pdf) if len(pdf) else []
+            for n, x in zip(pdf["grid_h"] * pdf["grid_w"], patches, strict=True):
+                if len(x) != n:
+                    raise ValueError(f"the image processor gave {len(x)} patches where the plan has {n}")
+            res = pdf[names].copy()
+            res[out] = [np.asarray(x, dtype=np.float32).reshape(-1) for x in patches]
+            yield res
+
+    return planned.mapInPandas(run, schema)
+
+
+def _half_bytes(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = batch.column(at)
+        values = x.flatten().to_numpy(zero_copy_only=False).astype("<f2")
+        sizes = pc.fill_null(pc.list_value_length(x), 0).to_numpy()
+        offsets = np.r_[0, 2 * np.cumsum(sizes)].astype(np.int32)
+        known = None if not x.null_count else pa.array(x.is_valid()).buffers()[1]
+        packed = pa.Array.from_buffers(pa.binary(), len(x), [known, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+        yield batch.set_column(at, batch.schema.names[at], packed)
+
+
+def _half_values(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = batch.column(at)
+        values = np.frombuffer(b"".join(v.as_buffer() for v in x if v.is_valid), "<f2").astype(np.float32)
+        sizes = pc.fill_null(pc.binary_length(x), 0).to_numpy() // 2
+        offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), mask=np.r_[~x.is_valid().to_numpy(False), False])
+        lists = pa.ListArray.from_arrays(offsets, pa.array(values, pa.float32()))
+        yield batch.set_column(at, batch.schema.names[at], lists)
+
+
+def _recoded(df: DataFrame, col: str, to: T.DataType, run) -> DataFrame:
+    at = df.columns.index(col)
+    schema = T.StructType([T.StructField(f.name, to if f.name == col else f.dataType) for f in df.schema])
+    return df.mapInArrow(lambda it: run(it, at), schema)
+
+
+def pack_half(df: DataFrame, col: str) -> DataFrame:
+    """The array ``col`` rounded to half precision (to nearest, ties to even)
+    and packed into BINARY, two little-endian bytes a value; null stays null."""
+    df = df.withColumn(col, F.col(col).cast("array<double>"))
+    return _recoded(df, col, T.BinaryType(), _half_bytes)
+
+
+def unpack_half(df: DataFrame, col: str) -> DataFrame:
+    """``pack_half`` read back as ARRAY<FLOAT>, which holds every half exactly."""
+    return _recoded(df, col, T.ArrayType(T.FloatType()), _half_values)

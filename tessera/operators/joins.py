@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 
 from tessera import constants as K
 from tessera.functions.text import col_
+from tessera.operators.ranking import prefix_aggregate
+from tessera.session import landed
 
 
 def join_features(meta: DataFrame, feat: DataFrame, keys=("shard_id", "pos")) -> DataFrame:
     """Cached features joined back to their metadata by (shard, position).
-    The folder layout lets a reader of some shards prune the rest; the join
-    itself is a shuffle join unless the metadata is small enough to be
-    broadcast."""
-    return meta.join(feat, list(keys), "inner")
+    Both cache tables are bucketed by these columns, so a merge join meets them
+    bucket by bucket and neither side is shuffled or broadcast."""
+    return meta.hint("merge").join(feat, list(keys), "inner")
 
 
 def placeholder_positions(df: DataFrame, key: str, ids_col: str,
@@ -45,6 +46,39 @@ def align_features(tokens: DataFrame, feat: DataFrame, key: str, ids_col: str,
     return pos.join(feat.withColumnRenamed(feat_k, "k"), [key, "k"], "inner")
 
 
+def batch_positions(df: DataFrame, key: str, ids_col: str, batch: str, order_cols,
+                    image_token_id: int = K.IMAGE_TOKEN_ID) -> DataFrame:
+    """W8 over a flattened batch: ``k`` counts the placeholders of all samples
+    of a batch, sample after sample in ``order_cols`` order.  A sample's offset
+    is a segmented prefix sum over one narrow row per sample; inside a sample
+    the ordinal follows from the array."""
+    placed = F.transform(ids_col, lambda t, i: F.when(t == image_token_id, i))
+    rows = df.withColumn("_places", F.filter(placed, lambda p: p.isNotNull())).withColumn(
+        "_n", F.size("_places").cast("bigint"))
+    names = dict.fromkeys([batch, *order_cols, key, "_places", "_n"])
+    offset = prefix_aggregate(rows.select(*names), "_n", list(order_cols), [batch], "sum", "_offset")
+    return offset.select(batch, key, "_offset", F.posexplode("_places").alias("_k", "position")).select(
+        batch, key, "position", (F.col("_offset") + F.col("_k")).cast("bigint").alias("k"))
+
+
+def align_batches(tokens: DataFrame, feat: DataFrame, key: str, ids_col: str, batch: str, order_cols,
+                  feat_k: str = "k") -> DataFrame:
+    """J2 as a merge of whole batches: the k-th placeholder of a flattened
+    batch takes feature row k of the batch, whose rows are those of all its
+    samples, one after the other.  A batch whose placeholders and features
+    differ in number is an error that names it, never a shifted merge.  The
+    alignment stays narrow; the wide feature column is joined last."""
+    pos = landed(batch_positions(tokens, key, ids_col, batch, order_cols), "positions")
+    feat = feat.withColumnRenamed(feat_k, "k")
+    n_tokens = pos.groupBy(batch).agg(F.count(F.lit(1)).alias("n_tokens"))
+    n_feats = feat.groupBy(batch).agg(F.count(F.lit(1)).alias("n_features"))
+    bad = n_tokens.join(n_feats, batch, "full").na.fill(0, ["n_tokens", "n_features"]).where("n_tokens <> n_features")
+    first = bad.orderBy(batch).first()
+    if first is not None:
+        raise ValueError(f"batch {first[batch]}: {first['n_tokens']} placeholders, {first['n_features']} features")
+    return pos.join(feat, [batch, "k"], "inner")
+
+
 def resolve_against(df: DataFrame, assets: DataFrame, ref_col: str, asset_key: str,
                     how: str = "inner") -> DataFrame:
     """Samples joined to an asset table; unresolved rows are dropped
@@ -90,6 +124,8 @@ def reconcile(expected: DataFrame, actual: DataFrame, key: str = "name") -> Data
 
 def compare_runs(df: DataFrame, key: str, run_col: str, value_col: str, runs: list[str]) -> DataFrame:
     """One row per prompt with one column per run.  The run list is
-    given, so the pivot needs no extra pass to find its values."""
-    p = df.groupBy(key).pivot(run_col, runs).agg(F.first(value_col))
+    given, so the pivot needs no extra pass to find its values.  A run that
+    repeats a prompt counts with its greatest value, whatever order rows are
+    in."""
+    p = df.groupBy(key).pivot(run_col, runs).agg(F.max(value_col))
     return p.select(key, *[F.col(f"`{r}`").alias(f"{value_col}_{r}") for r in runs])

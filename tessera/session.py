@@ -59,11 +59,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def landed(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to a new table of the shared folder and read back: its
-    rows are fixed from here on, and lineage ends."""
+def landed(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+    """``df`` written to a new table of the shared folder, in a folder for each
+    value of ``partition_by`` if given, and read back: its rows are fixed from
+    here on, and lineage ends."""
     path = os.path.join(checkpoint_dir(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
