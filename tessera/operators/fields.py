@@ -122,6 +122,16 @@ def _present(v: Column, key: str) -> Column:
     return F.variant_get(v, f"$.{key}", "variant").isNotNull()
 
 
+def record_field(record, names: list[str]) -> Column:
+    """P1 on a record that is one VARIANT: the value of the first of ``names``
+    whose key is present (a present null is a value), else null."""
+    v, out = TX.col_(record), None
+    for n in names:
+        value = F.try_variant_get(v, f"$.{n}", "variant")
+        out = F.when(_present(v, n), value) if out is None else out.when(_present(v, n), value)
+    return out
+
+
 def _number(v: Column) -> Column:
     """The value of a JSON number (true and false are 1 and 0), else null: text is never read as a number."""
     kind = F.schema_of_variant(v)
@@ -137,12 +147,31 @@ def _first_present(v: Column, names: list[str], default: float = 0.0) -> Column:
     return out.otherwise(F.lit(default))
 
 
+def _py_quoted(s: Column) -> Column:
+    """``repr`` of a string: quotes as Python chooses them, the usual escapes."""
+    for a, b in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        s = F.replace(s, F.lit(a), F.lit(b))
+    double = F.contains(s, F.lit("'")) & ~F.contains(s, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), s, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def _py_str(v: Column, inner: bool) -> Column:
+    """``str()`` of a JSON value that is no object or list: True, False, None
+    and numbers as Python writes them; text as it is, or quoted inside a list."""
+    kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    yes = F.try_variant_get(v, "$", "boolean")
+    out = F.when(kind == "BOOLEAN", F.when(yes, "True").otherwise("False")).when(kind == "VOID", "None")
+    return out.when(kind == "STRING", _py_quoted(text) if inner else text).otherwise(text)
+
+
 def canonical_target_variant(v) -> Column:
     """P1 + P2 on a target ingested as VARIANT (``parse_json``): an object
     gives ``click(x=%.4f, y=%.4f)`` from ``x``/``x_norm`` and ``y``/``y_norm``
     (0 when absent); an array of at least two values gives the same from its
-    first two; anything else is its string value stripped (other JSON values:
-    their JSON text).  A coordinate that is no number (null, text, a list)
+    first two; anything else is what ``str()`` gives, stripped (``True``,
+    ``['a']``; an object or list inside a short list keeps its JSON text).  A
+    coordinate that is no number (null, text, a list)
     gives a null target: a row to reject (F6), as formatting it would fail."""
     v = TX.col_(v)
     shape = F.schema_of_variant(v)
@@ -154,4 +183,6 @@ def canonical_target_variant(v) -> Column:
     return (F.when(shape.startswith("OBJECT"),
                    click(_first_present(v, ["x", "x_norm"]), _first_present(v, ["y", "y_norm"])))
             .when(shape.startswith("ARRAY") & (F.size(arr) >= 2), click(_number(F.get(arr, 0)), _number(F.get(arr, 1))))
-            .otherwise(TX.py_strip(F.try_variant_get(v, "$", "string"))))
+            .when(shape.startswith("ARRAY"), F.concat(F.lit("["), F.coalesce(_py_str(F.get(arr, 0), True), F.lit("None")),
+                                                      F.lit("]")))
+            .otherwise(TX.py_strip(_py_str(v, False))))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import col_, is_blank
+from tessera.session import landed
 
 
 def require_asset(df: DataFrame, ref_col: str, is_array: bool = False) -> DataFrame:
@@ -75,3 +76,17 @@ def quarantine(df: DataFrame, reasons: list[tuple[str, Column]],
     tagged = df.withColumn(reason_col, r)
     return tagged.where(F.col(reason_col).isNull()).drop(reason_col), \
         tagged.where(F.col(reason_col).isNotNull())
+
+
+def quarantine_written(df: DataFrame, reasons: list[tuple[str, Column]],
+                       reason_col: str = "reject_reason") -> tuple[DataFrame, DataFrame]:
+    """F6 in one pass: ``df`` is evaluated once, written in two folders by
+    whether a check fails, and read back as two tables; a read of one never
+    opens the other's files."""
+    case = None
+    for name, bad in reasons:
+        cond = F.coalesce(bad, F.lit(True))
+        case = F.when(cond, F.lit(name)) if case is None else case.when(cond, F.lit(name))
+    tagged = df.withColumn(reason_col, case).withColumn("_rejected", F.col(reason_col).isNotNull())
+    both = landed(tagged, "quarantine", partition_by="_rejected")
+    return (both.where(~F.col("_rejected")).drop("_rejected", reason_col), both.where("_rejected").drop("_rejected"))

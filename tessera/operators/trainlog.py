@@ -64,6 +64,10 @@ def tail_per_key(log: DataFrame, k: int, stage: str = "stage", step: str = "step
         .withColumn("rank", F.col("_rn").cast("bigint")).drop("_rn")
 
 
-def latest_step(log: DataFrame, stage: str = "stage", step: str = "step") -> DataFrame:
-    """Newest step per stage (the step counter is the log order)."""
-    return log.groupBy(stage).agg(F.max(step).alias("latest_step"))
+def latest_step(log: DataFrame, stage: str = "stage", step: str = "step", line: str | None = None) -> DataFrame:
+    """The step of the newest line per stage.  ``line`` names a column in
+    line order (``scan_step_log(line_col=…)``): then a log that a restart
+    wrote on gives the step of its last line, though an earlier one is
+    greater.  Without it the step counter is the log order."""
+    newest = F.max(step) if line is None else F.max_by(step, line)
+    return log.groupBy(stage).agg(newest.alias("latest_step"))

@@ -208,7 +208,9 @@ ODD_TARGETS = [
     ('{"x": null, "y": 0.5}', None), ('{"x": "0.5", "y": 0.5}', None), ("{}", None), ("[]", None),
     ('["a", 0.5]', None), ("[null, 0.5]", None), ("0", None), ("false", None), ("null", None), ('""', None),
     ('" "', ""), ('{"x_norm": 1, "y": 0.25}', "click(x=1.0000, y=0.2500)"), ('{"z": 1}', "click(x=0.0000, y=0.0000)"),
-    ("[1, 2.5, 3]", "click(x=1.0000, y=2.5000)"), ('" done() "', "done()")]
+    ("[1, 2.5, 3]", "click(x=1.0000, y=2.5000)"), ('" done() "', "done()"), ("true", "True"), ("17", "17"),
+    ('["a"]', "['a']"), ("[0.5]", "[0.5]"), ("[true]", "[True]"), ("[null]", "[None]"), ('["it\'s"]', '["it\'s"]'),
+    ('["a \\"b\\" it\'s"]', "['a \"b\" it\\'s']")]
 
 
 @query("odd_targets", with_fixtures(f"""

@@ -14,7 +14,7 @@ QUERIES: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
 
 _MODULES = ["samples", "gui", "geometry", "assembly", "cache", "logs", "evaluation", "catalog", "streams",
-            "training"]
+            "training", "records"]
 
 
 def query(name: str, sql: str | None = None):

@@ -240,7 +240,7 @@ def tokenized_samples_df(spark, sf, max_length: int = 512):
 
 
 TOKENIZED_SQL = with_fixtures(f"""
-select sample_id, n_prompt, len(t_ids) as n_tokens, n_image, len(t_ids) - n_image as n_text,
+select sample_id, n_prompt, len(t_ids) as n_tokens, len(t_ids) as n_attended, n_image, len(t_ids) - n_image as n_text,
        len(list_filter(t_labels, lambda x: x <> -100)) as n_supervised,
        array_to_string(t_ids, ',') as ids, array_to_string(t_labels, ',') as labels
 from (select sample_id, np, n_prompt, t_ids, t_labels,
@@ -267,7 +267,8 @@ def tokenized_samples(spark, sf):
     from tessera.functions import arrays as AR
     d = tokenized_samples_df(spark, sf)
     return d.select("sample_id", F.col("n_prompt").cast("bigint").alias("n_prompt"),
-                    F.size("input_ids").cast("bigint").alias("n_tokens"), "n_image",
+                    F.size("input_ids").cast("bigint").alias("n_tokens"),
+                    F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda n, x: n + x).alias("n_attended"), "n_image",
                     (F.size("input_ids") - F.col("n_image")).cast("bigint").alias("n_text"),
                     AR.count_supervised("labels").cast("bigint").alias("n_supervised"),
                     AR.ids_to_text("input_ids").alias("ids"), AR.ids_to_text("labels").alias("labels"))

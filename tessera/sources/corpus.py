@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,45 @@ def scan_configs(spark: SparkSession, configs: Mapping[str, ConfigSource],
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), st
 
 
+def scan_config_files(spark: SparkSession, configs: Mapping[str, str],
+                      config_col: str = "config") -> tuple[DataFrame | None, DataFrame]:
+    """S2 with isolation by file: a file that cannot be read, wherever a task
+    meets it, gives no rows and fails nothing.  The report (config, file,
+    n_rows, n_read, ok) has a row per listed file: ``n_rows`` from its footer,
+    null if it has none, and ``n_read``, the rows that all columns could be
+    read of.  A file without rows counts as unreadable.  The report reads the data once more; it is a plan of its own, so
+    callers that do not look at it do not pay for it.  A config without any
+    readable file is reported through its files."""
+    parts, reports = [], []
+    for name, path in configs.items():
+        listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+        reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+        try:
+            df = reader.parquet(path)
+        except AnalysisException:  # no file has a schema
+            reports.append(listed.select(F.lit(name).alias(config_col), "file", F.lit(None).cast("long").alias("n_rows"),
+                                         F.lit(0).cast("long").alias("n_read")))
+            continue
+        file = F.col("_metadata.file_path").alias("file")
+        rows = df.select(file).groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
+        # the hash of all columns makes the tasks decode them
+        read = df.select(file, F.xxhash64(*df.columns).alias("h")).groupBy("file").agg(
+            F.count("h").alias("n_read"), F.bit_xor("h").alias("h")).where("h is not null").drop("h")
+        reports.append(listed.join(rows, "file", "left").join(read, "file", "left").select(
+            F.lit(name).alias(config_col), "file", "n_rows", F.coalesce("n_read", F.lit(0).cast("long")).alias("n_read")))
+        parts.append(df.withColumn(config_col, F.lit(name)))
+    report = reduce(DataFrame.unionByName, reports).withColumn("ok", F.coalesce(F.col("n_rows") == F.col("n_read"), F.lit(False)))
+    if not parts:
+        return None, report
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), report
+
+
+def scan_records(spark: SparkSession, path: str) -> DataFrame:
+    """S1 where every record has a schema of its own: JSON lines as (line,
+    record), the whole record one VARIANT, null where a line is no JSON."""
+    return spark.read.text(path).select(F.col("value").alias("line"), F.try_parse_json("value").alias("record"))
+
+
 def resolve_assets(df: DataFrame, ref_col: str, base_url: str, out_col: str = "asset_url",
                    name_pattern: str = r"^[^/\s]+\.(png|jpg|jpeg|gif|webp|bmp)$") -> DataFrame:
     """Asset reference resolution (S8): a bare image name becomes

@@ -36,12 +36,19 @@ def parse_step_lines(df: DataFrame, line_col: str = "value") -> DataFrame:
         _num(line, ELAPSED_RE).alias("elapsed_min"))
 
 
-def scan_step_log(spark: SparkSession, path: str, stage_col: str = "stage") -> DataFrame:
+def scan_step_log(spark: SparkSession, path: str, stage_col: str = "stage", line_col: str | None = None) -> DataFrame:
     """Text logs under ``path``.  The stage comes from a ``stage=…``
     partition folder when the logs are laid out that way, else from the file
-    name (``<stage>.log``) via the file-source metadata column."""
+    name (``<stage>.log``) via the file-source metadata column.  ``line_col``
+    adds where a line stands: files by time of writing and name, lines by split
+    and by their order in it."""
     raw = spark.read.text(path)
-    if stage_col not in raw.columns:
-        raw = raw.select("value", F.regexp_extract(F.col("_metadata.file_path"),
-                                                   r"([^/]+?)(\.log)?$", 1).alias(stage_col))
-    return parse_step_lines(raw)
+    columns = ["value"]
+    if stage_col in raw.columns:
+        columns.append(stage_col)
+    else:
+        columns.append(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.log)?$", 1).alias(stage_col))
+    if line_col:
+        m = [F.col(f"_metadata.{c}") for c in ("file_modification_time", "file_path", "file_block_start")]
+        columns.append(F.struct(*m, F.monotonically_increasing_id().alias("line")).alias(line_col))
+    return parse_step_lines(raw.select(*columns))
