@@ -13,7 +13,7 @@ from tests.test_oracle import _norm
 QUERIES = E.queries()
 ORACLE = corpus.oracle_sql()
 COLUMNS = {
-    "op1": "doc_id n_bytes n_removed n_spans kept_sha256", "op2": "doc_id n_shingles component_id",
+    "op1": "doc_id n_bytes n_removed n_spans kept_sha256 repeated", "op2": "doc_id n_shingles component_id",
     "op3": "doc_id keep_id group_size kept text_sha256", "op4": "page_id host path rule verdict",
     "op5": "doc_id held_out lang_pred score",
     "op6": "doc_id n_words n_hit n_items items_sha256 contaminated",
