@@ -45,7 +45,7 @@ def order_number(df: DataFrame, col: str) -> Column | None:
         x = F.when(F.isnan(x), F.lit(FAR)).otherwise(F.greatest(F.least(x, F.lit(FAR)), F.lit(-FAR)))
     else:
         return None
-    return F.coalesce(x, F.lit(-FAR))
+    return F.when(c.isNull(), F.lit(-FAR)).otherwise(x)  # least and greatest pass over nulls
 
 
 def _on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
