@@ -14,9 +14,9 @@ positions of the token leave possible.  Pairs that pass are expanded to their
 members and verified on the whole texts.
 
 Links are found in rounds so that a large cluster costs no pair of its members.
-In a star round each token's groups meet the head of one of them, the pivot;
-what the links so far leave in different components meets a new pivot in the
-next round.  When that no longer halves what is left, all groups of a token
+In a star round each token's groups meet the head of one of them, the pivot,
+which is done with that if it has no other member; what the links so far leave
+in different components meets a new pivot in the next round.  When that no longer halves what is left, all groups of a token
 that are still apart meet each other.  Pairs inside one component need no check:
 they can add no reachability.  Every set has a parity sketch, 1,024 bits of
 which each token flips one: two sets differ in at least as many tokens as their
@@ -52,6 +52,8 @@ BUCKETS = 1 << 24
 SLICES = 1 << 10
 #: Bits of a parity sketch.
 SKETCH_BITS = 1 << 10
+#: Bits of the sketch that rides on a token's row: the parities of parities of a sketch.
+ROW_BITS = 1 << 9
 #: A list of rows up to this length is broadcast; a longer one is joined by shuffling.
 BROADCAST_IDS = 500_000
 #: Star rounds at most; what they leave apart is compared in full.
@@ -203,11 +205,11 @@ def _possible(percent: int):
                   f"and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
 
 
-def _near(percent: int, n: str, sketch: str, n2: str, sketch2: str):
+def _near(percent: int, n: str, sketch: str, n2: str, sketch2: str, bits: int = SKETCH_BITS):
     """Whether two sets can be similar: of s tokens in all, similar ones differ
     in (100 - percent) / (100 + percent) * s at most, and in no fewer than
     their sketches do.  A null sketch says nothing."""
-    apart = " + ".join(f"bit_count({sketch}[{k}] ^ {sketch2}[{k}])" for k in range(SKETCH_BITS // 64))
+    apart = " + ".join(f"bit_count({sketch}[{k}] ^ {sketch2}[{k}])" for k in range(bits // 64))
     return F.expr(f"coalesce({100 + percent} * ({apart}) <= {100 - percent} * ({n} + {n2}), true)")
 
 
@@ -291,19 +293,21 @@ class _Join:
         """Links of the heads of the left groups with the members of the right ones."""
         return self.links(self.expanded(pairs.distinct(), heads, members))
 
-    def spread(self, members: DataFrame) -> DataFrame:
-        """Per group, the least and the greatest component of its members."""
-        return members.groupBy("grp", "n").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-
     def placed(self, rows: DataFrame, members: DataFrame, turn: int) -> DataFrame:
-        """``rows`` (token, grp, n, pos) of tokens whose groups are not all in
-        one component, with what their group and their token's pivot of this
-        turn span."""
-        rows = rows.select("token", "grp", "n", "pos").join(self.spread(members), ["grp", "n"])
+        """``rows`` (token, grp, n, pos, pivot) of tokens whose groups are not
+        all in one component, with the least and the greatest component in
+        their group, and the same of their token's pivot of this turn.  The
+        pivot before, if it has one member, has met all groups of its token:
+        its row goes."""
+        spread = members.groupBy("grp", "n").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                                 F.count(F.lit(1)).alias("size"))
+        rows = rows.drop("low", "high").join(spread, ["grp", "n"]).where("not (size = 1 and grp = pivot.grp and n = pivot.n)")
+        own = Window.partitionBy("token")
         key = F.struct(F.xxhash64(F.lit(turn), "grp", "n").alias("h"), "grp", "n", "pos", "low", "high")
-        open_ones = rows.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"),
-                                              F.min(key).alias("pivot")).where("l != h").select("token", "pivot")
-        return written(rows.join(open_ones, "token"), "placed")
+        # one shuffle by token
+        rows = rows.select("token", "grp", "n", "pos", "low", "high").withColumns(
+            {"l": F.min("low").over(own), "h": F.max("high").over(own), "pivot": F.min(key).over(own)})
+        return written(rows.where("l != h").drop("l", "h"), "placed")
 
     def run(self) -> DataFrame:
         """(node, component) of the linked nodes."""
@@ -325,8 +329,8 @@ class _Join:
             return written(components(known.unionByName(links.select("a", "b"))), "components")
 
         def of() -> DataFrame:
-            return written(members.join(found, "node", "left").select(
-                "grp", "n", "node", "sketch", F.coalesce("component", "node").alias("component")), "of")
+            return written(members.drop("sketch").join(found, "node", "left").select(
+                "grp", "n", "node", F.coalesce("component", "node").alias("component")), "of")
 
         # more star rounds while they halve what is left apart
         own = of()
@@ -346,16 +350,24 @@ class _Join:
                 break
 
         # the rest: all groups of a token that are apart, and members of one group that are
-        single = heads.where("size = 1").select("grp", "n", "sketch")
+        longs = ROW_BITS // 64
+        folded = F.array(*[F.expr(" ^ ".join(f"sketch[{k}]" for k in range(at, SKETCH_BITS // 64, longs)))
+                           for at in range(longs)])
+        single = heads.where("size = 1").select("grp", "n", folded.alias("sketch"))
         rows = written(rows.join(single, ["grp", "n"], "left").withColumn("settled", F.expr(
             "low = high and pivot.low = pivot.high and low = pivot.low")).drop("pivot"), "apart")
         x, y = rows.where("not settled").alias("x"), rows.alias("y")
         apart = F.expr("not (x.low = x.high and y.low = y.high and x.low = y.low) and "
                        "(y.settled or x.grp < y.grp or x.grp = y.grp and x.n < y.n)")
         cross = (x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _possible(self.percent)
-                        & _near(self.percent, "x.n", "x.sketch", "y.n", "y.sketch"))
+                        & _near(self.percent, "x.n", "x.sketch", "y.n", "y.sketch", ROW_BITS))
                  .select("x.grp", "x.n", F.col("y.grp").alias("grp2"), F.col("y.n").alias("n2")).distinct())
-        mixed = self.spread(own).where("low != high").select("grp", "n")
+        # of the groups that take part
+        mixed = own.groupBy("grp", "n").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
+            "low != high").select("grp", "n")
+        cross = written(cross, "cross")
+        part = cross.select("grp", "n").union(cross.select("grp2", "n2")).union(mixed).distinct()
+        own = written(own.join(part, ["grp", "n"], "left_semi").join(members.select("node", "sketch"), "node"), "own")
         # in a mixed group, the members that are not with its head against all
         main = own.join(head.select("node"), "node", "left_semi").select("grp", "n", F.col("component").alias("main"))
         loose = own.join(mixed, ["grp", "n"]).join(main, ["grp", "n"]).where("component != main").drop("main")
