@@ -160,38 +160,45 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op4_sql() -> str:
-    """The fixed rounds of both ranks, written out."""
+    """Both ranks by recursion, a row per host and round, until they settle."""
     rules = " union all ".join(f"select '{h}' as h, '{p}' as p, '{v}' as v" for (h, p), v in url_filter.RULES)
     link, d = url_filter.LINK.replace("'", "''"), url_filter.DAMPING
     ranks = []
     for kind, links in (("allow", "edges"), ("block", "against")):
         ranks.append(f"""
-{kind}_seed as (select host, 1.0::double / count(*) over () as share from hosts
+{kind}_seed as materialized (select host, 1.0::double / count(*) over () as share from hosts
   where {kind}ed >= {url_filter.SEED_SHARE} * n),
-{kind}_0 as (select host, share as rank from {kind}_seed)""")
-        for k in range(url_filter.ROUNDS):
-            ranks.append(f"""
-{kind}_{k + 1} as (select host, sum(rank) as rank from (
-  select dst as host, {d} * rank * weight as rank from {kind}_{k} join {links} on src = host
-  union all select host, (1 - {d}) * share from {kind}_seed) group by host)""")
+{kind}_rounds as (
+  select 0 as k, host, share as rank, false as settled from {kind}_seed
+  union all
+  select k, host, rank, k % {url_filter.CUT_EVERY} = 0 and bool_and(near) over () as settled from (
+    select n.k, n.host, n.rank, coalesce(abs(n.rank - o.rank) <= {url_filter.TOLERANCE} * n.rank, false) as near
+    from (select k + 1 as k, host, sum(rank) as rank from (
+        select k, dst as host, {d} * rank * weight as rank from {kind}_rounds join {links} on src = host where not settled
+        union all
+        select k, s.host, (1 - {d}) * share as rank from {kind}_seed s
+          join (select distinct k from {kind}_rounds where not settled) r on true) m group by k, host) n
+      left join {kind}_rounds o on o.host = n.host) c
+  where k <= {url_filter.MOST_ROUNDS}),
+{kind}_rank as (select host, rank from {kind}_rounds where settled)""")
     return f"""
-with u as (select page_id, html,
+with recursive u as materialized (select page_id, html,
     lower(regexp_extract(coalesce(url, ''), '{url_filter.PARTS}', 1)) as host,
     regexp_extract(coalesce(url, ''), '{url_filter.PARTS}', 2) as path from pages),
 rules as ({rules}),
-r as (select u.*, (select max_by(struct_pack(rule := h || p, v := v), length(h || p)) from rules
+r as materialized (select u.*, (select max_by(struct_pack(rule := h || p, v := v), length(h || p)) from rules
     where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) as m from u),
-hosts as (select host, count(*) as n, count(*) filter (m.v = 'allow') as allowed,
+hosts as materialized (select host, count(*) as n, count(*) filter (m.v = 'allow') as allowed,
     count(*) filter (m.v = 'block') as blocked from r where host != '' group by host),
-links as (select src, dst, count(*) as n from (
+links as materialized (select src, dst, count(*) as n from (
     select host as src, lower(unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1))) as dst from u)
   where src != '' and src != dst group by src, dst),
-edges as (select src, dst, n / sum(n) over (partition by src) as weight from links),
-against as (select dst as src, src as dst, weight / sum(weight) over (partition by dst) as weight from edges),
+edges as materialized (select src, dst, n / sum(n) over (partition by src) as weight from links),
+against as materialized (select dst as src, src as dst, weight / sum(weight) over (partition by dst) as weight from edges),
 {",".join(ranks)}
 select page_id, r.host, path, m.rule as rule, coalesce(m.v, case when coalesce(b.rank, 0) > 0
     and b.rank >= {url_filter.THRESHOLD} * (coalesce(a.rank, 0) + b.rank) then 'block' else 'allow' end) as verdict
-from r left join allow_{url_filter.ROUNDS} a on a.host = r.host left join block_{url_filter.ROUNDS} b on b.host = r.host
+from r left join allow_rank a on a.host = r.host left join block_rank b on b.host = r.host
 """
 
 

@@ -33,7 +33,6 @@ RULES = [(("net", "/"), "block"), (("example.net", "/en/"), "allow"),
          (("example.com", "/de/"), "block"), (("org", "/fr/"), "allow")]
 MOST_RULES = 1000
 #: The rounds that OP4_SQL writes out; the operator goes on until ranks settle.
-ROUNDS = 10
 TOLERANCE = 1e-9
 MOST_ROUNDS = 10_000
 DAMPING = 0.85

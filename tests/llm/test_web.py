@@ -4,12 +4,14 @@ import base64
 import gzip
 import hashlib
 import os
+import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import url_filter, warc
+from tessera.llm import queries, url_filter, warc
 
 
 def pages_of(spark, rows):
@@ -110,7 +112,7 @@ def brute(rows):
     def rank(edges, seeds):
         start = {h: 1 / len(seeds) for h in seeds}
         now = dict(start)
-        for _ in range(url_filter.ROUNDS if edges else 0):
+        for _ in range(300 if edges else 0):
             new = defaultdict(float)
             for (s, d), w in edges.items():
                 new[d] += url_filter.DAMPING * now.get(s, 0) * w
@@ -185,6 +187,25 @@ def test_link_graph(spark):
     assert url_filter.judged(pages_of(spark, rows).limit(0)).count() == 0
 
 
+def test_sql_ranks_equal_the_operator_on_linked_graphs(spark):
+    """The SQL iterates as long as the operator: a chain of fifteen hosts to a
+    blocked one, and random links."""
+    rnd = random.Random(8)
+    rows = [(i, f"http://h{i}.com/x", f'<a href="http://{"bad.net" if i == 14 else f"h{i + 1}.com"}/">') for i in range(15)]
+    rows += [(100, "http://bad.net/q", ""), (101, "http://a.org/fr/x", '<a href="http://h3.com/"> <a href="//h200.com/x">'),
+             (102, "http://h200.com/", None), (103, None, "x")]
+    hosts = ["s.net", "t.net", "u.org", "v.org", *(f"k{i}.com" for i in range(30))]
+    rows += [(200 + i, f"http://{h}/fr/", " ".join(f'<a href="//{x}/">' for x in rnd.sample(hosts, 2)))
+             for i, h in enumerate(hosts)]
+    got = sorted((r.page_id, r.host, r.rule or "", r.verdict) for r in url_filter.judged(pages_of(spark, rows)).collect())
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    want = sorted((i, h, rule or "", v) for i, h, _, rule, v in con.execute(queries.OP4_SQL).fetchall())
+    assert got == want
+    assert {r[3] for r in got if r[1].startswith("k")} == {"allow", "block"}
+
+
 def test_rules_are_bounded(spark):
     with pytest.raises(ValueError):
         url_filter.judged(pages_of(spark, [(1, "u", "")]), rules=[((f"h{i}", "/"), "block") for i in range(1001)])
