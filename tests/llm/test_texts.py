@@ -143,15 +143,16 @@ def test_secrets_of_one_owner_in_many_repositories(spark):
     assert [s.kind for s in found[20]] == ["owned"]
 
 
-@pytest.mark.parametrize("n", [1, 63, 64, 65, 4096, 4097, 9001])
-def test_offsets_of_many_matches(spark, n):
-    unit = "é token=abcdefgh%d "
-    text = "".join(unit % (i % 10) for i in range(n)) + "AKIA" + "B" * 20
-    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
-    spans = secrets.secrets(docs).collect()[0].spans
-    want = [(m.start(), m.end()) for m in re.finditer("token=[a-h0-9]+", text)]
-    assert [(s.start, s.end) for s in spans if s.kind == "assign"] == want
-    assert [(s.start, s.end) for s in spans if s.kind == "access"] == [(len(text) - 24, len(text))]
+def test_offsets_of_many_matches(spark):
+    """One, two and three levels of block sums."""
+    sizes = [1, 63, 64, 65, 4096, 4097, 9001]
+    texts = {n: "".join(f"é token=abcdefgh{i % 10} " for i in range(n)) + "AKIA" + "B" * 20 for n in sizes}
+    docs = spark.createDataFrame([(n, t, "s") for n, t in texts.items()], "doc_id long, text string, source string")
+    rows = {r.doc_id: r.spans for r in secrets.secrets(docs).collect()}
+    for n, text in texts.items():
+        want = [(m.start(), m.end()) for m in re.finditer("token=[a-h0-9]+", text)]
+        assert [(s.start, s.end) for s in rows[n] if s.kind == "assign"] == want
+        assert [(s.start, s.end) for s in rows[n] if s.kind == "access"] == [(len(text) - 24, len(text))]
 
 
 # BPE
