@@ -263,6 +263,14 @@ def encode(docs: DataFrame, path: str, slice_chars: int = SLICE_CHARS) -> DataFr
     return docs.mapInArrow(lambda it: _encoded(it, file, slice_chars), f"{doc_id}, ids array<int>")
 
 
+def encode_and_decode(docs: DataFrame, path: str, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """doc_id, ``ids`` and the ``decoded`` text of each document, in one pass:
+    a task needs one Python worker, and the vocabulary is in memory once."""
+    docs, file, doc_id = _input(docs, path)
+    return docs.mapInArrow(lambda it: _decoded(_encoded(it, file, slice_chars), file),
+                           f"{doc_id}, ids array<int>, decoded string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) with the ``decoded`` text; null ids decode to null."""
     with open(path, "rb") as f:
