@@ -42,8 +42,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the token ids, and the digest of the decoded text."""
     ship_package(spark)
-    path = bpe.word_bpe_file()
-    decoded = bpe.decode(bpe.encode(docs, path), path)
+    decoded = bpe.encode_and_decode(docs, bpe.word_bpe_file())
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
