@@ -7,9 +7,11 @@ columns and pushes filters into the scan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,22 +61,44 @@ def scan_configs(spark: SparkSession, configs: Mapping[str, ConfigSource],
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), st
 
 
+#: A Parquet file without rows is no larger than this.
+EMPTY_BYTES = 1 << 20
+
+
+def _without_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, content) to (file, 0) of those that are whole tables without rows."""
+    for batch in batches:
+        files = []
+        for file, content in zip(batch.column(0), batch.column(1), strict=True):
+            try:
+                if pq.read_metadata(pa.BufferReader(content.as_buffer())).num_rows == 0:
+                    files.append(file.as_py())
+            except (pa.ArrowException, OSError):
+                pass  # no table: it stays in the report without a number of rows
+        yield pa.record_batch([pa.array(files, pa.string()), pa.array([0] * len(files), pa.int64())], names=["file", "none"])
+
+
 def scan_config_files(spark: SparkSession, configs: Mapping[str, str],
                       config_col: str = "config") -> tuple[DataFrame | None, DataFrame]:
     """S2 with isolation by file: a file that cannot be read, wherever a task
     meets it, gives no rows and fails nothing.  The report (config, file,
     n_rows, n_read, ok) has a row per listed file: ``n_rows`` from its footer,
     null if it has none, and ``n_read``, the rows that all columns could be
-    read of.  A file without rows counts as unreadable.  The report reads the data once more; it is a plan of its own, so
+    read of.  The report reads the data once more; it is a plan of its own, so
     callers that do not look at it do not pay for it.  A config without any
     readable file is reported through its files."""
     parts, reports = [], []
     for name, path in configs.items():
         listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
         reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-        try:
-            df = reader.parquet(path)
-        except AnalysisException:  # no file has a schema
+        df = None
+        for merge in ("false", "true"):  # the file asked for its schema may be the unreadable one: then ask all
+            try:
+                df = reader.option("mergeSchema", merge).parquet(path)
+                break
+            except AnalysisException:
+                pass
+        if df is None:  # no file has a schema
             reports.append(listed.select(F.lit(name).alias(config_col), "file", F.lit(None).cast("long").alias("n_rows"),
                                          F.lit(0).cast("long").alias("n_read")))
             continue
@@ -83,8 +107,11 @@ def scan_config_files(spark: SparkSession, configs: Mapping[str, str],
         # the hash of all columns makes the tasks decode them
         read = df.select(file, F.xxhash64(*df.columns).alias("h")).groupBy("file").agg(
             F.count("h").alias("n_read"), F.bit_xor("h").alias("h")).where("h is not null").drop("h")
-        reports.append(listed.join(rows, "file", "left").join(read, "file", "left").select(
-            F.lit(name).alias(config_col), "file", "n_rows", F.coalesce("n_read", F.lit(0).cast("long")).alias("n_read")))
+        small = spark.read.format("binaryFile").load(path).where(F.col("length") <= EMPTY_BYTES).select(file, "content")
+        empty = small.join(rows, "file", "left_anti").mapInArrow(_without_rows, "file string, none long")
+        reports.append(listed.join(rows, "file", "left").join(empty, "file", "left").join(read, "file", "left").select(
+            F.lit(name).alias(config_col), "file", F.coalesce("n_rows", "none").alias("n_rows"),
+            F.coalesce("n_read", F.lit(0).cast("long")).alias("n_read")))
         parts.append(df.withColumn(config_col, F.lit(name)))
     report = reduce(DataFrame.unionByName, reports).withColumn("ok", F.coalesce(F.col("n_rows") == F.col("n_read"), F.lit(False)))
     if not parts:
