@@ -33,8 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 
 SLICE_CHARS = 1 << 20
-CACHED_WORDS = 300_000
-CACHED_PAIRS = 400_000
+CACHED_WORDS = 120_000
+CACHED_PAIRS = 160_000
 
 #: Unicode White_Space, as the tokenizer's pattern understands it.
 BLANK = r"\t-\r \x85\xa0  -     　"
@@ -231,6 +231,9 @@ def _encoded(batches: Iterator[pa.RecordBatch], file, limit: int) -> Iterator[pa
             yield pa.record_batch([batch.column(0).slice(done, len(texts)), pa.ListArray.from_arrays(offsets, values)],
                                   names=["doc_id", "ids"])
             done += len(texts)
+    # the worker may go on with other stages: it keeps the vocabulary only
+    vocab.words.clear()
+    vocab.pairs.clear()
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], file) -> Iterator[pa.RecordBatch]:

@@ -131,7 +131,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield pa.record_batch([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), none,
                                pa.nulls(batch.num_rows, pa.binary())], names=SKETCH)
     if ids is not None:
-        parts = [compress(c.tobytes(), 1) for c in np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)]
+        parts = [compress(np.minimum(c, 255).astype(np.uint8).tobytes(), 1) for c in counts.reshape(SLICES, -1)]
+        del counts
         none = pa.nulls(SLICES, pa.int64())
         yield pa.record_batch([none, none, pa.nulls(SLICES, ids), none, pa.nulls(SLICES, pa.binary()),
                                pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(parts, pa.binary())],
