@@ -91,10 +91,11 @@ class Vocabulary:
         self.texts = pa.array([texts.get(i, "") for i in range(max(texts) + 1)], pa.large_string())
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.tops: dict[int, tuple[int, int, int] | None] = {}
 
-    def merged(self, tokens: list[int]) -> list[int]:
-        """Plain merging, lowest rank first, leftmost first."""
-        while len(tokens) > 1:
+    def merged(self, tokens: list[int], least: int = 1) -> list[int]:
+        """Plain merging, lowest rank first, leftmost first, down to ``least`` tokens."""
+        while len(tokens) > least:
             best = min(((self.merges[p][0], k) for k, p in enumerate(pairwise(tokens)) if p in self.merges),
                        default=None)
             if best is None:
@@ -107,13 +108,37 @@ class Vocabulary:
         raw, last = self.symbols[token]
         return [(self.final if last and k == len(raw) - 1 else self.inner)[raw[k:k + 1]] for k in range(len(raw))]
 
+    def top(self, token: int) -> tuple[int, int, int] | None:
+        """The last merge in the encoding of a token's own text, as its rank
+        and the two tokens; rank -1: a single symbol; None: the text has
+        another encoding.  At most one entry per token of the vocabulary."""
+        if token not in self.tops:
+            parts = self.merged(self._start(token), 2)
+            rank, whole = self.merges.get(tuple(parts), (None, None)) if len(parts) == 2 else (-1, parts[0])
+            self.tops[token] = (rank, parts[0], parts[-1]) if whole == token else None
+        return self.tops[token]
+
     def fit(self, left: int, right: int) -> bool:
         """Whether the two tokens can stand next to each other in an encoding;
-        left -1: at the start of a word."""
+        left -1: at the start of a word.  Merges are taken back, the last one
+        first: at no time may the two tokens at the border have had a merge
+        that comes before the one taken back (of equal rank, the one further
+        left comes first)."""
         known = self.pairs.get((left, right))
         if known is None:
-            start = self._start(left) if left >= 0 else []
-            known = self.merged(start + self._start(right)) == ([left] if left >= 0 else []) + [right]
+            a, b = self.top(left) if left >= 0 else (-1, -1, -1), self.top(right)
+            x, y, limit, known = left, right, len(self.merges), a is not None and b is not None
+            while known and left >= 0:
+                if self.merges.get((x, y), (limit,))[0] < limit:
+                    known = False
+                elif a[0] > b[0]:
+                    limit, x = a[0], a[2]
+                    a = self.top(x)
+                elif b[0] >= 0:
+                    limit, y = b[0] + 1, b[1]
+                    b = self.top(y)
+                else:
+                    break
             if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
             self.pairs[left, right] = known
@@ -135,17 +160,15 @@ class Vocabulary:
             del tokens[min(shared, n - 1) + 1:], starts[min(shared, n - 1) + 1:]
             for end in range(len(tokens), n + 1):
                 known = inner if end < n else final
-                fits, at = [], end - 1
-                while at >= 0 and (token := known(raw[at:end])) is not None:
+                at = end - 1
+                while True:  # exactly one fits
+                    token = known(raw[at:end])
                     if token >= 0:
-                        fits.append((token, at))
+                        left = tokens[at]
+                        ok = pairs.get((left, token))
+                        if ok or ok is None and fit(left, token):
+                            break
                     at -= 1
-                while True:  # the longest first; exactly one fits
-                    token, at = fits.pop()
-                    left = tokens[at]
-                    ok = pairs.get((left, token))
-                    if ok or ok is None and fit(left, token):
-                        break
                 if end < n:
                     tokens.append(token)
                     starts.append(at)

@@ -200,6 +200,24 @@ def test_trie_equals_plain_merging(monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == plain
 
 
+def test_bpe_neighbours_without_merging_each_pair(monkeypatch):
+    """Which tokens can be neighbours is found by taking merges back; plain
+    merging, which gives the same, runs once per token at most."""
+    with open(bpe.word_bpe_file(), "rb") as f:
+        vocab = bpe.Vocabulary(f.read())
+    rnd = random.Random(8)
+    merged, calls = vocab.merged, []
+    monkeypatch.setattr(vocab, "merged", lambda *a: calls.append(a) or merged(*a))
+    vocab.encode(["".join(rnd.choices("aehinorst", k=rnd.randint(1, 14))) for _ in range(3000)])
+    tokens = {t for p in vocab.pairs for t in p} - {-1}
+    pairs = [(a, b) for a, b in vocab.pairs if a >= 0]
+    pairs += [(a, rnd.choice([a, *tokens])) for a in rnd.choices([a for a, _ in pairs], k=4000)]
+    got = [vocab.fit(a, b) for a, b in pairs]
+    assert len(calls) <= len(vocab.symbols) and len(calls) < len(vocab.pairs) / 2
+    assert len(set(got)) == 2
+    assert got == [merged(vocab._start(a) + vocab._start(b)) == [a, b] for a, b in pairs]
+
+
 # quality
 
 def test_quality_on_held_out_rows(spark):
