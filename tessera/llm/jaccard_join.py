@@ -16,9 +16,10 @@ members and verified on the whole texts.
 Links are found in rounds so that a large cluster costs no pair of its members.
 In a star round each token's groups meet the head of one of them, the pivot,
 which is done with that if it has no other member; what the links so far leave
-in different components meets a new pivot in the next round.  When that no longer halves what is left, all groups of a token
-that are still apart meet each other.  Pairs inside one component need no check:
-they can add no reachability.  Every set has a parity sketch, 1,024 bits of
+in different components meets a new pivot in the next round.  When that neither
+halves what is left nor links much of what it compares, all groups of a token
+that are still apart meet each other, at the first token that they share.  Pairs
+inside one component need no check: they can add no reachability.  Every set has a parity sketch, 1,024 bits of
 which each token flips one: two sets differ in at least as many tokens as their
 sketches differ in bits, so pairs beyond the bound never become rows, and no
 pair is dropped that could be a link.  That gives components; the number of
@@ -57,7 +58,11 @@ ROW_BITS = 1 << 9
 #: A list of rows up to this length is broadcast; a longer one is joined by shuffling.
 BROADCAST_IDS = 500_000
 #: Star rounds at most; what they leave apart is compared in full.
-STARS = 6
+STARS = 12
+#: A star round is worth another if one in so many of its pairs is a link.
+WORTH = 6
+#: Tokens ahead of a row's own that are searched for one that a pair shares.
+AHEAD = 8
 SLICE_BYTES = 1 << 20
 
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -259,6 +264,7 @@ class _Join:
         """Those node pairs (a, b) that are similar, by their whole texts."""
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                         .where("a != b").distinct(), "pairs")
+        self.compared = pairs.count()
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = written(wanted.join(self.nodes, "node").select("node", *LOCATOR), "wanted")
         size, percent = self.size, self.percent
@@ -310,6 +316,22 @@ class _Join:
             {"l": F.min("low").over(own), "h": F.max("high").over(own), "pivot": F.min(key).over(own)})
         return written(rows.where("l != h").drop("l", "h"), "placed")
 
+    def meetings(self, rows: DataFrame) -> DataFrame:
+        """Group pairs (grp, n, grp2, n2) of ``rows`` (token, grp, n, pos, low,
+        high, pivot and sketch) that share a token, are apart and can be similar.
+        A pair meets at its first token in these rows: at a later one some
+        token ahead is in both groups.  (Of those only the last few are
+        searched, so a pair may come more than once.)"""
+        ahead = Window.partitionBy("grp", "n").orderBy("pos").rowsBetween(-AHEAD, -1)
+        rows = written(rows.withColumn("ahead", F.collect_list("token").over(ahead)).withColumn("settled", F.expr(
+            "low = high and pivot.low = pivot.high and low = pivot.low")).drop("pivot"), "apart")
+        x, y = rows.where("not settled").alias("x"), rows.alias("y")
+        apart = F.expr("not (x.low = x.high and y.low = y.high and x.low = y.low) and "
+                       "(y.settled or x.grp < y.grp or x.grp = y.grp and x.n < y.n) and not arrays_overlap(x.ahead, y.ahead)")
+        return (x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _possible(self.percent)
+                       & _near(self.percent, "x.n", "x.sketch", "y.n", "y.sketch", ROW_BITS))
+                .select("x.grp", "x.n", F.col("y.grp").alias("grp2"), F.col("y.n").alias("n2")))
+
     def run(self) -> DataFrame:
         """(node, component) of the linked nodes."""
         members, tokens = self.members(), self.tokens()
@@ -343,11 +365,12 @@ class _Join:
             apart = F.expr("not (y.low = y.high and x.low = x.high and x.low = y.low)")
             x = rows.select(F.col("pivot").alias("x"), F.struct("grp", "n", "pos", "low", "high").alias("y"))
             pairs = x.where("x.grp != y.grp or x.n != y.n").where(apart & _possible(self.percent)).select(*pair)
-            found = joined_with(self.stars(pairs, members, head))
+            links = self.stars(pairs, members, head)
+            found = joined_with(links)
             own = of()
             rows = self.placed(rows, own, turn)
             before, left = left, rows.count()
-            if 2 * left > before:
+            if 2 * left > before and WORTH * links.count() < self.compared:
                 break
 
         # the rest: all groups of a token that are apart, and members of one group that are
@@ -355,14 +378,7 @@ class _Join:
         folded = F.array(*[F.expr(" ^ ".join(f"sketch[{k}]" for k in range(at, SKETCH_BITS // 64, longs)))
                            for at in range(longs)])
         single = heads.where("size = 1").select("grp", "n", folded.alias("sketch"))
-        rows = written(rows.join(single, ["grp", "n"], "left").withColumn("settled", F.expr(
-            "low = high and pivot.low = pivot.high and low = pivot.low")).drop("pivot"), "apart")
-        x, y = rows.where("not settled").alias("x"), rows.alias("y")
-        apart = F.expr("not (x.low = x.high and y.low = y.high and x.low = y.low) and "
-                       "(y.settled or x.grp < y.grp or x.grp = y.grp and x.n < y.n)")
-        cross = (x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _possible(self.percent)
-                        & _near(self.percent, "x.n", "x.sketch", "y.n", "y.sketch", ROW_BITS))
-                 .select("x.grp", "x.n", F.col("y.grp").alias("grp2"), F.col("y.n").alias("n2")).distinct())
+        cross = self.meetings(rows.join(single, ["grp", "n"], "left")).distinct()
         # of the groups that take part
         mixed = own.groupBy("grp", "n").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
             "low != high").select("grp", "n")

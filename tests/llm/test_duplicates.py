@@ -2,8 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
+from zlib import decompress
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import bwt, exact_dedup, jaccard_join, substring_dedup
@@ -224,6 +228,37 @@ def test_large_families(docs_of, changed):
     assert [rows[i] for i in range(len(texts))] == [c for _, c in component_ids(texts)]
 
 
+def test_groups_that_share_many_tokens_meet_once(spark):
+    """30 groups apart with the same five tokens: each pair comes at the first
+    of them only, whatever tokens of its own a group has between them."""
+    rows = []
+    for g in range(30):
+        at = sorted([(t, t) for t in (10, 20, 30, 40, 50)] + [(10 * (g % 5) + 5, 1000 + g)])
+        rows += [(token, g, 60, pos, bytes([g]), bytes([g]), (0, 60, 0, bytes([99]), bytes([99])), None)
+                 for pos, (_, token) in enumerate(at)]
+    rows = spark.createDataFrame(rows, "token long, grp long, n long, pos int, low binary, high binary, pivot "
+                                 "struct<grp:long,n:long,pos:int,low:binary,high:binary>, sketch array<long>")
+    join = jaccard_join._Join.__new__(jaccard_join._Join)
+    join.percent = 80
+    got = sorted((r.grp, r.grp2) for r in join.meetings(rows).collect())
+    assert got == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+
+
+def test_token_counts_are_a_byte_each():
+    """A task counts up to 255 a bucket in one byte, and keeps no wider copy."""
+    batch = pa.record_batch([pa.array([0] * 300), pa.array(range(300)), pa.array(range(300)),
+                             pa.array([f"a b c d e w{i}" for i in range(300)])],
+                            names=["at_file", "at_row", "doc_id", "text"])
+    tracemalloc.start()
+    *_, last = jaccard_join._sketches(iter([batch]), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = np.concatenate([np.frombuffer(decompress(c), np.uint8) for c in last["counts"].to_pylist()])
+    first = jaccard_join.bucket_of(jaccard_join.shingle_sets([b"a b c d e"])[0])
+    assert counts[first].tolist() == [255] and counts.sum(dtype=int) == 255 + 300
+    assert peak < 2 * jaccard_join.BUCKETS
+
+
 def test_components(spark):
     rnd = random.Random(2)
     links = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(64)]
