@@ -122,7 +122,7 @@ SKETCH = [*LOCATOR, "doc_id", "n", "node", "slice", "counts"]
 def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """A row per document; at the end of the task, its token counts by bucket
     in slices.  Equal sets of one batch count once."""
-    counts, ids = np.zeros(BUCKETS, np.uint32), None
+    counts, ids = np.zeros(BUCKETS, np.uint8), None
     for batch in batches:
         sizes, nodes, held = [], [], {}
         for _, tokens in _sets(batch, 3, size):
@@ -130,13 +130,14 @@ def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             nodes.append(node_of(tokens))
             if nodes[-1] not in held:
                 held[nodes[-1]] = True
-                np.add.at(counts, bucket_of(tokens), 1)
+                found, times = np.unique(bucket_of(tokens), return_counts=True)
+                counts[found] = np.minimum(counts[found] + times, 255)
         ids = batch.column(2).type
         none = pa.nulls(batch.num_rows, pa.int32())
         yield pa.record_batch([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), none,
                                pa.nulls(batch.num_rows, pa.binary())], names=SKETCH)
     if ids is not None:
-        parts = [compress(np.minimum(c, 255).astype(np.uint8).tobytes(), 1) for c in counts.reshape(SLICES, -1)]
+        parts = [compress(c.tobytes(), 1) for c in counts.reshape(SLICES, -1)]
         del counts
         none = pa.nulls(SLICES, pa.int64())
         yield pa.record_batch([none, none, pa.nulls(SLICES, ids), none, pa.nulls(SLICES, pa.binary()),
@@ -171,7 +172,7 @@ def parities(tokens: np.ndarray) -> bytes:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, common) -> Iterator[pa.RecordBatch]:
-    last = np.unpackbits(np.frombuffer(common.value, np.uint8)).astype(bool)
+    last = np.frombuffer(common.value, np.uint8)
     longs = pa.list_(pa.int64())
     for batch in batches:
         done, nodes, sizes, groups, prefixes, sketches = set(), [], [], [], [], []
@@ -180,7 +181,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, common
             if not n or node in done:
                 continue
             done.add(node)
-            late = last[bucket_of(tokens)]
+            at = bucket_of(tokens)
+            late = (last[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
             prefix = np.concatenate([tokens[~late], tokens[late]])[:prefix_length(n, percent)]
             nodes.append(node)
             sizes.append(n)
