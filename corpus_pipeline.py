@@ -11,37 +11,42 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id
 from tessera.llm.common import scratch
-from tessera.session import ship_package
+from tessera.session import ship_package, short_batches
 from tessera.sources.tables import table
 
 
+def _ready(spark: SparkSession) -> None:
+    ship_package(spark)
+    short_batches(spark)
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no learned language go; ``lang`` is kept as it is."""
-    ship_package(spark)
+    _ready(spark)
     return language_id.in_a_language(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the largest doc_id stays."""
-    ship_package(spark)
+    _ready(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the smallest doc_id stays."""
-    ship_package(spark)
+    _ready(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a window of a benchmark item go."""
-    ship_package(spark)
+    _ready(spark)
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the token ids, and the digest of the decoded text."""
-    ship_package(spark)
+    _ready(spark)
     decoded = bpe.encode_and_decode(docs, bpe.word_bpe_file())
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                           F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -313,6 +314,28 @@ def brute_stages(rows, model, items):
     return [*out, rows]
 
 
+def test_pipeline_batches_are_short(spark, docs_of, scratch):
+    """Rows of half a MB come to a worker a few at a time, not 10,000; a limit
+    that is set stays."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = docs_of([f"{i} " * 200_000 for i in range(24)], partitions=1)
+
+    def most():
+        sizes = docs.select("text").mapInArrow(lambda it: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in it), "n long")
+        return max(r.n for r in sizes.collect())
+
+    before = spark.conf.get(limit, None)
+    try:
+        spark.conf.unset(limit)
+        corpus_pipeline.languages(spark, docs, scratch)
+        assert most() < 6 << 20
+        spark.conf.set(limit, str(1 << 30))
+        corpus_pipeline.languages(spark, docs, scratch)
+        assert spark.conf.get(limit) == str(1 << 30)
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
+
+
 def test_pipeline_equals_brute_force_with_null_and_repeated_ids(spark, scratch):
     """Every decision is a row's own: null ids, repeated ids, full repeats and
     columns with the names that operators use inside."""
