@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import few, written
 
 MOST_ROUNDS = 50
 
@@ -25,19 +25,21 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not sign[0]:
             break
+        edges = few(edges, sign[0])
         # large star: larger neighbours go to the smallest neighbour or the node itself
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        edges = written(few(small.unionByName(least.withColumnRenamed("m", "v")), sign[0]).distinct(), "edges")
         before, sign = sign, _sign(edges)
         if sign == before:
             break
     else:
         raise RuntimeError("components did not converge")
+    edges = few(edges, sign[0])
     roots = edges.select(F.col("v").alias("node")).distinct()
     return (edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(roots.select("node", F.col("node").alias("component"))))

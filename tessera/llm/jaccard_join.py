@@ -14,11 +14,11 @@ positions of the token leave possible.  Pairs that pass are expanded to their
 members and verified on the whole texts.
 
 Links are found in rounds so that a large cluster costs no pair of its members.
-In a star round each token's groups meet the head of one of them, the pivot,
-which is done with that if it has no other member; what the links so far leave
-in different components meets a new pivot in the next round.  When that neither
-halves what is left nor links much of what it compares, all groups of a token
-that are still apart meet each other, at the first token that they share.  Pairs
+In the first star round each token's groups meet the head of one of them, the
+pivot, which is done with that if it has no other member; what the links so far
+leave in different components meets a few new pivots in the next round.  When that
+neither halves what is left nor links much of it, all groups of a token that
+are still apart meet each other, at the first token that they share.  Pairs
 inside one component need no check: they can add no reachability.  Every set has a parity sketch, 1,024 bits of
 which each token flips one: two sets differ in at least as many tokens as their
 sketches differ in bits, so pairs beyond the bound never become rows, and no
@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import located, looked_up, packed, unpacked, written
+from .common import few, located, looked_up, packed, unpacked, written
 from .components import components
 from .hashing import Hashed, word_hashes
 
@@ -59,8 +59,10 @@ ROW_BITS = 1 << 9
 BROADCAST_IDS = 500_000
 #: Star rounds at most; what they leave apart is compared in full.
 STARS = 12
-#: A star round is worth another if one in so many of its pairs is a link.
-WORTH = 6
+#: Pivots of a token in a star round after the first.
+PIVOTS = 4
+#: A star round is worth another if it finds a link for so many of the rows left.
+WORTH = 256
 #: Tokens ahead of a row's own that are searched for one that a pair shares.
 AHEAD = 8
 SLICE_BYTES = 1 << 20
@@ -267,7 +269,7 @@ class _Join:
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                         .where("a != b").distinct(), "pairs")
         self.compared = pairs.count()
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = few(pairs.select(F.explode(F.array("a", "b")).alias("node")), self.compared).distinct()
         wanted = written(wanted.join(self.nodes, "node").select("node", *LOCATOR), "wanted")
         size, percent = self.size, self.percent
         texts = written(self.docs.join(self.small(wanted), LOCATOR).select("node", "text"), "texts")
@@ -302,21 +304,47 @@ class _Join:
         """Links of the heads of the left groups with the members of the right ones."""
         return self.links(self.expanded(pairs.distinct(), heads, members))
 
-    def placed(self, rows: DataFrame, members: DataFrame, turn: int) -> DataFrame:
-        """``rows`` (token, grp, n, pos, pivot) of tokens whose groups are not
-        all in one component, with the least and the greatest component in
-        their group, and the same of their token's pivot of this turn.  The
-        pivot before, if it has one member, has met all groups of its token:
-        its row goes."""
-        spread = members.groupBy("grp", "n").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                                 F.count(F.lit(1)).alias("size"))
-        rows = rows.drop("low", "high").join(spread, ["grp", "n"]).where("not (size = 1 and grp = pivot.grp and n = pivot.n)")
+    def merged(self, own: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``own`` (grp, n, node, component) with what ``links`` (a, b) join in
+        one component, and what changed (component, now).  Only the components
+        that the links touch are worked on."""
+        links = self.small(links.select("a", "b"))
+        at = own.select(F.col("node").alias("a"), F.col("component").alias("x"))
+        x = written(at.join(links, "a").select("x", F.col("b").alias("node")), "ends")
+        ends = own.select("node", F.col("component").alias("b")).join(self.small(x), "node")
+        moves = components(ends.select(F.col("x").alias("a"), "b"))
+        moves = written(moves.where("node != component").select(
+            F.col("node").alias("component"), F.col("component").alias("now")), "moves")
+        own = own.join(self.small(moves), "component", "left").select(
+            "grp", "n", "node", F.coalesce("now", "component").alias("component"))
+        return written(own, "of"), moves
+
+    def placed(self, rows: DataFrame, turn: int) -> DataFrame:
+        """``rows`` (token, grp, n, pos, single: whether the group has one
+        member, low and high: the least and the greatest component in it) of
+        tokens whose groups are not all in one component, with the token's
+        pivots of this turn and whether the group is one (``met``).  A pivot
+        with one member meets all groups of its token in its turn, and its row
+        is not needed after that."""
         own = Window.partitionBy("token")
-        key = F.struct(F.xxhash64(F.lit(turn), "grp", "n").alias("h"), "grp", "n", "pos", "low", "high")
+        group = ["grp", "n", "pos", "low", "high"]
+        keys = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "grp", "n").alias("h"), *group)).over(own)
+                for k in range(PIVOTS)]
         # one shuffle by token
-        rows = rows.select("token", "grp", "n", "pos", "low", "high").withColumns(
-            {"l": F.min("low").over(own), "h": F.max("high").over(own), "pivot": F.min(key).over(own)})
-        return written(rows.where("l != h").drop("l", "h"), "placed")
+        rows = rows.select("token", *group, "single").withColumns(
+            {"l": F.min("low").over(own), "h": F.max("high").over(own), "pivots": F.array_distinct(F.array(*keys))})
+        met = F.exists("pivots", lambda p: (p["grp"] == F.col("grp")) & (p["n"] == F.col("n")))
+        return written(rows.where("l != h").drop("l", "h").withColumn("met", met), "placed")
+
+    def followed(self, rows: DataFrame, moves: DataFrame, shared: DataFrame) -> DataFrame:
+        """``rows`` after ``moves`` (component, now), without the pivots that
+        are done; ``shared`` has low and high of the groups (grp, n) of several
+        members."""
+        rows = rows.where("not (single and met)").select("token", "grp", "n", "pos", "single", F.col("low").alias("component"))
+        rows = rows.join(self.small(moves), "component", "left").join(self.small(shared), ["grp", "n"], "left")
+        one = F.coalesce("now", "component")
+        return rows.select("token", "grp", "n", "pos", "single", F.coalesce("low", one).alias("low"),
+                           F.coalesce("high", one).alias("high"))
 
     def meetings(self, rows: DataFrame) -> DataFrame:
         """Group pairs (grp, n, grp2, n2) of ``rows`` (token, grp, n, pos, low,
@@ -335,7 +363,7 @@ class _Join:
                 .select("x.grp", "x.n", F.col("y.grp").alias("grp2"), F.col("y.n").alias("n2")))
 
     def run(self) -> DataFrame:
-        """(node, component) of the linked nodes."""
+        """(node, component) of all nodes."""
         members, tokens = self.members(), self.tokens()
         heads = members.groupBy("grp", "n").agg(F.min(F.struct("node", "sketch")).alias("m"),
                                                 F.count(F.lit(1)).alias("size"))
@@ -346,33 +374,31 @@ class _Join:
         pairs = x.where("x.grp != y.grp or x.n != y.n").where(_possible(self.percent)).select(*pair)
         inside = heads.where("size > 1").select("grp", "n", F.col("grp").alias("grp2"), F.col("n").alias("n2"))
         head = heads.drop("size")
-        found = written(components(self.stars(pairs.unionByName(inside), members, head)), "components")
-
-        def joined_with(links: DataFrame) -> DataFrame:
-            """The components of what was found and of more links."""
-            known = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
-            return written(components(known.unionByName(links.select("a", "b"))), "components")
-
-        def of() -> DataFrame:
-            return written(members.drop("sketch").join(found, "node", "left").select(
-                "grp", "n", "node", F.coalesce("component", "node").alias("component")), "of")
-
-        # more star rounds while they halve what is left apart
-        own = of()
-        rows = self.placed(tokens, own, 1)
+        links = self.stars(pairs.unionByName(inside), members, head)
+        own, _ = self.merged(members.select("grp", "n", "node", F.col("node").alias("component")), links)
+
+        def spread(own: DataFrame) -> DataFrame:
+            return own.groupBy("grp", "n").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                               (F.count(F.lit(1)) == 1).alias("single"))
+
+        # more star rounds while they halve what is left apart, or link much of it
+        several = self.small(inside.select("grp", "n"))
+        met = F.expr("grp = pivot.grp and n = pivot.n").alias("met")
+        rows = tokens.select("token", "grp", "n", "pos", met).join(spread(own), ["grp", "n"])
+        rows = self.placed(rows.where("not (single and met)"), 1)
         left = rows.count()
         for turn in range(2, STARS + 1):
             if not left:
                 break
             apart = F.expr("not (y.low = y.high and x.low = x.high and x.low = y.low)")
-            x = rows.select(F.col("pivot").alias("x"), F.struct("grp", "n", "pos", "low", "high").alias("y"))
+            x = rows.select(F.explode("pivots").alias("x"), F.struct("grp", "n", "pos", "low", "high").alias("y"))
             pairs = x.where("x.grp != y.grp or x.n != y.n").where(apart & _possible(self.percent)).select(*pair)
             links = self.stars(pairs, members, head)
-            found = joined_with(links)
-            own = of()
-            rows = self.placed(rows, own, turn)
+            own, moves = self.merged(own, links)
+            shared = written(spread(own.join(several, ["grp", "n"], "left_semi")).drop("single"), "shared")
+            rows = self.placed(self.followed(rows, moves, shared), turn)
             before, left = left, rows.count()
-            if 2 * left > before and WORTH * links.count() < self.compared:
+            if 2 * left > before and WORTH * links.count() < left:
                 break
 
         # the rest: all groups of a token that are apart, and members of one group that are
@@ -380,18 +406,20 @@ class _Join:
         folded = F.array(*[F.expr(" ^ ".join(f"sketch[{k}]" for k in range(at, SKETCH_BITS // 64, longs)))
                            for at in range(longs)])
         single = heads.where("size = 1").select("grp", "n", folded.alias("sketch"))
+        rows = rows.select("token", "grp", "n", "pos", "low", "high", F.col("pivots")[0].alias("pivot"))
         cross = self.meetings(rows.join(single, ["grp", "n"], "left")).distinct()
         # of the groups that take part
         mixed = own.groupBy("grp", "n").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
             "low != high").select("grp", "n")
         cross = written(cross, "cross")
         part = cross.select("grp", "n").union(cross.select("grp2", "n2")).union(mixed).distinct()
-        own = written(own.join(part, ["grp", "n"], "left_semi").join(members.select("node", "sketch"), "node"), "own")
+        part = written(own.join(part, ["grp", "n"], "left_semi").join(members.select("node", "sketch"), "node"), "own")
         # in a mixed group, the members that are not with its head against all
-        main = own.join(head.select("node"), "node", "left_semi").select("grp", "n", F.col("component").alias("main"))
-        loose = own.join(mixed, ["grp", "n"]).join(main, ["grp", "n"]).where("component != main").drop("main")
-        within = self.expanded(mixed.select("grp", "n", F.col("grp").alias("grp2"), F.col("n").alias("n2")), loose, own)
-        return joined_with(self.links(self.expanded(cross, own, own).unionByName(within)))
+        main = part.join(head.select("node"), "node", "left_semi").select("grp", "n", F.col("component").alias("main"))
+        loose = part.join(mixed, ["grp", "n"]).join(main, ["grp", "n"]).where("component != main").drop("main")
+        within = self.expanded(mixed.select("grp", "n", F.col("grp").alias("grp2"), F.col("n").alias("n2")), loose, part)
+        links = self.links(self.expanded(cross, part, part).unionByName(within))
+        return self.merged(own, links)[0].select("node", "component")
 
 
 def _per_row(join: _Join, nodes: DataFrame, *more: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import tracemalloc
 from collections import Counter
 from zlib import decompress
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import bwt, exact_dedup, jaccard_join, substring_dedup
-from tessera.llm.common import written
+from tessera.llm.common import few, written
 from tessera.llm.components import components
 
 
@@ -244,6 +245,42 @@ def test_groups_that_share_many_tokens_meet_once(spark):
     assert got == [(a, b) for a in range(30) for b in range(a + 1, 30)]
 
 
+def test_links_move_the_components_they_touch(spark):
+    """Ten nodes in five components; links inside one, across, and in a chain."""
+    own = spark.createDataFrame([(i, 9, bytes([i]), bytes([i - i % 2])) for i in range(10)],
+                                "grp long, n long, node binary, component binary")
+    links = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in ((0, 1), (3, 5), (4, 6), (5, 3))],
+                                  "a binary, b binary")
+    join = jaccard_join._Join.__new__(jaccard_join._Join)
+    join.broadcast_ids = 2
+    now, moves = join.merged(own, links)
+    assert {r.node[0]: r.component[0] for r in now.collect()} == {
+        i: 2 if 2 <= i < 8 else i - i % 2 for i in range(10)}
+    assert sorted((r.component[0], r.now[0]) for r in moves.collect()) == [(4, 2), (6, 2)]
+
+
+def test_few_rounds(docs_of, monkeypatch):
+    """Families in which each text is near the next only, and texts apart that
+    share a passage: rounds do not go on for a link each."""
+    texts = []
+    for f in range(6):
+        words = [f"f{f}w{i}" for i in range(100)]
+        texts += [" ".join(words[4 * k:4 * k + 60]) for k in range(8)]
+    texts += [" ".join([f"p{i}" for i in range(12)] + [f"q{k}r{i}" for i in range(30)]) for k in range(40)]
+    tables = []
+    for module in (jaccard_join, sys.modules[components.__module__]):
+        monkeypatch.setattr(module, "written", lambda df, label: tables.append(label) or written(df, label))
+    rows = {r.doc_id: r.component_id for r in jaccard_join.component_ids(docs_of(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == [c for _, c in component_ids(texts)]
+    assert tables.count("placed") <= 4
+
+
+def test_short_tables_take_few_tasks(spark):
+    assert few(spark.range(0, 1000, 1, 50), 1000).rdd.getNumPartitions() == 1
+    assert few(spark.range(0, 1000, 1, 50), 120_000).rdd.getNumPartitions() == 3
+    assert few(spark.range(0, 1000, 1, 50), 0).rdd.getNumPartitions() == 1
+
+
 def test_token_counts_are_a_byte_each():
     """A task counts up to 255 a bucket in one byte, and keeps no wider copy."""
     batch = pa.record_batch([pa.array([0] * 300), pa.array(range(300)), pa.array(range(300)),
